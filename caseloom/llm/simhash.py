@@ -96,7 +96,8 @@ def keyed(prints: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
 def vertical(members: np.ndarray) -> np.ndarray:
     """Bit planes of rows of 64 fingerprints: word p of row r holds bit p of its members as lanes."""
     bits = np.unpackbits(members.astype("<u8").view(np.uint8).reshape(len(members), 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view("<u8").reshape(len(members), 64)
+    words = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(words).view("<u8").reshape(len(members), 64)
 
 
 def near(queries: np.ndarray, block_of: np.ndarray, planes: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
