@@ -1 +1 @@
-"""sources."""
+"""Schemas, readers and sinks."""
