@@ -22,7 +22,7 @@ MARKS = {
     "invision": (r"\bipsComment\b|\bcPost\b", r"\bipsType_richText\b|commentContent"),
     "woltlab": (r"\bwbbPost\b|\bmessage\b", r"\bmessageText\b"),
     "vbulletin": (r"\bpostbit\b|\bpostcontainer\b", r"\bpostcontent\b|^post_message_\d+$"),
-    "generic": (r"\b(?:post|comment|message|entry)\b", r"\b(?:content|body|text|message)\b"),
+    "generic": (r"\b(?:post|comment|message|entry)\b|^article$", r""),
 }
 AUTHOR = r"\b(?:username|author|ipsType_break|bigusername)\b"
 
@@ -40,7 +40,7 @@ class _Posts(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        names = [a.get("class") or "", a.get("id") or "", a.get("data-role") or ""]
+        names = [a.get("class") or "", a.get("id") or "", a.get("data-role") or "", tag if tag == "article" else ""]
         role = ""
         if tag in ("div", "article", "li", "section", "table") and any(self.post.search(n) for n in names) and not any(r == "post" for _, r in self.stack):
             role, self.now = "post", {"author": a.get("data-author"), "when": None, "post_id": re.sub(r"^\D+", "", names[1]) or None, "parts": []}

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import dashboards, texts
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dashboards.QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dashboards.SQL | texts.SQL
