@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import durable
 from .components import components
-from .tiles import CHUNK, cross_tiles, forest, over_tiles
+from .tiles import cross_tiles, forest, over_tiles
 
 COSINE = 0.93
 BLOCK = 8  # coordinates of a block
 SEED = 11
 SLACK = 1e-9  # of squared distances, for rounding in the rotation
 CELL_ROWS = 2048  # rows in a cell to aim at
+CHUNK = 2048  # rows of a side of a tile
 
 
 def rotation(width: int) -> np.ndarray:
@@ -58,11 +59,25 @@ def turned(vectors: np.ndarray) -> np.ndarray:
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ rotation(vectors.shape[1])
 
 
+def _packed(batches, single: bool):
+    """Vectors as bytes of their own precision: an array column costs twice that and more."""
+    for pdf in batches:
+        kind = np.float32 if single else np.float64
+        yield pdf.assign(embedding=[np.asarray(e, kind).tobytes() for e in pdf["embedding"]])
+
+
+def unpacked(cells: pd.Series, width: int) -> np.ndarray:
+    """Doubles of packed vectors of one width."""
+    data = b"".join(cells)
+    kind = np.float32 if len(data) == 4 * width * len(cells) else np.float64
+    return np.frombuffer(data, kind).reshape(-1, width).astype(np.float64)
+
+
 def _celled(batches, cosine: float, dims: int, role: str):
     total = 2 - 2 * cosine
     for pdf in batches:
         for (label, width), rows in pdf.groupby(["label", "width"], sort=False):
-            place = turned(np.stack(rows["embedding"].to_list()).astype(np.float64))
+            place = turned(unpacked(rows["embedding"], int(width)))
             vid = rows["vid"].to_numpy()
             for b, (start, stop) in enumerate(cuts(int(width))):
                 radius = math.sqrt(total * (stop - start) / width + SLACK)
@@ -73,9 +88,9 @@ def _celled(batches, cosine: float, dims: int, role: str):
                     cell = low + np.array(pick, np.int64) if pick else low
                     key = np.full(len(rows), hash((int(label), int(width), b)) & 0x7FFFFFFF, np.uint64)
                     for column in cell.T:
-                        key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ column.astype(np.uint64)
+                        key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                         key ^= key >> np.uint64(31)
-                    yield pd.DataFrame({"key": key.view(np.int64), "label": label, "block": b, "vid": vid, "mult": rows["mult"].to_numpy(), "embedding": rows["embedding"].to_numpy()})
+                    yield pd.DataFrame({"key": key.view(np.int64), "label": label, "block": b, "width": width, "vid": vid, "mult": rows["mult"].to_numpy(), "embedding": rows["embedding"].to_numpy()})
 
 
 def _verify(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
@@ -87,7 +102,7 @@ def _verify(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
             home, probe = (part[part["side"] == k] for k in (0, 1))
             if not len(home) or not len(probe):
                 continue
-            raw_h, raw_p = (np.stack(x["embedding"].to_list()).astype(np.float64) for x in (home, probe))
+            raw_h, raw_p = (unpacked(x["embedding"], int(width)) for x in (home, probe))
             h, p = turned(raw_h), turned(raw_p)
             edges = cuts(int(width))
             budget = [total * (stop - start) / width + SLACK for start, stop in edges]
@@ -124,15 +139,15 @@ def _verify(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
 def links(distinct: DataFrame, cosine: float = COSINE, dims: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """a, b, n: rows with b = -1 add n to the links of a, rows with n = 0 link a and b.
 
-    `distinct` has vid, label, width, mult, embedding; it should be durable.  `dims` is how many of
+    `distinct` has vid, label, width, mult, embedding (packed); it should be durable.  `dims` is how many of
     a block's coordinates are cut into cells: as many as halving the largest label calls for.
     """
     if dims is None:
         most = distinct.groupBy("label", "width").count().agg(F.max("count")).first()[0] or 0
         dims = min(BLOCK, max(1, math.ceil(math.log2(max(most, 1) / CELL_ROWS))))
-    schema = "key long, label int, block int, vid long, mult long, embedding array<double>"
+    schema = "key long, label int, block int, width int, vid long, mult long, embedding binary"
     homes, probes = (distinct.mapInPandas(lambda it, r=r: _celled(it, cosine, dims, r), schema) for r in ("home", "probe"))
-    tiles = cross_tiles(homes, probes, "key", "vid", chunk).withColumn("width", F.size("embedding"))
+    tiles = cross_tiles(homes, probes, "key", "vid", chunk)
     return over_tiles(tiles, "key", lambda pdf: _verify(pdf, cosine), "a long, b long, n long", rows=4096)
 
 
@@ -145,7 +160,9 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, chunk: int = CHUNK
     same = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string"))), 256)
     rows = rows.withColumn("same", F.when(F.col("usable"), same))
     distinct = rows.where("usable").groupBy("same").agg(F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    distinct = durable(distinct.withColumn("vid", F.xxhash64("same")).withColumn("width", F.size("embedding")))
+    single = table.schema["embedding"].dataType.simpleString() == "array<float>"
+    kept = distinct.select("same", F.xxhash64("same").alias("vid"), "label", F.size("embedding").alias("width"), "mult", "least", "embedding")
+    distinct = durable(kept.mapInPandas(lambda it: _packed(it, single), "same string, vid long, label int, width int, mult long, least long, embedding binary"))
     found = durable(links(distinct.select("vid", "label", "width", "mult", "embedding"), cosine, None, chunk))
     counted = found.where("b = -1").groupBy(F.col("a").alias("vid")).agg(F.sum("n").alias("n"))
     joined = components(found.where("n = 0").select("a", "b")).withColumnRenamed("id", "vid")

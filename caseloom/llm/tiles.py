@@ -2,7 +2,9 @@
 
 A key may hold a third of all rows.  Its rows are dealt into chunks of at most about `chunk` rows by
 a hash, and every pair of chunks becomes a tile of its own: no task holds more than two chunks of a
-key at once, whatever the key's size, and no pair of rows is left out.
+key at once, whatever the key's size, and no pair of rows is left out.  The sizes of keys are written
+to the shared folder first, so Spark knows their bytes: it broadcasts them where they are few, and
+otherwise exchanges both sides and can split a hot key.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 CHUNK = 1024
 
 
@@ -22,7 +26,7 @@ def self_tiles(rows: DataFrame, key: str, by: str, chunk: int = CHUNK) -> DataFr
 
     Keys with a single row have no pair and are left out.  `by` tells rows of a key apart.
     """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    counts = durable(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"))
     dealt = rows.join(counts, key).withColumn("__chunks", F.ceil(F.col("__n") / chunk).cast("int"))
     dealt = dealt.withColumn("__c", F.pmod(F.xxhash64(by), F.col("__chunks")).cast("int"))
     other = dealt.withColumn("__d", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
@@ -32,7 +36,7 @@ def self_tiles(rows: DataFrame, key: str, by: str, chunk: int = CHUNK) -> DataFr
 def cross_tiles(homes: DataFrame, probes: DataFrame, key: str, by: str, chunk: int = CHUNK) -> DataFrame:
     """Rows of both sides with tile_a, tile_b and side (0: home, 1: probe), for all pairs of a key."""
     both = homes.withColumn("side", F.lit(0)).unionByName(probes.withColumn("side", F.lit(1)))
-    counts = both.groupBy(key).agg(F.count_if(F.col("side") == 0).alias("__h"), F.count_if(F.col("side") == 1).alias("__p")).where("__h > 0 and __p > 0")
+    counts = durable(both.groupBy(key).agg(F.count_if(F.col("side") == 0).alias("__h"), F.count_if(F.col("side") == 1).alias("__p")).where("__h > 0 and __p > 0"))
     dealt = both.join(counts, key)
     chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
     own = F.when(F.col("side") == 0, chunks("__h")).otherwise(chunks("__p"))
@@ -56,7 +60,8 @@ def over_tiles(tiles: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.Dat
         def flush(whole: bool):
             nonlocal held, size
             pdf = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            new = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
+            new = np.ones(len(pdf), bool)
+            new[1:] = np.logical_or.reduce([(v := pdf[c].to_numpy())[1:] != v[:-1] for c in by])
             start = int(np.flatnonzero(new)[-1]) if not whole else len(pdf)
             held = [pdf.iloc[start:].reset_index(drop=True)] if start < len(pdf) else []
             size = len(pdf) - start
