@@ -2,16 +2,23 @@
 
 Words per source are summed (partial aggregation; one row per source is all that meets), the
 targets are shared out over that small table with windows, and each document is then emitted
-floor(rate) times plus one more copy when a keyed hash of its id falls below the rate's fraction.
+floor(rate) times plus one more copy with a probability that equals the rate's fraction.
 Nothing is collected: the source table is joined back, broadcast by Spark only if it is small.
 
+The extra copies are hash-seeded Bernoulli draws, made in strata.  Drawn one by one, a few of the
+longest documents decide how far a source ends from its target.  So a source's documents are dealt
+by hash into strata of about STRATUM rows and stand there by size, and one keyed uniform number u of
+the stratum draws them all: the document in place r has one more copy if a whole number lies in
+(fraction * (r - 1) + u, fraction * r + u].  Each draw alone is Bernoulli with that fraction, while
+neighbours in size balance each other: a stratum misses its share by about one document at most.
+
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, of all words; a target stops at
 `most` times its source's size and what is over goes to the others by weight, again and again.  That
 ends at target = min(most * size, level * weight), and the level follows in closed form from sums
 over the sources in order of size / weight.
 
 Edge cases: a null text has size 0; a null source is a source of its own, in the last place; a null
-doc_id is hashed as such; repeated rows draw the same copies; a source without words has target 0
+doc_id is hashed as such; rows that are equal throughout are interchangeable; a source without words has target 0
 and gives nothing; an empty table gives an empty result; other columns pass through or are ignored.
 """
 
@@ -20,12 +27,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, blank, uniform
+from .common import WORD, blank, durable, uniform
 
 #: The weights that sources take in turn, and the cap on a target.
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 SEED = 20_240_229
+STRATUM = 4096
 
 
 def words(text: Column | str) -> Column:
@@ -33,8 +41,8 @@ def words(text: Column | str) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """One row per source: __source, __source_size, __target, from rows with __source, __size."""
-    per = sized.groupBy("__source").agg(F.sum("__size").alias("__source_size"))
+    """One row per source: __source, __source_size, __target, __rows, from rows with __source, __size."""
+    per = sized.groupBy("__source").agg(F.sum("__size").alias("__source_size"), F.count(F.lit(1)).alias("__rows"))
     by_name = Window.orderBy(F.col("__source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights) + 1)
     per = per.withColumn("__w", weight).withColumn("__cap", most * F.col("__source_size"))
@@ -47,18 +55,25 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     # the level of the first source that its cap doesn't stop holds for all behind it
     holds = F.min(F.when(F.col("__level") * F.col("__w") <= F.col("__cap"), F.struct(F.col("__cap") / F.col("__w"), "__level"))).over(everything)
     share = F.coalesce(F.least(F.col("__cap"), holds["__level"] * F.col("__w")), F.col("__cap"))
-    return per.select("__source", "__source_size", share.cast("double").alias("__target"))
+    return per.select("__source", "__source_size", share.cast("double").alias("__target"), "__rows")
 
 
-def rates(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def rates(docs: DataFrame, seed: int = SEED, stratum: int = STRATUM) -> DataFrame:
     """`docs` with __size, __source_size, __target and __copies, one row per input row."""
     sized = docs.withColumn("__size", words("text")).withColumn("__source", F.col("source"))
-    per = targets(sized.select("__source", "__size")).withColumnRenamed("__source", "__of")
+    per = durable(targets(sized.select("__source", "__size"))).withColumnRenamed("__source", "__of")
+    # the same on every run and in every partitioning: it depends on the row alone
+    sized = sized.withColumn("__hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
     joined = sized.join(per, F.col("__source").eqNullSafe(F.col("__of")), "left")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    more = (uniform(F.col("doc_id"), seed=seed) < rate - whole).cast("long")
-    return joined.withColumn("__copies", F.least(whole + more, F.lit(int(MOST)).cast("long")))
+    strata = F.ceil(F.col("__rows") / F.lit(stratum))
+    joined = joined.withColumn("__rate", rate).withColumn("__stratum", F.pmod("__hash", strata))
+    by_size = Window.partitionBy("__source", "__stratum").orderBy(F.desc("__size"), "__hash", "doc_id")
+    placed = joined.withColumn("__place", F.row_number().over(by_size))
+    whole = F.floor("__rate")
+    fraction, u = F.col("__rate") - whole, uniform(F.col("__source"), F.col("__stratum"), seed=seed)
+    more = F.floor(fraction * F.col("__place") + u) - F.floor(fraction * (F.col("__place") - 1) + u)
+    return placed.withColumn("__copies", F.least(whole + more, F.lit(int(MOST)).cast("long")))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:

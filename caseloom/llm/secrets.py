@@ -38,7 +38,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run begins where its first 16 do
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: The words of ASSIGN, any of which must be in a text before the slower pattern is tried.
 HINT = re.compile(r"[wW][oO][rR][dD]|[wW][dD]|[eE][tT]|[kK][eE][nN]|[kK][eE][yY]")
-MARK = re.compile(r"""["']?\x20*[:=]\x20*""")
 #: Further kinds that the method adds to the base ones.
 EXTRA = {
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
