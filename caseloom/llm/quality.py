@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType
 
 from .common import blank, durable
 
-ROWS = 12_000
+ROWS = 8_000
 VOCABULARY = 200_000
 LEAST = 6
 GRADES = 3
@@ -200,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, vocabulary: int =
     if not data.num_rows:
         return Model({}, np.full(GRADES - 1, -40.0))
     ids = data["ids"].combine_chunks()
-    places, columns = np.unique(ids.flatten().to_numpy(), return_inverse=True)
+    places = ids.flatten().unique().sort().to_numpy()
+    columns = np.searchsorted(places, ids.flatten().to_numpy()).astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
     weights, thresholds = fit_ordinal(starts, columns, data["__grade"].to_numpy(), len(places))
     kept_weights = np.flatnonzero(np.abs(weights) > 1e-4)
