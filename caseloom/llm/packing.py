@@ -47,7 +47,7 @@ PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 END_OF_WORD = "</w>"
 SPECIAL = "<|"
 LONGEST = 64  # characters of the words that are remembered
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 Recipe = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many in a sequence), ...), sequences
 

@@ -41,7 +41,7 @@ EPOCHS = 100
 BATCH = 256
 RATE = 0.3
 SHRINK = 1e-3
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 PREFIXES = (3, 4, 5, 6, 7)  # letters
 MARKS = string.punctuation + "«»„“”‘’¡¿…–—"
 
