@@ -1,7 +1,7 @@
 """Operator 3, sharding [native]: a Feistel permutation with cycle walking over row numbers.
 
 Rows get global numbers 0..n-1 in the order of (bucket, doc_id, crc, size), where the bucket is a
-fixed hash of doc_id: counts per bucket are summed to offsets and rows are numbered within their
+fixed hash of these three, so that rows without a doc_id spread too: counts per bucket are summed to offsets and rows are numbered within their
 bucket, so no task ever sorts more than a bucket and no single task numbers everything.  A keyed
 Feistel network over Z_a x Z_b with a*b >= n, a = ceil(sqrt n), permutes them; numbers that land at
 or beyond n walk on along their cycle.  At most a*b-n < a numbers lie out there, so a walk ends in
@@ -11,7 +11,7 @@ Any (row number, seed) gives its shard and slot by arithmetic alone.
 
 Only doc_id, the byte count and the CRC are shuffled, never texts.
 
-Edge cases: a null text has size 8 and CRC 0; a null doc_id goes by the hash of null; fully equal
+Edge cases: a null text has size 8 and CRC 0; null doc_ids are numbered like others; fully equal
 rows are interchangeable; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -63,7 +63,7 @@ def permuted(number: Column, n: int, seed: int = SEED) -> Column:
 
 def numbered(rows: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
     """Rows with doc_id, size and text_crc32, plus `number`; and how many there are."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).alias("bucket")
     counts = rows.select(bucket).groupBy("bucket").count()
     first = [0] * (buckets + 1)
     for b, count in counts.collect():  # at most `buckets` pairs of numbers
