@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -64,7 +64,7 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         prints = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": prints})
+        yield pdf.drop(columns="text").assign(doc_id=pdf["doc_id"].astype("Int64"), fp=prints)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -72,6 +72,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """SHA-256 over all columns of a row: the same on every run, and equal for equal rows only."""
+    rest = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("-")), rest), 256))
+
+
 def spans(blocks: int) -> list[tuple[int, int]]:
     """(first bit, number of bits) of each span."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
@@ -177,21 +183,26 @@ def linked(pdf: pd.DataFrame) -> pd.DataFrame | None:
     return pd.DataFrame({"a": np.concatenate(ids), "b": np.concatenate(roots)}).drop_duplicates()
 
 
-def groups(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """component_id by fp: the least doc_id of all that its fingerprint reaches.
-
-    `prints` has doc_id and fp; it should be durable, as it is read more than once.
-    """
+def joined(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """`distinct`, which has each fp once and should be durable, with component: the least fp that fp reaches."""
     if radius != RADIUS:
         raise ValueError("the counters are built for a radius of 3")
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     if blocks is None:
         n = distinct.count()
         blocks = next(b for b, most in SPANS if n <= most)
     tiles = self_tiles(keyed(distinct.select("fp"), blocks, radius), "key", "fp", chunk)
     links = over_tiles(tiles, "key", linked, "a long, b long")
-    named = distinct.join(components(links), distinct["fp"] == F.col("id"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = durable(named)
+    named = distinct.join(components(links), distinct["fp"] == F.col("id"), "left").select(*distinct.columns, F.coalesce("component", "fp").alias("component"))
+    return durable(named)
+
+
+def groups(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """component_id by fp: the least doc_id of all that its fingerprint reaches.
+
+    `prints` has doc_id and fp; it should be durable, as it is read more than once.
+    """
+    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    named = joined(distinct, radius, blocks, chunk)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return durable(named.join(durable(least), "component").select("fp", "component_id"))
 
@@ -204,11 +215,27 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """`docs` with one row of each group, that of the least doc_id; columns as they were.
+    """`docs` with one row of each named group, that of the least doc_id, and each doc_id once.
 
-    Of fully or partly equal rows with one doc_id one stays; rows with a null doc_id stay only if
-    their group has no other row.
+    For tables whose doc_id is a key; see `one_per_group` for others.  Of fully or partly equal rows with one doc_id one stays; of all
+    rows with a null doc_id in groups without another one stays.
     """
     kept = near_duplicates(docs, chunk).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     some = docs.join(durable(kept), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
     return some.dropDuplicates(["doc_id"])
+
+
+def one_per_group(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """`docs` with exactly one row of each group; columns as they were.
+
+    It is the row of the least doc_id, a null one last, then of the least fingerprint and row key.
+    Groups are told apart by their fingerprints alone, so different texts under one doc_id, or
+    without one, all stay.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text"), row_key(docs).alias("row"))
+    prints = rows.mapInPandas(_fingerprints, "doc_id long, row binary, fp long")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "row")
+    named = joined(durable(prints.groupBy("fp").agg(F.min(order).alias("best"))), chunk=chunk)
+    kept = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__kept"))
+    some = docs.withColumn("__row", row_key(docs)).join(durable(kept), F.col("__row") == F.col("__kept"), "left_semi")
+    return some.dropDuplicates(["__row"]).drop("__row")
