@@ -2,8 +2,9 @@
 
 Counting covers every training row: each task adds its rows' n-gram counts to one dense vector per
 language, Spark sums those by (language, bucket), and the model, a matrix of log probabilities of
-`buckets` by languages, is all that reaches the driver (bounded by MAX_LANGS x buckets).  It is
-broadcast and applied to batches in numpy: per text a sparse count vector times the matrix.
+`buckets` by languages, is all that reaches the driver.  It is broadcast and applied to batches in
+numpy: per text a sparse count vector times the matrix.  Every language takes part: beyond LANGS of
+them the counts stay a durable table, and the texts meet one matrix of LANGS languages after another.
 
 The training rows are those whose crc32(doc_id as text) mod 4 is not 2, with text and lang not null;
 lang, source and doc_id never enter a prediction.
@@ -25,10 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.1
-MAX_LANGS = 1000
+LANGS = 256  # columns of a matrix, which bounds memory for very many languages
 UNKNOWN = "und"
 SLICE = 1 << 20  # characters hashed at a time, which bounds memory for very long texts
 
@@ -58,9 +61,8 @@ def grams(text: str, buckets: int = BUCKETS) -> np.ndarray:
     points = np.concatenate(([np.uint32(32)], points)).astype(np.uint64)
     for at in range(0, points.size, SLICE):
         part = points[at : at + SLICE + max(ORDERS) - 1]
-        last = at + SLICE >= points.size
         for n in ORDERS:
-            stop = part.size - n + 1 if last else SLICE
+            stop = min(SLICE, part.size - n + 1)  # those that start in this slice
             if stop <= 0:
                 continue
             mixed = np.full(stop, np.uint64(n))
@@ -90,11 +92,14 @@ def fold(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4).alias("__fold"))
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log probabilities by bucket and language) from rows with lang, text."""
+def counted(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """lang, bucket and n, the n-gram counts of all rows with lang and text."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sums = rows.mapInPandas(lambda it: _count(it, buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).orderBy("lang").limit(MAX_LANGS).collect()
+    return rows.mapInPandas(lambda it: _count(it, buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _matrix(sums: DataFrame, buckets: int) -> tuple[list[str], np.ndarray]:
+    packed = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c")).orderBy("lang").collect()
     table = np.full((buckets, len(packed)), SMOOTHING)
     for k, row in enumerate(packed):
         for bucket, n in row["c"]:
@@ -102,6 +107,11 @@ def train(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.nd
     return [r["lang"] for r in packed], np.log(table / table.sum(axis=0))
 
 
+def train(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
+    """(languages in order, log probabilities by bucket and language) from rows with lang, text."""
+    return _matrix(counted(labelled, buckets), buckets)
+
+
 def score(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str, float]:
     """(language, posterior of the mean n-gram log odds raised by the root of their number)."""
     counts = grams(text, len(table)) if text is not None and langs else np.zeros(0)
@@ -128,6 +138,40 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _better(batches: Iterator[pd.DataFrame], langs: list[str], table: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Best language, its log odds and the sum of all posteriors over its own, with `langs` added."""
+    for pdf in batches:
+        found = []
+        for text, held, best, mass in zip(pdf["text"], pdf["lang_pred"], pdf["best"], pdf["mass"], strict=True):
+            counts = grams(text, len(table)) if text is not None else np.zeros(0)
+            if not counts.size:
+                found.append((UNKNOWN, 0.0, 0.0))
+                continue
+            at = np.flatnonzero(counts)
+            logs = (counts[at] @ table[at]) / np.sqrt(counts.sum())
+            k = int(np.argmax(logs))
+            top = logs[k] if held is None else max(best, logs[k])
+            own = 0.0 if held is None else mass * np.exp(best - top)
+            found.append((langs[k] if held is None or logs[k] > best else held, float(top), float(own + np.exp(logs - top).sum())))
+        yield pdf.assign(lang_pred=[f[0] for f in found], best=[f[1] for f in found], mass=[f[2] for f in found])
+
+
+def predict_in_blocks(docs: DataFrame, sums: DataFrame, langs: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """What `predict` gives, with a matrix of at most LANGS languages in memory at a time."""
+    schema = "doc_id long, held_out boolean, text string, lang_pred string, best double, mass double"
+    held = F.coalesce(F.col("__fold") == 2, F.lit(False)).alias("held_out")
+    state = fold(docs).select("doc_id", held, "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(0.0).alias("best"), F.lit(0.0).alias("mass"))
+    for k in range(0, len(langs), LANGS):
+        some = langs[k : k + LANGS]
+        model = docs.sparkSession.sparkContext.broadcast(_matrix(sums.where(F.col("lang").between(some[0], some[-1])), buckets))
+        state = durable(state.mapInPandas(lambda it, model=model: _better(it, *model.value), schema))
+        model.unpersist()
+    return state.select("doc_id", "held_out", "lang_pred", F.when(F.col("mass") > 0, 1 / F.col("mass")).otherwise(0.0).alias("score"))
+
+
 def identify(docs: DataFrame) -> DataFrame:
-    langs, table = train(fold(docs).where(F.col("__fold") != 2))
-    return predict(docs, langs, table)
+    sums = durable(counted(fold(docs).where(F.col("__fold") != 2)))
+    langs = [r["lang"] for r in sums.select("lang").distinct().orderBy("lang").collect()]
+    if len(langs) > LANGS:
+        return predict_in_blocks(docs, sums, langs)
+    return predict(docs, *_matrix(sums, BUCKETS))

@@ -55,3 +55,26 @@ def test_edge_cases(nasty, nothing):
     assert not any(r.held_out for r in rows if r.doc_id is None)
     assert language.identify(nothing).count() == 0
     assert {r.lang_pred for r in language.identify(nasty.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def test_every_length_around_a_slice(monkeypatch):
+    whole = {n: language.grams("abcde" * 6 + "x" * n) for n in range(40)}
+    monkeypatch.setattr(language, "SLICE", 16)
+    assert all((language.grams("abcde" * 6 + "x" * n) == want).all() for n, want in whole.items())
+    monkeypatch.undo()
+    for n in range(2**20 - 2, 2**20 + 3):
+        assert language.grams("a" * n).sum() == 3 * (n + 1) - 3
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    rows = [(k, "zebra zigzag zones", "zz") for k in range(8)] + [(100 + k, "".join(chr(97 + k // 26**j % 26) for j in range(3)) * 3, f"a{k:04d}") for k in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs).collect()}
+    assert {got[k][0] for k in range(8)} == {"zz"}
+    some = docs.where("doc_id < 140")
+    want = {r.doc_id: r for r in language.identify(some).collect()}
+    monkeypatch.setattr(language, "LANGS", 7)
+    for r in language.identify(some).collect():
+        assert r.score == pytest.approx(want[r.doc_id].score)
+        # sums in another order may break a tie otherwise
+        assert r.lang_pred == want[r.doc_id].lang_pred or r.score < 0.5
