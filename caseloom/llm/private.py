@@ -49,14 +49,20 @@ CYRILLIC = ("ба", "ден", "фал", "гор", "лин", "яс", "кел", "
 NOT_BEFORE, NOT_AFTER = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
 NAME_PART = r"\p{Lu}[\p{L}’'-]+"
+OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+IP = rf"(?:{OCTET}\.){{3}}{OCTET}(?!\.?[\p{{L}}\p{{N}}])"
+#: The usual shapes, each with one separator throughout; tried first, so that a number beside a card stays its own.
+CARD = "|".join(["[0-9]{13,19}", *(f"[0-9]{{4}}(?:{s}[0-9]{{4}}){{3}}(?:{s}[0-9]{{3}}(?![0-9]))?|[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{4,5}}|[0-9]{{6}}{s}[0-9]{{13}}" for s in (r"\x20", "-"))])
+#: 16 digits or more behind the plus, spelled out as lookbehinds need it.
+TOO_LONG = r"\+" + r"[\x20.()-]{0,2}[0-9]" * 16 + r"[\x20.()-]{0,2}[0-9]?" * 3
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "name": rf"{NOT_BEFORE}(?:{TITLES})\.?\x20{NAME_PART}(?:\x20{NAME_PART}){{0,2}}",
     "iban": rf"{NOT_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?{NOT_AFTER}",
-    "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[\p{{L}}\p{{N}}])",
+    "ip": rf"(?<![\p{{L}}\p{{N}}.]){IP}",
     "ssn": rf"{NOT_BEFORE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\p{{L}}\p{{N}}-])",
-    "card": rf"{NOT_BEFORE}[0-9](?:[\x20-]?[0-9]){{12,18}}{NOT_AFTER}",
-    "phone": rf"(?:\+[0-9]{{1,3}}[\x20.-]?(?:\([0-9]{{1,4}}\)[\x20.-]?)?[0-9]{{2,4}}(?:[\x20.-]?[0-9]{{2,4}}){{1,3}}|\([0-9]{{3}}\)\x20?[0-9]{{3}}[.-][0-9]{{4}}|{NOT_BEFORE}[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){NOT_AFTER}",
+    "card": rf"{NOT_BEFORE}(?:{CARD}|(?![0-9]{{1,4}}[\x20-](?:{CARD}){NOT_AFTER})[0-9](?:[\x20-]?[0-9]){{12,18}}){NOT_AFTER}",
+    "phone": rf"(?:\+1[\x20.-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[\x20.-]?[0-9]{{3}}[\x20.-]?[0-9]{{4}}{NOT_AFTER}|\+[0-9]{{1,3}}[\x20.-]?(?:\([0-9]{{1,4}}\)[\x20.-]?)?[0-9]{{2,4}}(?:[\x20.-]?(?!{IP})[0-9]{{2,4}}){{1,3}}(?<!{TOO_LONG})|\([0-9]{{3}}\)\x20?[0-9]{{3}}[.-][0-9]{{4}}|{NOT_BEFORE}[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}}){NOT_AFTER}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that most texts without entities fail.

@@ -80,3 +80,21 @@ def test_real_rows(spark, data):
         assert forms.split(r.text) == forms.split(new[r.doc_id])
         assert not set(forms.findall(r.text)) & set(forms.findall(new[r.doc_id]))
     assert docs.where(F.col("text").contains("@")).count() > 0
+
+
+def test_numbers_beside_each_other_stay_their_own(spark):
+    phones, card = ("+1 (826) 555-4081", "+44 20 7946 0958"), "7536784127813050"
+    spaced = "7536 7841 2781 3050"
+    tails = [" 190.137.223.204", " 2024"]
+    texts = [*phones, *(p + tails[0] for p in phones), phones[0] + tails[1], "+49 30 1234 5678", "+49 30 1234 5678 2024", card, card + " 12", "12 " + card, spaced, spaced + " 12", "12 " + spaced, spaced.replace(" ", "-") + " 12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {texts[r.doc_id]: r.text for r in private.replace(docs).collect()}
+    for p in phones:
+        both = new[p + tails[0]]
+        assert new[p] != p and both.startswith(new[p] + " ")
+        assert re.fullmatch(r"\d+(\.\d+){3}", both.removeprefix(new[p] + " ")) and not set(tails[0].split(".")[1:]) <= set(both.split("."))
+    assert new[phones[0] + " 2024"] == new[phones[0]] + " 2024"
+    assert new["+49 30 1234 5678 2024"] == new["+49 30 1234 5678"] + " 2024"
+    assert new[card] != card and new[card + " 12"] == new[card] + " 12" and new["12 " + card] == "12 " + new[card]
+    assert new[spaced].replace(" ", "") == new[card] and new[spaced + " 12"] == new[spaced] + " 12" and new["12 " + spaced] == "12 " + new[spaced]
+    assert new[spaced.replace(" ", "-") + " 12"] == new[spaced].replace(" ", "-") + " 12"
