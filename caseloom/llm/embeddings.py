@@ -3,12 +3,18 @@
 Vectors are scaled to length 1 and rotated by a fixed orthogonal matrix, which spreads what they
 differ in over all coordinates.  cosine >= c means a squared distance of at most 2 - 2c.  The rotated
 coordinates are cut into blocks; by the pigeonhole principle a linked pair is, in some block, within
-that block's share of the squared distance (in proportion to its width).  So each block is
-range-joined under its own budget: its first coordinates are cut into cells twice as wide as the
-block's radius, a vector lives in one cell and also probes every cell its radius touches, and the
-rows of a cell meet in tiles of bounded size.  A pair is taken in the first block that lets it
-through, so the union of candidates has each pair once, and it is verified there with the original
-vectors in double precision.  A tile passes on counts and a star forest: linear in its rows.
+that block's share of the squared distance (in proportion to its width).  Each block is range-joined
+under its own budget, and the union of the candidates is verified with the original vectors in
+double precision.
+
+The range joins run in tiles of bounded size: the vectors of a label are dealt into chunks, every
+pair of chunks meets in one task, and one matrix product per block gives all its squared distances
+there.  A vector so travels once per chunk of its label, whatever the number of blocks.  Grid cells
+over a block's coordinates would be keys as well, but a block's radius is about as long as the spread
+of a coordinate at the cosines of interest, so that cells with their neighbours hold most of a label
+and a vector would travel dozens of times; the README has the figures.
+
+A tile passes on counts and a star forest, which is linear in its rows, and never its pairs.
 
 Vectors are compared only under equal labels and widths.  Equal vectors of a label are joined first
 and stand as one with their number; each has the others as links.
@@ -22,7 +28,6 @@ vectors of their own.  Empty table: empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pandas as pd
@@ -31,14 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import durable
 from .components import components
-from .tiles import cross_tiles, forest, over_tiles
+from .tiles import forest, over_tiles, self_tiles
 
 COSINE = 0.93
 BLOCK = 8  # coordinates of a block
 SEED = 11
-SLACK = 1e-9  # of squared distances, for rounding in the rotation
-CELL_ROWS = 2048  # rows in a cell to aim at
-CHUNK = 2048  # rows of a side of a tile
+SLACK = 2e-5  # of squared distances, for rounding in the rotation and in single-precision products
+CHUNK = 4096  # rows of a side of a tile
+QUERIES = 512  # rows of a tile compared with the rest at a time
+AT_ONCE = 1 << 16  # pairs verified at a time
 
 
 def rotation(width: int) -> np.ndarray:
@@ -73,81 +79,69 @@ def unpacked(cells: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(-1, width).astype(np.float64)
 
 
-def _celled(batches, cosine: float, dims: int, role: str):
-    total = 2 - 2 * cosine
-    for pdf in batches:
-        for (label, width), rows in pdf.groupby(["label", "width"], sort=False):
-            place = turned(unpacked(rows["embedding"], int(width)))
-            vid = rows["vid"].to_numpy()
-            for b, (start, stop) in enumerate(cuts(int(width))):
-                radius = math.sqrt(total * (stop - start) / width + SLACK)
-                coords = place[:, start : min(stop, start + dims)]
-                low = np.floor((coords - (radius if role == "probe" else 0)) / (2 * radius)).astype(np.int64)
-                # a cell is two radii wide, so a probe touches its lowest cell and the next
-                for pick in itertools.product((0, 1), repeat=coords.shape[1] if role == "probe" else 0):
-                    cell = low + np.array(pick, np.int64) if pick else low
-                    key = np.full(len(rows), hash((int(label), int(width), b)) & 0x7FFFFFFF, np.uint64)
-                    for column in cell.T:
-                        key = (key ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                        key ^= key >> np.uint64(31)
-                    yield pd.DataFrame({"key": key.view(np.int64), "label": label, "block": b, "width": width, "vid": vid, "mult": rows["mult"].to_numpy(), "embedding": rows["embedding"].to_numpy()})
+def _stretched(part: np.ndarray, query: bool) -> np.ndarray:
+    """Rows whose products, of a query and another, are squared distances."""
+    norm, one = (part**2).sum(axis=1, keepdims=True), np.ones((len(part), 1))
+    return np.hstack([-2 * part, norm, one] if query else [part, one, norm]).astype(np.float32)
+
+
+def let_through(queries: np.ndarray, members: np.ndarray, cosine: float) -> np.ndarray:
+    """Which (query, member) some block lets through: within its share of the squared distance.
+
+    Both are turned vectors.  Every pair with that cosine is among them.
+    """
+    width = queries.shape[1]
+    some = np.zeros((len(queries), len(members)), bool)
+    for start, stop in cuts(width):
+        budget = (2 - 2 * cosine) * (stop - start) / width + SLACK
+        far = _stretched(queries[:, start:stop], True) @ _stretched(members[:, start:stop], False).T
+        some |= far <= np.float32(budget)
+    return some
+
+
+def linked(raw: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows `left` and rows `right` of `raw`, each once; the same rows twice: within them."""
+    place = turned(raw)
+    length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+    within = left is right
+    found = [(left[:0], right[:0])]
+    for at in range(0, len(left), QUERIES):
+        rows, others = left[at : at + QUERIES], right[at if within else 0 :]
+        some = let_through(place[rows], place[others], cosine)
+        i, j = np.nonzero(np.triu(some, 1) if within else some)
+        for k in range(0, len(i), AT_ONCE):
+            a, b = rows[i[k : k + AT_ONCE]], others[j[k : k + AT_ONCE]]
+            near = np.einsum("ij,ij->i", raw[a], raw[b]) / (length[a] * length[b]) >= cosine
+            found.append((a[near], b[near]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def _verify(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
-    """Links of the homes of each tile with its probes; see the module's docstring."""
-    found, ids, roots = [], [], []
-    total = 2 - 2 * cosine
+    """Counts and stars of the links of each tile; see `links`."""
+    out = []
     for _, rows in pdf.groupby("tile", sort=False):
-        for (_, b, width), part in rows.groupby(["label", "block", "width"], sort=False):
-            home, probe = (part[part["side"] == k] for k in (0, 1))
-            if not len(home) or not len(probe):
-                continue
-            raw_h, raw_p = (unpacked(x["embedding"], int(width)) for x in (home, probe))
-            h, p = turned(raw_h), turned(raw_p)
-            edges = cuts(int(width))
-            budget = [total * (stop - start) / width + SLACK for start, stop in edges]
-            start, stop = edges[b]
-            hb, pb = h[:, start:stop], p[:, start:stop]
-            far = (hb**2).sum(axis=1)[:, None] + (pb**2).sum(axis=1) - 2 * hb @ pb.T
-            i, j = np.nonzero(far <= budget[b] + 1e-7)
-            vid_h, vid_p = home["vid"].to_numpy(), probe["vid"].to_numpy()
-            other = vid_h[i] != vid_p[j]
-            i, j = i[other], j[other]
-            for k in range(0, len(i), 1 << 16):
-                a, c = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                apart = (h[a] - p[c]) ** 2
-                first = np.full(len(a), -1)
-                for n in range(b, -1, -1):
-                    first[apart[:, edges[n][0] : edges[n][1]].sum(axis=1) <= budget[n]] = n
-                a, c = a[first == b], c[first == b]
-                x, y = raw_h[a], raw_p[c]
-                cos = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-                a, c = a[cos >= cosine], c[cos >= cosine]
-                if len(a):
-                    n = np.bincount(a, probe["mult"].to_numpy()[c], len(home)).astype(np.int64)
-                    hit = np.flatnonzero(n)
-                    found.append(pd.DataFrame({"a": vid_h[hit], "b": -1, "n": n[hit]}))
-                    v, r = forest(a, len(home) + c, np.concatenate([vid_h, vid_p]))
-                    ids.append(v)
-                    roots.append(r)
-    if not found:
-        return None
-    stars = pd.DataFrame({"a": np.concatenate(ids), "b": np.concatenate(roots), "n": 0}).drop_duplicates()
-    return pd.concat([*found, stars], ignore_index=True)
-
-
-def links(distinct: DataFrame, cosine: float = COSINE, dims: int | None = None, chunk: int = CHUNK) -> DataFrame:
+        raw = unpacked(rows["embedding"], int(rows["width"].iloc[0]))
+        vid, mult, side = rows["vid"].to_numpy(), rows["mult"].to_numpy(), rows["side"].to_numpy()
+        if rows["tile_a"].iloc[0] == rows["tile_b"].iloc[0]:
+            left = right = np.arange(len(rows))
+        else:
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = linked(raw, left, right, cosine)
+        if len(a):
+            n = (np.bincount(a, mult[b], len(rows)) + np.bincount(b, mult[a], len(rows))).astype(np.int64)
+            hit = np.flatnonzero(n)
+            v, r = forest(a, b, vid)
+            out += [pd.DataFrame({"a": vid[hit], "b": -1, "n": n[hit]}), pd.DataFrame({"a": v, "b": r, "n": 0})]
+    return pd.concat(out, ignore_index=True) if out else None
+
+
+def links(distinct: DataFrame, cosine: float = COSINE, chunk: int = CHUNK) -> DataFrame:
     """a, b, n: rows with b = -1 add n to the links of a, rows with n = 0 link a and b.
 
-    `distinct` has vid, label, width, mult, embedding (packed); it should be durable.  `dims` is how many of
-    a block's coordinates are cut into cells: as many as halving the largest label calls for.
+    `distinct` has vid (0 or more, unique), label, width, mult, embedding (packed); it should be durable.
     """
-    if dims is None:
-        most = distinct.groupBy("label", "width").count().agg(F.max("count")).first()[0] or 0
-        dims = min(BLOCK, max(1, math.ceil(math.log2(max(most, 1) / CELL_ROWS))))
-    schema = "key long, label int, block int, width int, vid long, mult long, embedding binary"
-    homes, probes = (distinct.mapInPandas(lambda it, r=r: _celled(it, cosine, dims, r), schema) for r in ("home", "probe"))
-    tiles = cross_tiles(homes, probes, "key", "vid", chunk)
+    keyed = distinct.withColumn("key", F.shiftleft(F.col("label").cast("long"), 32).bitwiseOR(F.col("width").cast("long"))).drop("label")
+    tiles = self_tiles(keyed, "key", "vid", chunk)
     return over_tiles(tiles, "key", lambda pdf: _verify(pdf, cosine), "a long, b long, n long", rows=4096)
 
 
@@ -161,9 +155,9 @@ def near_duplicates(table: DataFrame, cosine: float = COSINE, chunk: int = CHUNK
     rows = rows.withColumn("same", F.when(F.col("usable"), same))
     distinct = rows.where("usable").groupBy("same").agg(F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
     single = table.schema["embedding"].dataType.simpleString() == "array<float>"
-    kept = distinct.select("same", F.xxhash64("same").alias("vid"), "label", F.size("embedding").alias("width"), "mult", "least", "embedding")
+    kept = distinct.select("same", F.monotonically_increasing_id().alias("vid"), "label", F.size("embedding").alias("width"), "mult", "least", "embedding")
     distinct = durable(kept.mapInPandas(lambda it: _packed(it, single), "same string, vid long, label int, width int, mult long, least long, embedding binary"))
-    found = durable(links(distinct.select("vid", "label", "width", "mult", "embedding"), cosine, None, chunk))
+    found = durable(links(distinct.select("vid", "label", "width", "mult", "embedding"), cosine, chunk))
     counted = found.where("b = -1").groupBy(F.col("a").alias("vid")).agg(F.sum("n").alias("n"))
     joined = components(found.where("n = 0").select("a", "b")).withColumnRenamed("id", "vid")
     named = distinct.select("same", "vid", "mult", "least").join(counted, "vid", "left").join(joined, "vid", "left")

@@ -33,19 +33,6 @@ def self_tiles(rows: DataFrame, key: str, by: str, chunk: int = CHUNK) -> DataFr
     return other.select(*rows.columns, F.least("__c", "__d").alias("tile_a"), F.greatest("__c", "__d").alias("tile_b"), (F.col("__c") > F.col("__d")).cast("int").alias("side"))
 
 
-def cross_tiles(homes: DataFrame, probes: DataFrame, key: str, by: str, chunk: int = CHUNK) -> DataFrame:
-    """Rows of both sides with tile_a, tile_b and side (0: home, 1: probe), for all pairs of a key."""
-    both = homes.withColumn("side", F.lit(0)).unionByName(probes.withColumn("side", F.lit(1)))
-    counts = durable(both.groupBy(key).agg(F.count_if(F.col("side") == 0).alias("__h"), F.count_if(F.col("side") == 1).alias("__p")).where("__h > 0 and __p > 0"))
-    dealt = both.join(counts, key)
-    chunks = lambda n: F.ceil(F.col(n) / chunk).cast("int")
-    own = F.when(F.col("side") == 0, chunks("__h")).otherwise(chunks("__p"))
-    far = F.when(F.col("side") == 0, chunks("__p")).otherwise(chunks("__h"))
-    dealt = dealt.withColumn("__c", F.pmod(F.xxhash64(by), own).cast("int")).withColumn("__d", F.explode(F.sequence(F.lit(0), far - 1)))
-    is_home = F.col("side") == 0
-    return dealt.select(*both.columns, F.when(is_home, F.col("__c")).otherwise(F.col("__d")).alias("tile_a"), F.when(is_home, F.col("__d")).otherwise(F.col("__c")).alias("tile_b"))
-
-
 def over_tiles(tiles: DataFrame, key: str, work: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str, rows: int = 16_384) -> DataFrame:
     """`work` on frames that hold whole tiles only, with about `rows` rows at least, or one tile.
 
