@@ -50,3 +50,9 @@ def blank(text: Column | str) -> Column:
 def uniform(*cols: Column, seed: int) -> Column:
     """A number in [0, 1) from a keyed hash: the same on every run and in every partitioning."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") * F.lit(2.0**-53)
+
+
+def row_key(docs: DataFrame) -> Column:
+    """SHA-256 over all columns of a row: the same on every run, and equal for equal rows only."""
+    rest = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
+    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("-")), rest), 256))

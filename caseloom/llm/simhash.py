@@ -22,11 +22,11 @@ their row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -72,12 +72,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text")).mapInPandas(_fingerprints, "doc_id long, fp long")
 
 
-def row_key(docs: DataFrame) -> Column:
-    """SHA-256 over all columns of a row: the same on every run, and equal for equal rows only."""
-    rest = F.to_json(F.struct(*(F.col(c) for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
-    return F.unhex(F.sha2(F.concat_ws("|", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("-")), rest), 256))
-
-
 def spans(blocks: int) -> list[tuple[int, int]]:
     """(first bit, number of bits) of each span."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
@@ -100,30 +94,41 @@ def keyed(prints: DataFrame, blocks: int, radius: int = RADIUS) -> DataFrame:
 
 
 def vertical(members: np.ndarray) -> np.ndarray:
-    """Bit planes of rows of 64 fingerprints: word p of row r holds bit p of its members as lanes."""
-    bits = np.unpackbits(members.astype("<u8").view(np.uint8).reshape(len(members), 64, 8), axis=2, bitorder="little")
-    words = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
-    return np.ascontiguousarray(words).view("<u8").reshape(len(members), 64)
+    """Bit planes of rows of 64 prints of one or more words: word p of a row holds bit p of its members as lanes."""
+    rows, lanes, words = members.shape
+    bits = np.unpackbits(members.astype("<u8").view(np.uint8).reshape(rows, lanes, 8 * words), axis=2, bitorder="little")
+    packed = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view("<u8").reshape(rows, 64 * words)
+
+
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _differing(queries: np.ndarray, blocks: np.ndarray, planes: np.ndarray, p: int) -> np.ndarray:
+    """Lanes whose bit p differs from the query's."""
+    bit = (queries[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
+    return planes[blocks, p] ^ np.where(bit, FULL, np.uint64(0))
 
 
 def near(queries: np.ndarray, block_of: np.ndarray, planes: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(item, lanes within the radius) where query i meets block block_of[i]; lanes: valid ones."""
+    """(item, lanes within the radius) where query i meets block block_of[i]; lanes: valid ones.
+
+    Two counter bits and an overflow, for a radius of at most 3.
+    """
     if radius >= 4:
         raise ValueError("two counter bits and an overflow count to 3")
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
     item = np.arange(len(queries))
     out = ~lanes[block_of]  # lanes that are out: no member there, or too far
     one, two = np.zeros(len(item), np.uint64), np.zeros(len(item), np.uint64)
     query, block = queries, block_of
-    for p in range(64):
-        lane_bit = np.where((query >> np.uint64(p)) & np.uint64(1), full, np.uint64(0))
-        x = planes[block, p] ^ lane_bit
+    for p in range(planes.shape[1]):
+        x = _differing(query, block, planes, p)
         carry = one & x
         one ^= x
         out |= two & carry  # a fourth difference
         two ^= carry
         if p % 4 == 3:
-            live = out != full
+            live = out != FULL
             if not live.all():
                 item, query, block, out, one, two = (v[live] for v in (item, query, block, out, one, two))
             if not len(item):
@@ -134,22 +139,62 @@ def near(queries: np.ndarray, block_of: np.ndarray, planes: np.ndarray, lanes: n
     return item, ~out
 
 
-def linked(pdf: pd.DataFrame) -> pd.DataFrame | None:
-    """Stars of the links within each tile of a frame with tile, side, tile_a, tile_b, fp."""
-    prints = pdf["fp"].to_numpy().view(np.uint64)
-    tile, side = pdf["tile"].to_numpy(), pdf["side"].to_numpy()
-    own = (pdf["tile_a"] == pdf["tile_b"]).to_numpy()
-    is_query, is_member = own | (side == 0), own | (side == 1)
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum, carry) of three bits in every lane: a carry-save adder."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def near_wide(queries: np.ndarray, block_of: np.ndarray, planes: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `near`, for any radius of 8 m - 1: eight planes at a time go through carry-save adders.
+
+    What is left of them, one bit that counts eights, goes into counters that start m short of their
+    overflow, so a lane is out when it has differed 8 m times.
+    """
+    m = (radius + 1) // 8
+    if radius != 8 * m - 1 or m < 1:
+        raise ValueError("the radius must be one less than a multiple of 8")
+    high = m.bit_length()
+    start = (1 << high) - m
+    n = len(queries)
+    item, query, block, out = np.arange(n), queries, block_of, ~lanes[block_of]
+    state = [np.zeros(n, np.uint64) for _ in range(3)] + [np.full(n, FULL if start >> k & 1 else np.uint64(0)) for k in range(high)]
+    for p in range(0, planes.shape[1], 8):
+        x = [_differing(query, block, planes, p + k) for k in range(8)]
+        ones, twos, fours, *eights = state
+        carries = []
+        for k in range(0, 8, 2):
+            ones, c = _add(ones, x[k], x[k + 1])
+            carries.append(c)
+        twos, first = _add(twos, carries[0], carries[1])
+        twos, second = _add(twos, carries[2], carries[3])
+        fours, carry = _add(fours, first, second)
+        for k in range(high):
+            eights[k], carry = eights[k] ^ carry, eights[k] & carry
+        out = out | carry
+        state = [ones, twos, fours, *eights]
+        if p % 64 == 56:
+            live = out != FULL
+            if not live.all():
+                item, query, block, out = item[live], query[live], block[live], out[live]
+                state = [v[live] for v in state]
+            if not len(item):
+                break
+    return item, ~out
+
+
+def hits(prints: np.ndarray, tile: np.ndarray, is_query: np.ndarray, is_member: np.ndarray, compare: Callable, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, member) places that `compare` finds within each tile, a bounded number of blocks at a time."""
     at = np.flatnonzero(is_member)
     if not len(at):
-        return None
+        return
     # members of a tile in blocks of 64 lanes
     tiles, first, count = np.unique(tile[at], return_index=True, return_counts=True)
     lane = np.arange(len(at)) - np.repeat(first, count)
     blocks = -(-count // 64)
     base = np.cumsum(blocks) - blocks
     row = np.repeat(base, count) + lane // 64
-    members = np.zeros((int(blocks.sum()), 64), np.uint64)
+    members = np.zeros((int(blocks.sum()), 64, prints.shape[1]), np.uint64)
     place = np.full((int(blocks.sum()), 64), -1, np.int64)
     members[row, lane % 64], place[row, lane % 64] = prints[at], at
     valid = np.bitwise_or.reduce(np.where(place >= 0, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0)), axis=1)
@@ -159,8 +204,6 @@ def linked(pdf: pd.DataFrame) -> pd.DataFrame | None:
     k = np.searchsorted(tiles, tile[q])
     met = (k < len(tiles)) & (tiles[np.minimum(k, len(tiles) - 1)] == tile[q])
     q, k = q[met], k[met]
-    ids, roots = [], []
-    limit = 1 << 18  # items at a time
     ends = np.cumsum(blocks[k])
     start = 0
     while start < len(q):
@@ -169,18 +212,33 @@ def linked(pdf: pd.DataFrame) -> pd.DataFrame | None:
         n = blocks[ks]
         query = np.repeat(qs, n)
         block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(base[ks], n)
-        item, hit = near(prints[query], block, planes, valid)
+        item, hit = compare(prints[query], block, planes, valid)
         i, j = np.nonzero(np.unpackbits(hit.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        a, b = query[item[i]], place[block[item[i]], j]
-        other = prints[a] != prints[b]
-        if other.any():
-            x, r = forest(a[other], b[other], prints.view(np.int64))
-            ids.append(x)
-            roots.append(r)
+        yield query[item[i]], place[block[item[i]], j]
         start = stop
-    if not ids:
-        return None
-    return pd.DataFrame({"a": np.concatenate(ids), "b": np.concatenate(roots)}).drop_duplicates()
+
+
+def roles(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tile, is_query and is_member of a frame of whole tiles."""
+    side, own = pdf["side"].to_numpy(), (pdf["tile_a"] == pdf["tile_b"]).to_numpy()
+    return pdf["tile"].to_numpy(), own | (side == 0), own | (side == 1)
+
+
+def stars(prints: np.ndarray, ids: np.ndarray, pdf: pd.DataFrame, compare: Callable) -> pd.DataFrame | None:
+    """Links within each tile, thinned to stars: a, b."""
+    found = []
+    for a, b in hits(prints, *roles(pdf), compare):
+        other = ids[a] != ids[b]
+        if other.any():
+            x, r = forest(a[other], b[other], ids)
+            found.append(pd.DataFrame({"a": x, "b": r}))
+    return pd.concat(found, ignore_index=True).drop_duplicates() if found else None
+
+
+def linked(pdf: pd.DataFrame) -> pd.DataFrame | None:
+    """Stars of the links within each tile of a frame with tile, side, tile_a, tile_b, fp."""
+    fp = pdf["fp"].to_numpy()
+    return stars(fp.view(np.uint64)[:, None], fp, pdf, near)
 
 
 def joined(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
@@ -212,30 +270,3 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     prints = durable(fingerprints(docs))
     by_print = groups(prints, chunk=chunk)
     return prints.join(by_print, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """`docs` with one row of each named group, that of the least doc_id, and each doc_id once.
-
-    For tables whose doc_id is a key; see `one_per_group` for others.  Of fully or partly equal rows with one doc_id one stays; of all
-    rows with a null doc_id in groups without another one stays.
-    """
-    kept = near_duplicates(docs, chunk).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    some = docs.join(durable(kept), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return some.dropDuplicates(["doc_id"])
-
-
-def one_per_group(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """`docs` with exactly one row of each group; columns as they were.
-
-    It is the row of the least doc_id, a null one last, then of the least fingerprint and row key.
-    Groups are told apart by their fingerprints alone, so different texts under one doc_id, or
-    without one, all stay.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text"), row_key(docs).alias("row"))
-    prints = rows.mapInPandas(_fingerprints, "doc_id long, row binary, fp long")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "row")
-    named = joined(durable(prints.groupBy("fp").agg(F.min(order).alias("best"))), chunk=chunk)
-    kept = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("__kept"))
-    some = docs.withColumn("__row", row_key(docs)).join(durable(kept), F.col("__row") == F.col("__kept"), "left_semi")
-    return some.dropDuplicates(["__row"]).drop("__row")

@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 reread as the next one's docs.  All but the last return the columns of `docs`.
 
 1. quality classifier: documents that it rejects go;
-2. SimHash near-dedup: one row of each group stays, that of the least doc_id, a null one last;
+2. SimHash near-dedup: documents with a similarity of 0.8 or more on five-word shingles are a group, of
+   which one row stays, that of the least doc_id, a null one last;
 3. secret scans: every finding is replaced by a marker, other documents stay byte for byte;
 4. mixing: each document as many times as its source's target rate draws it;
 5. best-fit packing: one row per piece with its sequence and place.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import mixing, packing, quality, secrets, simhash
+from caseloom.llm import mixing, nearcopies, packing, quality, secrets
 from caseloom.llm.common import durable, read
 
 
@@ -25,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_per_group(docs)
+    return nearcopies.one_per_group(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import corpus_pipeline
 from caseloom.llm import packing, quality, secrets, simhash
 from test_packing import check_pack
-from test_simhash import brute, by_definition
+from test_nearcopies import brute
 
 
 def test_stages_on_their_own_input(spark, data):
@@ -20,9 +20,8 @@ def test_stages_on_their_own_input(spark, data):
     assert len(toxic & want) <= 0.05 * len(toxic)
 
     one = corpus_pipeline.durable(stages["SimHash near-dedup"](spark, kept, sf))
-    rows = kept.collect()
-    groups = brute([r.doc_id for r in rows], [by_definition(r.text) for r in rows])
-    assert sorted(r.doc_id for r in one.collect()) == sorted(set(groups))
+    rows = kept.orderBy("doc_id").collect()
+    assert sorted(r.doc_id for r in one.collect()) == [rows[g].doc_id for g in sorted(set(brute([r.text for r in rows])))]
 
     clean = corpus_pipeline.durable(stages["secret scans"](spark, one, sf))
     before = {r.doc_id: r.text for r in one.collect()}

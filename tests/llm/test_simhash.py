@@ -63,7 +63,7 @@ def test_near_counts_every_lane():
         queries[1:] ^= np.uint64(1 << b)
     members[:, 7] = queries ^ np.uint64(1 << 60)
     full = np.full(5, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    item, hits = simhash.near(queries, np.arange(5), simhash.vertical(members), full)
+    item, hits = simhash.near(queries[:, None], np.arange(5), simhash.vertical(members[:, :, None]), full)
     for i, h in zip(item, hits, strict=True):
         want = sum(1 << k for k in range(64) if (int(queries[i]) ^ int(members[i, k])).bit_count() <= 3)
         assert int(h) == want
@@ -87,33 +87,3 @@ def test_edge_cases(nasty, nothing):
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in out), key=key) == sorted(((r.doc_id, f"{p:016x}", c) for r, p, c in zip(rows, prints, want, strict=True)), key=key)
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.keep_one(nasty)
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and kept.columns == nasty.columns
-    assert {None, 1, 2, 6, 7, 9} <= set(ids) and not {3, 5, 8} & set(ids)
-    assert simhash.keep_one(nothing).count() == 0
-
-
-def test_one_row_of_each_group_whatever_its_id(spark, nasty, nothing):
-    words = [f"{w}{k}" for k in range(40) for w in ("alpha", "beta", "gamma")]
-    x, y, u, v, w = (" ".join(random.Random(k).sample(words, 60)) for k in range(5))
-    rows = [(3, x, "a"), (7, x, "a"), (7, y, "a"), (7, y, "b"), (7, y, "b"), (None, u, "a"), (None, u, "b"), (None, v, "a"), (None, x, "a"), (9, w, None), (None, w, "a")]
-    for k in (1, 3):
-        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(k)
-        kept = simhash.one_per_group(docs)
-        assert kept.columns == docs.columns
-        got = [tuple(r) for r in kept.collect()]
-        assert sorted((r[:2] for r in got), key=repr) == sorted([(3, x), (7, y), (None, u), (None, v), (9, w)], key=repr)
-        first = got if k == 1 else first
-        assert sorted(got, key=repr) == sorted(first, key=repr)
-    left = sorted((r.doc_id or 0, r.text or "") for r in simhash.one_per_group(nasty).collect())
-    assert [d for d, _ in left] == [0, 1, 1, 2, 6, 7, 9]
-    assert simhash.one_per_group(nothing).count() == 0
-
-
-def test_pipeline_keeps_every_group(spark):
-    import corpus_pipeline
-
-    texts = [" ".join(random.Random(k).choices("abcdefghij", k=50)) for k in range(6)]
-    docs = spark.createDataFrame([(None if k < 4 else 5, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    assert sorted(r.text for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, "").collect()) == sorted(texts)
