@@ -40,7 +40,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private.replace(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("__entities", "n_entities")
+    key = spark.conf.get("spark.caseloom.private.key", "an example: set a secret one")
+    return private.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), key, "n_entities")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
