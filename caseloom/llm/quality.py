@@ -7,13 +7,15 @@ tail P(grade >= 2) decides: below 1/2 a document is rejected.
 
 Features of a whole text, each present or not: every distinct word (lower case, stripped of marks),
 its prefixes of 3 to 7 letters, marks at a token's end, and coarse shares of the text (repetition,
-capitals, marks, digits, distinct lines).  They are hashed to 2**31 places, of which a bounded vocabulary gets
-weights.
+capitals, marks, digits, distinct lines).  They are hashed to PLACES places, each with one weight, so the
+model's size is fixed and no feature is left out.
 
-Fitted on a bounded sample: at most `rows` labelled rows, those of least hash of doc_id, and at most
-`vocabulary` features that at least `least` of them have.  Every document is scored.
+Fitted on a bounded sample: at most `rows` labelled documents, those of least hash of doc_id.  Every
+document is scored.
 
-Edge cases: rows of `labels` with both ratings null, or without a document, teach nothing; without
+Edge cases: rows of `labels` with both ratings null, or without a document, teach nothing; a doc_id
+rated several times has the lowest of its grades, and of several texts under one doc_id the first in
+order teaches; without
 any usable label every document gets the top grade and stays; null and empty texts have only the
 feature "empty"; null and repeated doc_ids are carried through; other columns pass or are ignored.
 """
@@ -34,20 +36,21 @@ from pyspark.sql.types import DoubleType
 from .common import blank, durable
 
 ROWS = 8_000
-VOCABULARY = 200_000
-LEAST = 6
+PLACES = 1 << 20
 GRADES = 3
 EPOCHS = 100
 BATCH = 256
 RATE = 0.3
 SHRINK = 1e-3
+CAUTION = 1e-4  # squared slope that every weight starts with
+RARE = 8  # documents with a feature at which its weight moves at a quarter of the full rate
 REMEMBERED = 1 << 17
 PREFIXES = (3, 4, 5, 6, 7)  # letters
 MARKS = string.punctuation + "«»„“”‘’¡¿…–—"
 
 
 def place(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % PLACES
 
 
 def of_token(token: str) -> list[int]:
@@ -97,30 +100,30 @@ def features(text: str) -> np.ndarray:
 
 
 class Model:
-    """Weights by place, and ordered thresholds."""
+    """A weight for each place, and ordered thresholds."""
 
-    def __init__(self, weights: dict[int, float], thresholds: np.ndarray):
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def score(self, text: str) -> float:
         """The same sum over distinct features that the model was fitted on."""
         tokens = text.split()
         distinct = set(tokens)
-        weights, known = self.weights, self.known
-        seen = {}
-        for t in distinct:
-            got = known.get(t)
-            if got is None:
-                got = tuple((p, weights[p]) for p in of_token(t) if p in weights)
-                if len(known) < REMEMBERED:
-                    known[t] = got
-            if got:
+        known, seen = self.known, set(of_whole(text, tokens, distinct))
+        try:
+            seen.update(*map(known.__getitem__, distinct))
+        except KeyError:
+            for t in distinct:
+                got = known.get(t)
+                if got is None:
+                    got = tuple(of_token(t))
+                    if len(known) < REMEMBERED:
+                        known[t] = got
                 seen.update(got)
-        for p in of_whole(text, tokens, distinct):
-            if p in weights:
-                seen[p] = weights[p]
-        return float(sum(sorted(seen.values())))
+        places = np.fromiter(seen, np.int64, len(seen))
+        places.sort()  # one order of additions, whatever the order of the set
+        return float(self.weights[places].sum())
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..., as columns."""
@@ -130,18 +133,21 @@ class Model:
 def fit_ordinal(starts: np.ndarray, columns: np.ndarray, grades: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by adaptive gradient steps on the cumulative-link likelihood.
 
-    The means over the later half of the epochs: single steps swing around the optimum.
+    The means over the later half of the epochs: single steps swing around the optimum.  What is rare
+    moves less, or the sample is explained by its rare words and nothing is learned from the common ones.
 
     Row i has the features columns[starts[i]:starts[i + 1]].  For the logistic link the score's
     gradient at grade k is 1 - P(>= k) - P(>= k + 1), with P(>= 0) = 1 and P(>= GRADES) = 0.
     """
     rng = np.random.default_rng(5)
-    weights, seen = np.zeros(width), np.full(width, 1e-8)
+    weights, seen = np.zeros(width), np.full(width, CAUTION)
     share = [max(1e-3, min(1 - 1e-3, (grades >= k).mean())) for k in range(1, GRADES)]
     thresholds = np.array([-np.log(s / (1 - s)) for s in share])
     thresholds = np.maximum.accumulate(thresholds + np.arange(GRADES - 1) * 1e-3)
     seen_t = np.full(GRADES - 1, 1e-8)
     sizes = np.diff(starts)
+    n = np.bincount(columns, minlength=width)
+    trust = RATE * (n / (n + RARE)) ** 2
     mean, mean_t, held = np.zeros(width), np.zeros(GRADES - 1), 0
     for epoch in range(EPOCHS):
         order = rng.permutation(len(grades))
@@ -159,7 +165,7 @@ def fit_ordinal(starts: np.ndarray, columns: np.ndarray, grades: np.ndarray, wid
             grad = np.flatnonzero(np.bincount(cols, minlength=width))
             step = np.bincount(cols, slope[owner], width)[grad] / len(rows)
             seen[grad] += step**2
-            rate = RATE / np.sqrt(seen[grad])
+            rate = trust[grad] / np.sqrt(seen[grad])
             moved = weights[grad] + rate * step
             weights[grad] = np.sign(moved) * np.maximum(np.abs(moved) - rate * SHRINK, 0)
             mass = np.maximum(here - above, 1e-9)
@@ -183,29 +189,27 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("__id"), blank("text").alias("__text"))
     have = graded.join(texts.select("__id").distinct(), F.col("__doc") == F.col("__id"), "left_semi")
     chosen = have.orderBy(F.xxhash64("__doc"), "__doc").limit(rows)
-    return texts.join(F.broadcast(chosen), F.col("__id") == F.col("__doc")).select("__doc", "__grade", "__text").dropDuplicates(["__doc"])  # `rows` rows of two numbers
+    met = texts.join(F.broadcast(chosen), F.col("__id") == F.col("__doc"))  # `rows` rows of two numbers
+    return met.groupBy("__doc", "__grade").agg(F.min("__text").alias("__text"))
 
 
 def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"__doc": pdf["__doc"], "__grade": pdf["__grade"], "ids": [features(t) for t in pdf["__text"]]})
+        yield pd.DataFrame({"__doc": pdf["__doc"], "__grade": pdf["__grade"], "ids": [np.sort(features(t)).astype(np.int32) for t in pdf["__text"]]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, vocabulary: int = VOCABULARY, least: int = LEAST) -> Model:
-    featured = durable(sample(docs, labels, rows).mapInPandas(_featured, "__doc long, __grade int, ids array<long>"))
-    each = featured.select("__doc", "__grade", F.explode("ids").alias("id"))
-    common = each.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "id").limit(vocabulary).select("id")
-    kept = each.join(F.broadcast(common), "id").groupBy("__doc", "__grade").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # `vocabulary` ids
-    data = kept.toArrow().sort_by("__doc")  # at most `rows` rows of the `vocabulary`
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
+    featured = durable(sample(docs, labels, rows).mapInPandas(_featured, "__doc long, __grade int, ids array<int>"))
+    data = featured.toArrow().sort_by("__doc")  # at most `rows` rows
     if not data.num_rows:
-        return Model({}, np.full(GRADES - 1, -40.0))
+        return Model(np.zeros(PLACES), np.full(GRADES - 1, -40.0))
     ids = data["ids"].combine_chunks()
-    places = ids.flatten().unique().sort().to_numpy()
-    columns = np.searchsorted(places, ids.flatten().to_numpy()).astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
-    weights, thresholds = fit_ordinal(starts, columns, data["__grade"].to_numpy(), len(places))
-    kept_weights = np.flatnonzero(np.abs(weights) > 1e-4)
-    return Model({int(places[k]): float(weights[k]) for k in kept_weights}, thresholds)
+    places, columns = np.unique(ids.flatten().to_numpy(), return_inverse=True)  # the others' weights stay 0
+    found, thresholds = fit_ordinal(starts, columns.astype(np.int32), data["__grade"].to_numpy(), len(places))
+    weights = np.zeros(PLACES)
+    weights[places] = found
+    return Model(weights, thresholds)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> Column:
@@ -232,4 +236,6 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` without the documents that the model rejects; columns as they were."""
-    return docs.withColumn("__score", scored(docs, model)).where(tail(F.col("__score"), model.thresholds[-1]) >= 0.5).drop("__score")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rated = docs.select(whole, scored(docs, model).alias("score"))
+    return rated.where(tail(F.col("score"), model.thresholds[-1]) >= 0.5).select("whole.*")
