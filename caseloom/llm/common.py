@@ -22,22 +22,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the cluster names none."""
+    """The folder all executors share; where the cluster names none, one of our own in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         named = getattr(shared_dir, "own", None)
         if named is None:
             shared_dir.own = named = tempfile.mkdtemp(prefix="caseloom-")
     return named.rstrip("/")
 
 
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/caseloom/{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a table in the shared folder, read back with its schema.
 
     Unlike a checkpoint the result carries no partitioning, so a later join exchanges both sides
     and adaptive execution can split a hot key.
     """
-    path = f"{shared_dir(df.sparkSession)}/caseloom/{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

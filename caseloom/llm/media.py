@@ -4,7 +4,8 @@ A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, becom
 grey-scale PNG that is 64 samples wide.  The writer tries the row filters none, sub and up on the
 picture and keeps what has the least sum of absolute differences; the reader takes any of the five
 filters, tests the signature, every chunk's CRC, the zlib checksum, the header and the number of
-samples, and undoes the filters with numpy.  The feature is the sign pattern, against its median, of
+samples, and undoes the filters with numpy.  Pictures are written to a table as a binary column, and
+everything else is derived from what is read back from there.  The feature is the sign pattern, against its median, of
 the 8 x 8 lowest frequencies of the two-dimensional cosine transform, without the constant term.
 
 Edge cases: null and empty texts store 64 zero bytes (n_bytes 0); equal texts give equal values in
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank
+from .common import blank, durable
 
 WIDTH = 64
 LOW = 8
@@ -35,7 +36,8 @@ GREY = 0
 LEVEL = 3
 BLOCK_ROWS = 1 << 15
 
-COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
+STORED = "doc_id long, n_bytes long, media binary"
+COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, hash binary, media binary"
 
 
 class BadMedia(ValueError):
@@ -161,18 +163,33 @@ def payload(text: str | None) -> tuple[int, np.ndarray]:
     return len(data), np.frombuffer(data.ljust(size, b"\0"), np.uint8).reshape(-1, WIDTH)
 
 
-def _store(batches: Iterator[pd.DataFrame], keep: bool) -> Iterator[pd.DataFrame]:
+def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        made = [(n, encode(samples)) for n, samples in map(payload, pdf["text"])]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [n for n, _ in made], "media": [m for _, m in made]})
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc_id, text in zip(pdf["doc_id"].astype(object), pdf["text"], strict=True):
-            n, samples = payload(text)
-            media = encode(samples)
-            back = decode(media)
-            data = back.tobytes()
-            rows.append((None if pd.isna(doc_id) else int(doc_id), n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(back), media if keep else None))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"doc_id": "Int64"})
-
-
-def stored(docs: DataFrame, keep: bool = True) -> DataFrame:
-    """One row per document with its picture in `media` (null unless `keep`) and what was read back."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text")).mapInPandas(lambda it: _store(it, keep), COLUMNS)
+        for media in pdf["media"]:
+            samples = decode(media)
+            data, low = samples.tobytes(), feature(samples)
+            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), low, bytes.fromhex(low)))
+        found = pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")[2:-1]], index=pdf.index)
+        yield pd.concat([pdf.drop(columns="media"), found, pdf[["media"]]], axis=1).astype({"doc_id": "Int64"})
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and the picture of every row's text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), blank("text").alias("text")).mapInPandas(_store, STORED)
+
+
+def described(pictures: DataFrame) -> DataFrame:
+    """What the pictures of a table like `encoded`'s hold."""
+    return pictures.mapInPandas(_read, COLUMNS)
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """One row per document with its picture and what was read back from the table it was written to."""
+    return described(durable(encoded(docs)))

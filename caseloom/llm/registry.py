@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, language, media, mixing, packing, private, quality, secrets, sharding, simhash
-from .common import read
+from .common import fresh, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_paths(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    ledger = spark.conf.get("spark.caseloom.secrets.ledger", None) or fresh(spark)
+    return secrets.scan_paths(read(spark, sf_dir, "documents"), ledger).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored(read(spark, sf_dir, "documents"), keep=False).drop("media")
+    return media.stored(read(spark, sf_dir, "documents"))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,17 @@
 """Operator 1, secret scans: an incremental blob ledger.
 
-Every version of a text is a *blob*, addressed by the SHA-256 of its bytes.  The ledger is a table
-of (blob, rules, findings): a blob that this rule version has seen is never scanned again.  A run
+Every version of a text is a *blob*, addressed by the SHA-256 of its bytes.  The ledger is a Parquet
+table in a shared folder, of (blob, rules, findings): a blob that this rule version has seen is never
+scanned again.  A run
 
 1. addresses every row, keeps blobs whose (blob, rules) pair the ledger lacks (anti join), one row
    per blob (partial aggregation first, so thousands of copies shuffle once per task),
 2. scans only those, whole, and appends the outcome to the ledger,
-3. joins the ledger's findings back to every path, here every row, that holds the blob.
+3. joins the ledger's findings back to every path, here every row, that holds the blob.  A table with
+   every historical version of a path as a row of its own is covered version by version.
+
+A run that is lost before its append leaves the ledger as it was; two runs at once may append a blob
+twice, which readers count once.
 
 Edge cases: a null text is the empty blob; rows with equal texts share one scan and get equal
 findings; a null or repeated ``doc_id`` is carried through unchanged, one result row per input row;
@@ -20,7 +25,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -85,40 +91,57 @@ def addressed(docs: DataFrame) -> DataFrame:
     return docs.select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("blob_text"))
 
 
-def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger in folder `path`, empty before the first run."""
+    try:
+        return spark.read.schema(FINDINGS).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FINDINGS)
+
+
+def seen_in(ledger: DataFrame) -> DataFrame:
+    """The findings of each blob under the present rules."""
+    return ledger.where(F.col("rules") == RULES).dropDuplicates(["blob"])
+
+
+def scan_unseen(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """New ledger rows: one for each blob of `docs` that `ledger` lacks under the present rules."""
-    blobs = addressed(docs)
-    if ledger is not None:
-        seen = ledger.where(F.col("rules") == RULES).select("blob").distinct()
-        blobs = blobs.join(seen, "blob", "left_anti")
-    return durable(blobs.dropDuplicates(["blob"]).mapInPandas(_scan, FINDINGS))
+    seen = ledger.where(F.col("rules") == RULES).select("blob")
+    return addressed(docs).join(seen, "blob", "left_anti").dropDuplicates(["blob"]).mapInPandas(_scan, FINDINGS)
+
+
+def extend(docs: DataFrame, path: str) -> DataFrame:
+    """The ledger in folder `path` after a scan of what `docs` has that it lacks."""
+    spark = docs.sparkSession
+    scan_unseen(docs, ledger_at(spark, path)).write.mode("append").parquet(path)
+    return ledger_at(spark, path)
 
 
-def scan_paths(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings of every row of `docs`, the rows to append to the ledger)."""
-    new = scan_unseen(docs, ledger)
-    whole = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == RULES).dropDuplicates(["blob"]))
+def scan_paths(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, blob and findings of every row of `docs`; the ledger in `path` is read and extended."""
     paths = docs.select("doc_id", F.sha2(blank("text").cast("binary"), 256).alias("blob"))
-    return paths.join(whole, "blob", "left"), new
+    return paths.join(seen_in(extend(docs, path)), "blob", "left")
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, marker: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, path: str, marker: str = "[secret]") -> DataFrame:
     """`docs` with every finding's span replaced by `marker`; clean rows stay byte for byte.
 
     Overlapping spans are merged first.  ``n_chars`` follows the text where that column exists.
-    Only rows whose blob has findings go through Python.
+    Only rows whose blob has findings go through Python.  The ledger in `path` is read and extended.
     """
-    new = scan_unseen(docs, ledger)
-    whole = new if ledger is None else new.unionByName(ledger.where(F.col("rules") == RULES).dropDuplicates(["blob"]))
-    dirty = whole.where(F.col("spans") != "").select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__blob", F.sha2(blank("text").cast("binary"), 256))
-    marked = keyed.join(dirty, "__blob", "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("__spans"), F.lit(marker)))
-    out = marked.withColumn("text", text)
+    found = seen_in(extend(docs, path)).where(F.col("spans") != "")
+    dirty = durable(found.select(F.col("blob").alias("dirty"), "spans"))  # its size tells Spark how to join
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    keyed = docs.select(whole, F.sha2(blank("text").cast("binary"), 256).alias("blob"))
+    marked = keyed.join(dirty, F.col("blob") == F.col("dirty"), "left")
+    text = F.when(F.col("spans").isNull(), F.col("whole.text")).otherwise(_cut(F.col("whole.text"), F.col("spans"), F.lit(marker)))
+    out = marked.withColumn("new", text)
+    columns = {c: F.col("whole").getField(c) for c in docs.columns} | {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        kept = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
-        out = out.withColumn("n_chars", kept)
-    return out.select(*docs.columns)
+        columns["n_chars"] = F.when(F.col("spans").isNull(), F.col("whole.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 @F.pandas_udf(StringType())

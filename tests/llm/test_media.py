@@ -65,6 +65,7 @@ def check(docs, rows):
     assert sorted((r.payload_sha256, r.payload_bytes, r.n_bytes, r.tail_crc32) for r in rows) == want
     by = {}
     for r in rows:
+        assert r.hash.hex() == r.feature and media.decode(r.media).size == r.payload_bytes
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
         assert by.setdefault(r.payload_sha256, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
 
@@ -74,3 +75,10 @@ def test_rows(spark, data, nasty, nothing):
     check([r.text for r in docs.collect()], media.stored(docs).collect())
     check([r.text for r in nasty.collect()], media.stored(nasty).collect())
     assert media.stored(nothing).count() == 0
+
+
+def test_damaged_column_is_noticed(spark):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    bad = media.encoded(docs).selectExpr("doc_id", "n_bytes", "unhex(concat(substr(hex(media), 1, 90), '00', substr(hex(media), 93))) AS media")
+    with pytest.raises(Exception, match="BadMedia"):
+        media.described(bad).collect()

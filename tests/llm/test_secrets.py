@@ -3,6 +3,7 @@ import random
 import re
 
 from caseloom.llm import secrets
+from caseloom.llm.common import fresh
 
 FORMS = {
     "assign": r"""(?i:(?:p(?:assword|asswd)|secret|token|api_?key))["']?\x20*[:=]\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)""",
@@ -33,7 +34,7 @@ def test_find_matches_definition_on_random_texts():
 
 def test_query_over_real_rows(spark, data):
     docs = spark.read.parquet(f"{data}/sf0.001/documents.parquet")
-    found, _ = secrets.scan_paths(docs)
+    found = secrets.scan_paths(docs, fresh(spark))
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = found.collect()
     assert len(rows) == len(texts)
@@ -41,24 +42,34 @@ def test_query_over_real_rows(spark, data):
         assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == by_definition(texts[r.doc_id])
 
 
-def test_edge_cases(nasty, nothing):
-    found, ledger = secrets.scan_paths(nasty)
-    rows = found.collect()
+def test_edge_cases(spark, nasty, nothing):
+    path = fresh(spark)
+    rows = secrets.scan_paths(nasty, path).collect()
     assert len(rows) == 11 and sorted(r.n_assign for r in rows) == [0] * 8 + [1] * 3
-    assert ledger.count() == nasty.selectExpr("coalesce(text, '')").distinct().count()
-    assert secrets.scan_paths(nothing)[0].count() == 0
+    assert secrets.ledger_at(spark, path).count() == nasty.selectExpr("coalesce(text, '')").distinct().count()
+    assert secrets.scan_paths(nothing, fresh(spark)).count() == 0
+    assert secrets.redact(nothing, fresh(spark)).count() == 0
 
 
-def test_ledger_scans_only_unseen(spark, nasty):
-    _, ledger = secrets.scan_paths(nasty)
-    assert secrets.scan_unseen(nasty, ledger).count() == 0
-    more = spark.createDataFrame([(20, "new token: 0123456789abcdef0123"), (21, "")], "doc_id long, text string")
-    found, new = secrets.scan_paths(more, ledger)
-    assert new.count() == 1 and {r.doc_id: r.n_assign for r in found.collect()} == {20: 1, 21: 0}
+def test_ledger_scans_only_unseen(spark, nasty, monkeypatch):
+    path = fresh(spark)
+    assert secrets.ledger_at(spark, path).count() == 0
+    secrets.scan_paths(nasty, path)
+    n = secrets.ledger_at(spark, path).count()
+    assert secrets.scan_unseen(nasty, secrets.ledger_at(spark, path)).count() == 0
+    secrets.scan_paths(nasty, path)
+    assert secrets.ledger_at(spark, path).count() == n
+    # later versions of a path are rows of their own; one of them is new
+    more = spark.createDataFrame([(20, "new token: 0123456789abcdef0123"), (20, ""), (20, "new token: 0123456789abcdef0123")], "doc_id long, text string")
+    found = secrets.scan_paths(more, path)
+    assert secrets.ledger_at(spark, path).count() == n + 1 and sorted(r.n_assign for r in found.collect()) == [0, 1, 1]
+    # under other rules everything is unseen again
+    monkeypatch.setattr(secrets, "RULES", "others")
+    assert secrets.scan_unseen(nasty, secrets.ledger_at(spark, path)).count() == n
 
 
-def test_redaction_changes_findings_only(nasty):
-    out = secrets.redact(nasty)
+def test_redaction_changes_findings_only(spark, nasty):
+    out = secrets.redact(nasty, fresh(spark))
     assert out.columns == nasty.columns
     texts = sorted(str(r.text) for r in out.select("text").collect())
     want = sorted(str(r.text).replace("token = abcdef1234567890", "[secret]") for r in nasty.select("text").collect())
