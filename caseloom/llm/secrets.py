@@ -122,7 +122,8 @@ def extend(docs: DataFrame, path: str) -> DataFrame:
 def scan_paths(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, blob and findings of every row of `docs`; the ledger in `path` is read and extended."""
     paths = docs.select("doc_id", F.sha2(blank("text").cast("binary"), 256).alias("blob"))
-    return paths.join(seen_in(extend(docs, path)), "blob", "left")
+    # a table of its own: Spark knows its size, and can split a blob that very many paths hold
+    return paths.join(durable(seen_in(extend(docs, path))), "blob", "left")
 
 
 def redact(docs: DataFrame, path: str, marker: str = "[secret]") -> DataFrame:
