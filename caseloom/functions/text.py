@@ -84,15 +84,15 @@ def likely_duplicate(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return ((key != "") & (key == dedupe_key(b["resolution"]))) | (alike >= 0.95) | ((same("thread_url") | same("source_ref")) & (alike >= 0.45))
 
 
-@F.pandas_udf(StringType())
-def fold_words(values: pd.Series) -> pd.Series:
+def plain_words(text: str | None) -> str:
     """Compatibility-decomposed, without marks, lower-case ASCII words."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", " ", plain.lower()).strip()
 
-    def one(v):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", v or "") if not unicodedata.combining(c))
-        return re.sub("[^a-z0-9]+", " ", plain.lower()).strip()
 
-    return values.map(one)
+@F.pandas_udf(StringType())
+def fold_words(values: pd.Series) -> pd.Series:
+    return values.map(plain_words)
 
 
 @F.pandas_udf(StringType())
@@ -150,25 +150,32 @@ def clean_post(text: Column, least: int = 40) -> Column:
 
 #: Words that say a thread was solved, by language; English always counts.
 SOLVED = {
-    "cs": ("vyreseno", "vyresene", "opraveno", "opravene", "spraveno", "pomohlo", "funguje", "hotovo", "vyresil", "vyresilo"),
-    "sk": ("vyriesene", "opravene", "funguje", "pomohlo", "hotovo"),
-    "de": ("gelost", "erledigt", "behoben", "repariert", "funktioniert", "losung", "geklart"),
+    "cs": ("vyřešeno", "vyrešeno", "vyřešené", "opraveno", "opravené", "spraveno", "pomohlo", "funguje", "hotovo", "vyřešil", "vyřešilo"),
+    "sk": ("vyriešené", "opravené", "funguje", "pomohlo", "hotovo"),
+    "de": ("gelöst", "erledigt", "behoben", "repariert", "funktioniert", "lösung", "geklärt"),
     "en": ("solved", "fixed", "resolved", "working", "sorted", "repaired", "success"),
-    "pl": ("rozwiazane", "naprawione", "dziala"),
-    "fr": ("resolu", "repare", "fonctionne"),
+    "pl": ("rozwiązane", "naprawione", "działa"),
+    "fr": ("résolu", "réparé", "fonctionne"),
     "nl": ("opgelost", "gerepareerd", "werkt"),
 }
 
 
 def resolution_signal(folded_title: Column, language: Column) -> Column:
-    """How many solved-words of the language, or English, stand in a folded title as whole words."""
+    """How many solved-words of the language, or English, stand in a title folded by `fold_words`.
+
+    The words are folded alike, so a letter that has no plain form is a gap in both.
+    """
     lang = F.lower(F.substring(F.coalesce(language, F.lit("")), 1, 2))
-    words = F.array(*map(F.lit, SOLVED["en"]))
-    for name, own in SOLVED.items():
-        if name != "en":
-            words = F.when(lang == name, F.array(*map(F.lit, dict.fromkeys((*SOLVED["en"], *own))))).otherwise(words)
     padded = F.concat(F.lit(" "), F.coalesce(folded_title, F.lit("")), F.lit(" "))
-    return F.size(F.filter(words, lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" ")))))
+    languages: dict[str, set[str]] = {}
+    for name, own in SOLVED.items():
+        for word in map(plain_words, own):
+            languages.setdefault(word, set()).add(name)
+    found = F.lit(0)
+    for word, names in languages.items():
+        holds = F.contains(padded, F.lit(f" {word} "))
+        found = found + (holds if "en" in names else holds & lang.isin(*sorted(names))).cast("int")
+    return found
 
 
 def discard_bucket(reason: Column) -> Column:
@@ -220,7 +227,8 @@ FUELS = (
 
 
 def fuel_type(engine: Column) -> Column:
-    found = F
+    """The first fuel with a mark in the text; one pass tells texts without any."""
+    found = F.when(~engine.rlike("|".join(f"(?:{p})" for _, p in FUELS)), F.lit(None).cast("string"))
     for fuel, pattern in FUELS:
         found = found.when(engine.rlike(pattern), fuel)
     return found.otherwise(None)
@@ -274,7 +282,3 @@ def forum_software(page: Column, least: int = 2) -> Column:
     for name, marks in SOFTWARE:
         found = found.when(sum((page.rlike(m).cast("int") for m in marks), F.lit(0)) >= least, name)
     return found.otherwise("generic")
-
-
-
-

@@ -117,15 +117,39 @@ def against_known(candidates: DataFrame, known: DataFrame, newest: int = 200) ->
     """Each candidate with duplicate or clear: any of its brand's newest known cases is likely it.
 
     Brand names match by containment, either name being cut to its first word for the blocking key.
+    What is compared, keys and tokens, is computed once per row, before rows meet.
     """
     plain = lambda c: F.lower(clean(c))
     word = lambda c: F.get(F.split(plain(c), " "), 0)
-    a = candidates.select(F.col("id").alias("cid"), plain(F.col("vehicle_brand")).alias("cb"), word(F.col("vehicle_brand")).alias("block"), *(F.col(c).alias(f"c_{c}") for c in ("thread_url", "source_ref", "resolution")))
-    b = known.select(plain(F.col("vehicle_brand")).alias("kb"), word(F.col("vehicle_brand")).alias("block"), "created_at", F.col("id").alias("kid"), *(F.col(c).alias(f"k_{c}") for c in ("thread_url", "source_ref", "resolution")))
+
+    def compared(rows: DataFrame, side: str, *more: Column) -> DataFrame:
+        r = F.col("resolution")
+        return rows.select(F.col("id").alias(f"{side}id"), plain(F.col("vehicle_brand")).alias(f"{side}b"), word(F.col("vehicle_brand")).alias("block"), *more, clean(F.col("thread_url")).alias(f"{side}_url"), clean(F.col("source_ref")).alias(f"{side}_ref"), T.dedupe_key(r).alias(f"{side}_key"), T.dedupe_tokens(r).alias(f"{side}_tokens"))
+
+    a, b = compared(candidates, "c"), compared(known, "k", F.col("created_at"))
     recent = b.withColumn("__n", F.row_number().over(Window.partitionBy("kb").orderBy(F.desc_nulls_last("created_at"), "kid"))).where(F.col("__n") <= newest)
-    pair = T.likely_duplicate(*({k: F.col(f"{side}_{k}") for k in ("thread_url", "source_ref", "resolution")} for side in ("c", "k")))
-    met = a.join(recent, "block", "left").withColumn("hit", F.contains("kb", F.col("cb")) & pair)
-    return met.groupBy("cid").agg(F.when(F.coalesce(F.bool_or("hit"), F.lit(False)), "duplicate").otherwise("clear").alias("status"), F.count_if(F.contains("kb", F.col("cb"))).alias("compared")).withColumnRenamed("cid", "id")
+    same = lambda k: (F.col(f"c_{k}") != "") & (F.col(f"c_{k}") == F.col(f"k_{k}"))
+    alike = T.overlap(F.col("c_tokens"), F.col("k_tokens"))
+    pair = (same("key") & (F.col("c_key") != "")) | (alike >= 0.95) | ((same("url") | same("ref")) & (alike >= 0.45))
+    named = F.contains("kb", F.col("cb"))
+    met = a.join(recent, "block", "left").withColumn("hit", named & pair)
+    return met.groupBy("cid").agg(F.when(F.coalesce(F.bool_or("hit"), F.lit(False)), "duplicate").otherwise("clear").alias("status"), F.count_if(named).alias("compared")).withColumnRenamed("cid", "id")
+
+
+def local_duplicates(cases: DataFrame) -> DataFrame:
+    """(id, other) of cases of one thread (id, thread_id, seq, case_author, resolution) and an earlier one
+    that is likely the same: by one author, or with one normalized resolution.
+
+    Two equi-joins to the earliest case with the author or the resolution, never all pairs of a thread.
+    """
+    author, key = F.lower(F.trim(F.coalesce("case_author", F.lit("")))), T.dedupe_key(F.col("resolution"))
+    rows = cases.select("id", "thread_id", "seq", author.alias("author"), key.alias("key"))
+    found = None
+    for c in ("author", "key"):
+        first = rows.where(F.col(c) != "").groupBy("thread_id", c).agg(F.min(F.struct("seq", F.col("id").alias("other"))).alias("f"))
+        met = rows.join(first, ["thread_id", c]).where(F.col("f.other") != F.col("id")).select("id", "f.seq", "f.other")
+        found = met if found is None else found.unionByName(met)
+    return found.groupBy("id").agg(F.min(F.struct("seq", "other"))["other"].alias("other"))
 
 
 def greedy_two_keys(rows: DataFrame, group: str, key: str, second: str, order: list[Column], most: int) -> DataFrame:

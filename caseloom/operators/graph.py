@@ -28,7 +28,9 @@ def vehicle_matches(vehicles: DataFrame, asked: DataFrame) -> DataFrame:
 
 def component_sections(sections: DataFrame, subsections: DataFrame, components: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, section) with the components found and how many sub-sections name them."""
-    hits = terms.join(components, _has(F.col("name"), F.col("term"))).select("query_id", F.col("subsection"), "name")
+    # containment is tested on distinct names, of which there are few; components follow by an equi-join
+    names = terms.join(components.select("name").distinct(), _has(F.col("name"), F.col("term"))).select("query_id", "name").distinct()
+    hits = names.join(components.select("subsection", "name"), "name")
     return hits.join(subsections.select(F.col("id").alias("subsection"), "section"), "subsection").groupBy("query_id", "section").agg(F.countDistinct("subsection").alias("sub_count"), F.array_sort(F.collect_set("name")).alias("found"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -73,13 +73,27 @@ def latest_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.coalesce("case_id", F.lit("")) != "").groupBy("case_id").agg(F.max_by(F.struct(*[c for c in labels.columns if c != "case_id"]), order).alias("l")).select("case_id", "l.*")
 
 
-def failure_clusters(labels: DataFrame) -> DataFrame:
-    """Per clause of wrongly accepted final verdicts: count, sure ones, up to 4 reasons, case ids."""
-    final = latest_labels(labels).where("wrongly_accepted")
+def _accused(labels: DataFrame) -> DataFrame:
     clause = F.when(F.col("failed_condition").rlike("^[a-e]$"), F.col("failed_condition")).otherwise("none")
-    firsts = lambda c, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("seq", c)))), lambda x: x[c])
-    per = final.groupBy(clause.alias("clause")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "high").alias("sure"), F.slice(firsts("reason", F.coalesce("reason", F.lit("")) != ""), 1, 4).alias("reasons"), firsts("case_id", F.lit(True)).alias("case_ids"), F.min("seq").alias("__first"))
-    return per.orderBy(F.desc("n"), "__first").drop("__first")
+    return latest_labels(labels).where("wrongly_accepted").withColumn("clause", clause)
+
+
+def failure_clusters(labels: DataFrame, most: int = 4) -> DataFrame:
+    """Per clause of wrongly accepted final verdicts: count, sure ones, the first few reasons.
+
+    The reasons are ranked first, which Spark cuts before the shuffle; `clause_members` has the cases.
+    """
+    final = _accused(labels)
+    per = final.groupBy("clause").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("confidence") == "high").alias("sure"), F.min("seq").alias("__first"))
+    ranked = final.where("coalesce(reason, '') <> ''").withColumn("__n", F.row_number().over(Window.partitionBy("clause").orderBy("seq"))).where(F.col("__n") <= most)
+    reasons = ranked.groupBy("clause").agg(F.array_sort(F.collect_list(F.struct("seq", "reason"))).alias("r")).select("clause", F.col("r.reason").alias("reasons"))
+    met = per.join(reasons, "clause", "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+    return met.orderBy(F.desc("n"), "__first").drop("__first")
+
+
+def clause_members(labels: DataFrame) -> DataFrame:
+    """(clause, case_id) of wrongly accepted final verdicts."""
+    return _accused(labels).select("clause", "case_id")
 
 
 def pooled(labels: DataFrame, today: Column, days: int) -> DataFrame:

@@ -31,9 +31,9 @@ def query(sql: str | None = None):
 # ---- ranking, semi and anti joins, sets
 
 
-@query("""SELECT lang AS asked_code, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY (CASE WHEN source = 'src3' THEN 0 ELSE 1 END), source, doc_id) AS n FROM documents WHERE source = 'src3' OR doc_id % 2 = 0) WHERE n = 1""")
+@query("""SELECT lang AS asked_code, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY (CASE WHEN source = 'src3' THEN 0 ELSE 1 END), source, doc_id) AS n FROM documents) WHERE n = 1""")
 def distinct_on_best(spark, d):
-    rows = table(spark, d, "documents").where("source = 'src3' OR doc_id % 2 = 0").select("lang", "source", "doc_id")
+    rows = table(spark, d, "documents").select("lang", "source", "doc_id")
     own = [F.when(F.col("source") == "src3", 0).otherwise(1), F.col("source"), F.col("doc_id")]
     return dedup.survivors(rows, ["lang"], own).select(F.col("lang").alias("asked_code"), "doc_id")
 
@@ -87,25 +87,36 @@ def brands_only_here(spark, d):
 # ---- retrieval
 
 _QUERY_WORDS = ("thing", "tion", "heure", "einung", "erent")
-_QUESTIONS = [(k, f"src{k}", m, "110 kW", str(90_000 + 10_000 * k), [w], [w, "ing"], " ".join(_QUERY_WORDS)) for k, (m, w) in enumerate(zip(("Octavia II (2006–2013)", "Octavia", "Transit", "Mondeo MK III", "Almera N16"), _QUERY_WORDS, strict=True))]
+_QUESTIONS = [(k, f"src{k}", m, "110 kW", str(90_000 + 10_000 * k), [f"P0{100 + 7 * k}", "U1A0C"], [w, "ing"], " ".join(_QUERY_WORDS)) for k, (m, w) in enumerate(zip(("Octavia II (2006–2013)", "Octavia", "Transit", "Mondeo MK III", "Almera N16"), _QUERY_WORDS, strict=True))]
 
 
 def _questions(spark):
     return spark.createDataFrame(_QUESTIONS, "query_id int, brand string, model string, engine string, mileage string, codes array<string>, symptoms array<string>, text string")
 
 
+#: The texts hold no codes of their own: each gets one or two behind it.
+_CODED = "concat(text, ' p0', CAST(100 + doc_id % 37 AS STRING), ', ', CASE WHEN doc_id % 3 = 0 THEN 'U1A0C' ELSE 'none' END)"
+_CODES = rf"list_distinct(list_transform(regexp_extract_all({_CODED}, '(?i)\b[PBCU][0-9A-F]{{4}}\b'), lambda x: upper(x)))"
+_BULLETIN = "https://static.nhtsa.gov/odi/tsbs/2024/"
+
+
 def _cases(spark, d):
+    """Whole texts, with codes, long words as symptoms, and every seventh from a bulletin."""
     rows = view(spark, d, "cases").withColumn("closed_at", F.timestamp_seconds(F.col("age")))
-    none = F.array().cast("array<string>")
-    return rows.withColumns({"symptoms": F.slice(F.split("description", " "), 1, 3), "obd_codes": none, "thread_url": F.lit(None).cast("string"), "description": F.concat_ws(" ", F.slice(F.split("description", " "), 1, 12))})
+    symptoms = F.array_sort(F.array_distinct(F.filter(F.split("description", " "), lambda w: F.length(w) > 14)))
+    url = F.concat(F.when(F.col("doc_id") % 7 == 0, _BULLETIN).otherwise("https://forum.example/t/"), F.col("doc_id").cast("string"))
+    return rows.withColumns({"symptoms": symptoms, "obd_codes": T.obd_codes(F.expr(_CODED.replace("text", "description"))), "thread_url": url})
+
+
+_FIRST_WORD = "CASE query_id " + " ".join(f"WHEN {q[0]} THEN '{q[2].split()[0].lower()}'" for q in _QUESTIONS) + " END"
 
 
 @query(
     cte("cases")
-    + f""", q(query_id, brand, prefix) AS (VALUES {", ".join(f"({q[0]}, '{q[1]}', '{q[2].split()[0].lower()}')" for q in _QUESTIONS)}),
-    m AS (SELECT query_id, id, age, starts_with(lower(vehicle_model), prefix) AS fam FROM cases JOIN q ON brand = vehicle_brand WHERE status = 'approved'),
-    r AS (SELECT query_id, id, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY age DESC, id) AS pos FROM m UNION ALL SELECT query_id, id, 2, row_number() OVER (PARTITION BY query_id ORDER BY age DESC, id) FROM m WHERE fam)
-    SELECT query_id, id, src, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY src, pos) AS n FROM r WHERE (src = 0 AND pos <= 200) OR (src = 2 AND pos <= 100)) WHERE n = 1"""
+    + f""", q(query_id, brand, prefix, code) AS (VALUES {", ".join(f"({q[0]}, '{q[1]}', '{q[2].split()[0].lower()}', '{q[5][0]}')" for q in _QUESTIONS)}),
+    m AS (SELECT query_id, id, age, starts_with(lower(vehicle_model), prefix) AS fam, list_contains({_CODES.replace("text", "description")}, code) AS coded FROM cases JOIN q ON brand = vehicle_brand WHERE status = 'approved'),
+    r AS (SELECT query_id, id, 0 AS src, row_number() OVER (PARTITION BY query_id ORDER BY age DESC, id) AS pos FROM m UNION ALL SELECT query_id, id, 1, row_number() OVER (PARTITION BY query_id ORDER BY age DESC, id) FROM m WHERE coded UNION ALL SELECT query_id, id, 2, row_number() OVER (PARTITION BY query_id ORDER BY age DESC, id) FROM m WHERE fam)
+    SELECT query_id, id, src, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY src, pos) AS n FROM r WHERE (src = 0 AND pos <= 200) OR (src = 1 AND pos <= 150) OR (src = 2 AND pos <= 100)) WHERE n = 1"""
 )
 def search_candidates(spark, d):
     return search.candidates(_cases(spark, d), _questions(spark)).select("q.query_id", "c.id", "src", "pos")
@@ -205,10 +216,24 @@ def similar_pairs(spark, d):
     return pairs.where(alike >= 0.02).select("a", "b", F.round(alike, 6).alias("alike"))
 
 
-@query()
+_KNOWN = "SELECT doc_id AS id, source AS brand, text, doc_id AS age FROM documents UNION ALL SELECT 1000000 + item_id, concat('src', CAST((item_id - item_id % 2) % 20 AS STRING)), text, 1000000 + item_id FROM benchmark"
+_TOKENS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 3))"
+
+
+@query(
+    f"""WITH k AS (SELECT *, {_KEY} AS key, {_TOKENS} AS t FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY age DESC, id) AS n FROM ({_KNOWN})) WHERE n <= 200),
+    c AS (SELECT -1 - item_id AS id, concat('src', CAST(item_id % 20 AS STRING)) AS brand, {_KEY} AS key, {_TOKENS} AS t FROM benchmark)
+    SELECT c.id, CASE WHEN bool_or(starts_with(k.brand, c.brand) AND c.brand = k.brand AND ((c.key <> '' AND c.key = k.key) OR (len(c.t) > 0 AND len(k.t) > 0 AND len(list_intersect(c.t, k.t)) / greatest(len(c.t), len(k.t)) >= 0.95))) THEN 'duplicate' ELSE 'clear' END AS status, count(k.id) AS compared FROM c LEFT JOIN k ON c.brand = k.brand GROUP BY 1"""
+)
 def crosscheck_known(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("vehicle_brand"), F.lit(None).cast("string").alias("thread_url"), F.lit("").alias("source_ref"), F.col("text").alias("resolution"), F.timestamp_seconds("doc_id").alias("created_at"))
-    return dedup.against_known(table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("id"), F.lit("src1").alias("vehicle_brand"), F.lit(None).cast("string").alias("thread_url"), F.lit("").alias("source_ref"), F.col("text").alias("resolution")), rows)
+    """Every item of the benchmark is known, the odd ones under another brand."""
+    none = {"thread_url": F.lit(None).cast("string"), "source_ref": F.lit("")}
+    known = lambda t, id, brand: table(spark, d, t).select(id.alias("id"), brand.alias("vehicle_brand"), F.col("text").alias("resolution"), F.timestamp_seconds(id).alias("created_at"))
+    item = F.col("item_id")
+    brand = lambda k: F.concat(F.lit("src"), (k % 20).cast("string"))
+    rows = known("documents", F.col("doc_id"), F.col("source")).unionByName(known("benchmark", 1_000_000 + item, brand(item - item % 2)))
+    asked = table(spark, d, "benchmark").select((-1 - item).alias("id"), brand(item).alias("vehicle_brand"), F.col("text").alias("resolution"))
+    return dedup.against_known(asked.withColumns(none), rows.withColumns(none))
 
 
 # ---- texts and pages
@@ -235,10 +260,23 @@ def page_links(spark, d):
     return threads.links_of_pages(table(spark, d, "pages").select("page_id", "url", "html"))
 
 
-@query()
+_LINES = "array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t\\xA0]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))"
+
+
+@query(f"SELECT conv_id AS page_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS number, role AS author, concat('2024-01-', lpad(CAST(turn % 28 + 1 AS VARCHAR), 2, '0')) AS \"when\", CAST(turn AS VARCHAR) AS post_id, md5(t) AS text_md5 FROM (SELECT *, {_LINES} AS t FROM conversations) WHERE length(t) >= 40")
 def page_posts(spark, d):
-    pages = table(spark, d, "pages").withColumn("software", T.forum_software(F.col("html")))
-    return threads.posts_of_pages(pages)
+    """Every conversation as a forum's page, with quotes that aren't the post's own text."""
+    shown = F.col("text")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        shown = F.replace(shown, F.lit(mark), F.lit(name))
+    body = F.concat(F.lit('<div class="bbWrapper"><blockquote>someone said</blockquote>'), F.coalesce(shown, F.lit("")), F.lit("</div>"))
+    time = F.concat(F.lit("2024-01-"), F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0"))
+    post = F.concat(F.lit('<article class="message" id="js-post-'), F.col("turn").cast("string"), F.lit('" data-author="'), F.col("role"), F.lit('"><time datetime="'), time, F.lit('"></time>'), body, F.lit("</article>"))
+    posts = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", post.alias("post")))), lambda x: x["post"]), "").alias("posts"))
+    html = F.concat(F.lit('<html><body data-app="xenforo"><nav>menu</nav>'), F.col("posts"), F.lit("</body></html>"))
+    pages = posts.select(F.col("conv_id").alias("page_id"), F.lit("https://forum.example/").alias("url"), html.alias("html"))
+    found = threads.posts_of_pages(pages.withColumn("software", T.forum_software(F.col("html"))))
+    return found.select("page_id", "number", "author", "when", "post_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 _OWNER = "lower(role) = lower(first_value(role) OVER (PARTITION BY conv_id ORDER BY turn))"
@@ -269,24 +307,26 @@ def nearest_header(spark, d):
     return threads.nearest_header(marks).select("page_id", "pos", "header_pos")
 
 
-#: The texts hold no codes of their own: each gets one or two behind it.
-_CODED = "concat(text, ' p0', CAST(100 + doc_id % 37 AS STRING), ', ', CASE WHEN doc_id % 3 = 0 THEN 'U1A0C' ELSE 'none' END)"
-_CODES = rf"list_distinct(list_transform(regexp_extract_all({_CODED}, '(?i)\b[PBCU][0-9A-F]{{4}}\b'), lambda x: upper(x)))"
-
-
 @query(f"WITH c AS (SELECT source, unnest({_CODES}) AS code FROM documents), n AS (SELECT source, code, count(*) AS n FROM c GROUP BY 1, 2) SELECT source, code, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, code) AS INT) AS rank FROM n) WHERE rank <= 3")
 def code_extract_topn(spark, d):
     rows = table(spark, d, "documents").select("source", T.obd_codes(F.expr(_CODED)).alias("obd_codes"))
     return faults.top_codes(rows, "source", 3)
 
 
+_FIX = "CASE doc_id % 8 WHEN 0 THEN 'I will update the thread and report back' WHEN 1 THEN 'planning to go to the service next week' WHEN 2 THEN 'new pump' WHEN 3 THEN NULL WHEN 4 THEN 'dnes jsem ho odvezl do servisu na opravu' ELSE text END"
+_ABOUT = "CASE WHEN doc_id % 5 = 0 THEN 'no start' ELSE text END"
+
+
 @query(
-    """SELECT doc_id, CASE WHEN trim(lang) = '' OR trim(source) = '' OR trim(text, chr(32)) = '' THEN 'incomplete' WHEN regexp_matches(text, '(?i)\\b(?:will)\\b.{0,40}\\b(?:update|let you know|report back)\\b') OR regexp_matches(text, '(?i)\\b(?:planning to|plan to)\\b.{0,80}\\b(?:service|electrician|repair)\\b') THEN 'unresolved' WHEN length(trim(text, ' ')) < 15 THEN 'short_resolution' END AS reason FROM documents"""
+    f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE source END AS brand, lang AS model, text, {_FIX} AS fix, {_ABOUT} AS about FROM documents)
+    SELECT doc_id, CASE WHEN trim(brand) = '' OR trim(coalesce(model, '')) = '' OR trim(coalesce(text, '')) = '' OR trim(about) = '' OR trim(coalesce(fix, '')) = '' THEN 'incomplete'
+     WHEN regexp_matches(fix, '(?i)\\b(?:will|nap[ií][sš]u)\\b.{{0,40}}\\b(?:update|let you know|report back)\\b') OR regexp_matches(fix, '(?i)\\b(?:planning to|plan to)\\b.{{0,80}}\\b(?:servis|service|electrician|repair|opravu)\\b') OR regexp_matches(fix, '(?i)\\b(?:dnes|today)\\b.{{0,60}}\\b(?:odvezl|odvezla|took it in|taken in)\\b.{{0,80}}\\b(?:opravu|repair)\\b') THEN 'unresolved'
+     WHEN length(trim(fix)) < 15 THEN 'short_resolution' WHEN length(trim(about)) < 15 THEN 'short_description' END AS reason FROM c"""
 )
 def text_gate_chain(spark, d):
-    t = F.col("text")
     none = F.lit(None).cast("string")
-    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("vehicle_brand"), F.col("lang").alias("vehicle_model"), F.array(t).alias("symptoms"), t.alias("description"), t.alias("resolution"), F.array().cast("array<string>").alias("obd_codes"), F.lit(0).alias("mileage"), none.alias("engine_power"))
+    brand = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("source"))
+    rows = table(spark, d, "documents").select("doc_id", brand.alias("vehicle_brand"), F.col("lang").alias("vehicle_model"), F.array("text").alias("symptoms"), F.expr(_ABOUT).alias("description"), F.expr(_FIX).alias("resolution"), F.array().cast("array<string>").alias("obd_codes"), F.lit(0).alias("mileage"), none.alias("engine_power"))
     return gates.validated(rows).select("doc_id", "reason")
 
 
@@ -368,12 +408,12 @@ def lifecycle(spark, d):
     return jobs.transitions(cases, e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), to.alias("status")))
 
 
-@query("SELECT n_nationkey AS section, count(DISTINCT o_orderkey) AS sub_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_partkey % 100 = 7 GROUP BY 1")
+@query("SELECT n_nationkey AS section, count(DISTINCT o_orderkey) AS sub_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(CAST(l_partkey % 100 AS VARCHAR), '7') GROUP BY 1")
 def graph_hops(spark, d):
     parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("subsection"), (F.col("l_partkey") % 100).cast("string").alias("name"))
     subs = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.col("c_nationkey").alias("section"))
     asked = spark.createDataFrame([(1, "7")], "query_id int, term string")
-    return graph.component_sections(table(spark, d, "nation"), subs, parts.where("name = '7'"), asked).select("section", "sub_count")
+    return graph.component_sections(table(spark, d, "nation"), subs, parts, asked).select("section", "sub_count")
 
 
 @query()
@@ -387,9 +427,16 @@ def graph_lookup(spark, d):
     return graph.lookup(sections, subs, parts, vehicles, asked)
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(Hybrid|HEV|MHEV|FHEV|PHEV|GTE)\\b') THEN 'hybrid' WHEN regexp_matches(text, '(?i)\\b(Electric|BEV|EV)\\b') THEN 'electric' WHEN regexp_matches(text, '(?i)\\b(TDI|CDI|HDI|dCi)\\b') THEN 'diesel' END AS fuel FROM documents")
+_ENGINE = "concat(text, CASE doc_id % 7 WHEN 0 THEN ' 2.0 TDI' WHEN 1 THEN ' 1.4 TSI PHEV' WHEN 2 THEN ' 1.0 EcoBoost' WHEN 3 THEN ' BEV' WHEN 4 THEN ' 1.6 HDI' WHEN 5 THEN ' 1.8 FSI, no TDI' ELSE ' unknown' END)"
+
+
+@query(
+    "SELECT doc_id, CASE "
+    + " ".join(f"WHEN regexp_matches(e, '{p}') THEN '{fuel}'" for fuel, p in T.FUELS)
+    + f" END AS fuel FROM (SELECT doc_id, {_ENGINE} AS e FROM documents)"
+)
 def fuel_types(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.fuel_type(F.col("text")).alias("fuel"))
+    return table(spark, d, "documents").select("doc_id", T.fuel_type(F.expr(_ENGINE)).alias("fuel"))
 
 
 @query("SELECT s_suppkey AS id, concat('B', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 2 = 0 THEN concat(' / NHTSA ', CAST(s_nationkey AS STRING)) ELSE '' END) AS ref, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS BIGINT) ELSE 0 END AS number, concat('B', CAST(s_suppkey AS STRING)) AS base FROM supplier")

@@ -70,31 +70,37 @@ def reports(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(f"{path}/json")
 
 
-def _files(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def _versions(spark: SparkSession, table: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removeprefix("v-")) for n in names if n.startswith("v-") and n[2:].isdigit())
+
+
+def has_version(spark: SparkSession, table: str) -> bool:
+    return bool(_versions(spark, table))
 
 
 def write_version(rows: DataFrame, table: str) -> str:
-    """Write a version of a table and make it the current one by one rename of its pointer."""
+    """Write a new version of a table and make it the current one by a single rename.
+
+    A version is written under another name and renamed to the next number once it is whole; the
+    highest number is current.  Nothing is ever deleted or replaced, so a run that is lost at any
+    point leaves the table as it was, and of two writers at once one fails.
+    """
     spark = rows.sparkSession
-    version = f"{table}/v-{uuid.uuid4().hex}"
-    rows.write.parquet(version)
-    pointer, new = f"{table}/CURRENT", f"{table}/.next-{uuid.uuid4().hex}"
-    fs, _ = _files(spark, table)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    out = fs.create(path(new), True)
-    out.writeBytes(version.rsplit("/", 1)[1])
-    out.close()
-    fs.delete(path(pointer), False)
-    if not fs.rename(path(new), path(pointer)):
+    known = _versions(spark, table)
+    working, version = f"{table}/.next-{uuid.uuid4().hex}", f"{table}/v-{(known[-1] if known else 0) + 1:012d}"
+    rows.write.parquet(working)
+    fs = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path(version)) or not fs.rename(path(working), path(version)):
         raise OSError(f"can't make {version} current")
     return version
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame:
-    name = spark.read.text(f"{table}/CURRENT").first()[0]
-    return spark.read.parquet(f"{table}/{name}")
+    return spark.read.parquet(f"{table}/v-{_versions(spark, table)[-1]:012d}")
 
 
 def violations(rows: DataFrame, rules: dict[str, str], key: tuple[str, ...] = ()) -> DataFrame:

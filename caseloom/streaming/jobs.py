@@ -81,24 +81,35 @@ def metric_writer(table: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: metrics are upserted by (date, scope, metric), so a replay changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        fs, path = sinks._files(batch.sparkSession, f"{table}/CURRENT")
         keys = ["date", "scope", "metric"]
         rows = batch.dropDuplicates(keys)
-        sinks.write_version(sinks.upsert(sinks.read_current(batch.sparkSession, table), rows, keys) if fs.exists(path) else rows, table)
+        sinks.write_version(sinks.upsert(sinks.read_current(batch.sparkSession, table), rows, keys) if sinks.has_version(batch.sparkSession, table) else rows, table)
 
     return write
 
 
-def transitions(cases: DataFrame, wanted: DataFrame) -> DataFrame:
+def transitions(cases: DataFrame, wanted: DataFrame, chunk: int = 4096) -> DataFrame:
     """`cases` (id, status) after wanted changes (id, seq, status) that the table of moves allows.
 
     The changes of a case are walked in order of seq; a move that is not allowed is passed over.
+    What a run of changes does is a map from every status to a status, and maps compose: each `chunk`
+    of a case's changes becomes such a map in a task of its own, and only maps meet per case.
     """
     moves = F.create_map(*(x for k, v in NEXT.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    steps = wanted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("status").alias("to")))).alias("steps"))
-    met = cases.join(steps, "id", "left")
-    walk = F.aggregate("steps", F.col("status"), lambda s, x: F.when(F.coalesce(F.array_contains(F.try_element_at(moves, s), x["to"]), F.lit(False)), x["to"]).otherwise(s))
-    return met.withColumn("status", F.coalesce(walk, F.col("status"))).select(*cases.columns)
+    allowed = lambda s, to: F.coalesce(F.array_contains(F.try_element_at(moves, s), to), F.lit(False))
+    # a case with many changes is numbered within ranges of seq, so that no task sorts all of them
+    sizes = wanted.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+    parts = F.greatest(F.ceil(F.col("n") / chunk), F.lit(1))
+    width = F.greatest(F.ceil((F.col("high") - F.col("low") + 1) / parts), F.lit(1))
+    ranged = wanted.join(sizes, "id").withColumn("part", F.floor((F.col("seq") - F.col("low")) / width))
+    steps = ranged.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("status").alias("to")))).alias("steps"))
+    states = [*NEXT]
+    walk = lambda start: F.aggregate("steps", start, lambda s, x: F.when(allowed(s, x["to"]), x["to"]).otherwise(s))
+    maps = steps.select("id", "part", F.create_map(*(x for s in states for x in (F.lit(s), walk(F.lit(s))))).alias("m"))
+    chain = maps.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", F.map_entries("m").alias("m")))).alias("chain"))
+    met = cases.join(chain, "id", "left")
+    last = F.aggregate("chain", F.col("status"), lambda s, x: F.coalesce(F.try_element_at(F.map_from_entries(x["m"]), s), s))
+    return met.withColumn("status", F.coalesce(last, F.col("status"))).select(*cases.columns)
 
 
 def repeats_dropped(events: DataFrame, id: str, at: str, late: str = "1 day") -> DataFrame:
