@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, texts
+from . import casework, dashboards, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dashboards.QUERIES | texts.QUERIES
+    return dashboards.QUERIES | texts.QUERIES | casework.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dashboards.SQL | texts.SQL
+    return dashboards.SQL | texts.SQL | casework.SQL

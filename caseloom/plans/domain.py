@@ -30,8 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain view over the tables its text names behind FROM and JOIN."""
-    used = {t: table(spark, sf_dir, t) for t in re.findall(r"\b(?:FROM|JOIN) (\w+)", SQL[name])}
-    text = SQL[name].replace("{", "{{").replace("}", "}}")
+    return rows_of(spark, sf_dir, SQL[name])
+
+
+def rows_of(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The rows of a SELECT over the driver's tables that both engines read alike."""
+    used = {t: table(spark, sf_dir, t) for t in re.findall(r"\b(?:FROM|JOIN) (\w+)", text)}
+    text = text.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", text), **used)
 
 
