@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bulletins as B
 from ..functions import text as T
-from ..functions.scoring import clean
+from ..functions.scoring import bulletin_prose, clean
 
 #: Wording of repairs that are announced, not done.
 UNRESOLVED = (
@@ -145,29 +145,63 @@ def quoted_promotions(queue: DataFrame, cases: DataFrame, threads: DataFrame, qu
 
 
 #: Patterns of bulletin records, by what they decide.
-ACTION = (r"\breplac(?:e|ed|ing|ement)\b", r"\brepair(?:ed|ing)?\b", r"\breprogram", r"\bupdate(?:d)?\b.{0,30}\bsoftware\b", r"\bclean(?:ed|ing)?\b", r"\badjust", r"\binstall", r"\breflash", r"\btighten", r"\blubricat")
-SYMPTOM = (r"\bnoise\b", r"\brattle", r"\bleak", r"\bwarning (?:light|lamp|message)", r"\billuminat", r"\bno[- ]start", r"\bstall", r"\bvibrat", r"\bmisfire", r"\binoperative\b", r"\bhesitat", r"\bDTC\b", r"\b[PBCU][0-9A-F]{4}\b")
-ADMINISTRATIVE = (r"\bwarranty (?:claim|extension|bulletin)", r"\bparts? (?:information|availability)", r"\btraining\b", r"\bowner (?:letter|notification)", r"\bcustomer satisfaction\b", r"\bemissions? recall\b", r"\bstop[- ]sale\b")
-
-
-def bulletin_stage(summary: Column, kind: Column, symptoms: Column, resolution: Column) -> Column:
-    """struct<stage, reason> of a bulletin record: an ordered list of decisions."""
-    t = clean(summary)
-    out = F.struct
-    decide = lambda s, r: out(F.lit(s).alias("stage"), F.lit(r).alias("reason"))
-    acts, shows = B.any_of(t, ACTION), B.any_of(t, SYMPTOM)
-    return (
-        F.when(t == "", decide("discarded", "empty"))
-        .when(B.any_of(kind, (r"\bowner\b", r"\bdealer (?:letter|message)\b")), decide("discarded", "communication_type"))
-        .when(B.any_of(t, ADMINISTRATIVE) & ~shows, decide("discarded", "administrative"))
-        .when(~acts & ~shows, decide("discarded", "no_symptom_no_action"))
-        .when(F.coalesce(F.size(symptoms), F.lit(0)) <= 0, decide("to_review", "no_symptom"))
-        .when(~acts, decide("to_review", "no_action"))
-        .when(~filled(resolution), decide("to_review", "no_resolution"))
-        .when(F.length(clean(resolution)) < 20, decide("to_review", "short_resolution"))
-        .when(clean(resolution).rlike(CONDITIONAL), decide("to_review", "conditional"))
-        .otherwise(decide("ready", "complete"))
+CODES = (r"\bp[0-9a-f]{4}\b", r"\bc[0-9a-f]{4}\b", r"\bu[0-9a-f]{4}\b", r"\bb[0-9a-f]{4}\b")
+ACTION = (r"\breplac(?:e|ed|ement|ing)\b", r"\bupdate(?:d)?\b", r"\breprogram(?:med|ming)?\b", r"\breflash(?:ed)?\b", r"\binspect(?:ion|ed)?\b", r"\bclean(?:ed|ing)?\b", r"\btighten(?:ed|ing)?\b", r"\badjust(?:ed|ment)?\b", r"\brepair(?:ed)?\b", r"\binstall(?:ed|ation)?\b", r"\btorque(?:d)?\b", r"\bcalibrat(?:e|ed|ion)\b", r"\breseal(?:ed)?\b", r"\bbleed(?: the)?\b")
+SYMPTOM = (
+    r"\bnon-responsive\b", r"\binoperative\b", r"\bwarning light\b", r"\bmalfunction\b", r"\bconcern\b", r"\bissue\b", r"\bproblem\b", r"\bno start\b", r"\bwon['’]?t start\b", r"\bstall(?:ing|ed)?\b", r"\bhesitat(?:e|ion)\b", r"\bjerk(?:ing)?\b", r"\bmisfire\b", r"\boverheat(?:ing)?\b", r"\bleak(?:ing)?\b",
+    r"\bnoise\b", r"\bvibration\b", r"\bdrain\b", r"\bdischarg(?:e|ing)\b", r"\bnot respond\b", r"\bdoes not respond\b", r"\bnot charging\b", r"\bwon['’]?t charge\b", r"\bshut(?:s)? off\b", r"\bfault\b", r"\bdtc\b", *CODES,
+)
+CONCRETE = (
+    r"\bnon-responsive\b", r"\binoperative\b", r"\bwarning light\b", r"\bmalfunction indicator lamp\b", r"\bmil illumination\b", r"\bwon['’]?t start\b", r"\bno start\b", r"\bstall(?:ing|ed)?\b", r"\bhesitat(?:e|ion)\b", r"\bjerk(?:ing)?\b", r"\bmisfire\b", r"\boverheat(?:ing)?\b", r"\bleak(?:ing)?\b", r"\bnoise\b",
+    r"\bvibration\b", r"\bdrain\b", r"\bdischarg(?:e|ing)\b", r"\bnot charging\b", r"\bwon['’]?t charge\b", r"\bshut(?:s)? off\b", r"\bvehicle enters? into limp home mode\b", r"\bturtle icon\b", r"\bwrench icon\b", r"\bmay experience\b", r"\bcustomers may also comment\b", r"\bcustomers must experience\b", r"\bdtc\b", *CODES,
+)
+NOTICE = (
+    r"\bowner renotification\b", r"\bowner notification\b", r"\bowner letter\b", r"\bcustomer satisfaction\b", r"\bwarranty extension(?!.*(?:warning|fault|concern|issue|problem|repair|replace|reprogram|update))", r"\bdealer message\b", r"\bservice campaign\b", r"\bparts return\b", r"\bclaim submission\b", r"\bshipping\b", r"\bpolicy\b",
+)
+GROUP_MAKES = ("CHEVROLET", "GMC", "CADILLAC", "BUICK")
+GROUP_NOTICE = (
+    r"\b(?:submit|send|upload)\b[\s\S]{0,120}\b(?:gds|snapshot|session logs?|diagnostic data|data log|log file|pictures?|photos?)\b[\s\S]{0,120}\b(?:tac|technical assistance center)\b", r"\bprovide a pico file to receive diagnostic assistance from tac\b", r"\bemail gds2 session logs into technical assistance\b", r"\b(?:contact|call)\s+tac\b", r"\buse the following labor code\b",
+    r"\blabor code\b[\s\S]{0,80}\b(?:warranty|claim|transaction)\b", r"\bproper floor mat use\b", r"\bfloor mat\b[\s\S]{0,80}\b(?:retention|usage|interference)\b", r"\bunderbody component corrosion\b", r"\bfluid testing procedures?\b", r"\bhow to recover the image processing module\b", r"\buse of j-35616-64b\b",
+    r"\bmultiple repair attempts\b[\s\S]{0,220}\btechnical assistance center\b", r"\btire sidewall irregularities\b", r"\bnormal transmission shift condition\b", r"\bbefore being sold\b[\s\S]{0,80}\bfull inspection\b", r"\bvehicle stock on hand\b[\s\S]{0,120}\bprepping\b", r"\bdiagnose batteries that have set for a long period of time\b",
+    r"\bcold weather climates and testing those batteries\b", r"\bwhen the engine is replaced after severe internal engine damage\b", r"\bparts catalog assistance\b", r"\btool usage\b", r"\bdo not replace any parts at this time\b",
+)
+VAGUE_FIX = (
+    r"^follow the service procedure\b", r"^follow the bulletin(?: repair)? procedure\b", r"^refer to\b", r"^see bulletin\b", r"^perform service action\b", r"^this (?:service|technical) bulletin provides repair information\b", r"^this (?:service|technical) bulletin provides a repair procedure\b", r"^this preliminary information communicates\b",
+    r"^this bulletin announces the availability of new reprogramming files\b",
+)
+PREVENTIVE = (r"\bprevent\b[\s\S]{0,160}\bunnecessarily\b", r"\bfalse\b[\s\S]{0,120}\b(?:do not replace|not to replace)\b", r"\bdo not replace the module\b", r"\bengineering is currently investigating\b", r"\bif no issue is found[\s\S]{0,120}\bdo not replace\b")
+ACTION_FIRST = (r"^(?:update|upgrade|replace|reprogram|repair|inspect|clean|tighten|adjust|install|flash)\b",)
+ANNOUNCED = (r"^[\"“”']?this bulletin announces availability",)
+SERVICE, WARRANTY = "service bulletin/repair instructions", "warranty program/extension"
+
+
+def bulletin_stage(kind: Column, make: Column, summary: Column, description: Column, resolution: Column, symptoms: Column, codes: Column) -> Column:
+    """struct<stage, reason> of a bulletin record and what was extracted from it: an ordered list of decisions."""
+    none = F.array().cast("array<string>")
+    plain = F.lower(clean(kind))
+    whole = clean(F.concat_ws(" ", F.coalesce(kind, F.lit("")), F.coalesce(summary, F.lit(""))))
+    about, fix = clean(description), clean(resolution)
+    symptoms, coded = F.coalesce(symptoms, none), F.coalesce(F.size(codes), F.lit(0)) > 0
+    acts, shows = B.any_of(whole, ACTION), B.any_of(whole, SYMPTOM) | coded
+    weak = (F.length(fix) < 10) | B.any_of(fix, VAGUE_FIX) | bulletin_prose(fix) | B.any_of(fix, ANNOUNCED) | ~B.any_of(fix, ACTION)
+    steps = (
+        (~plain.isin(SERVICE, WARRANTY), "discarded", "communication_type"),
+        (B.any_of(whole, NOTICE), "discarded", "notice"),
+        (F.upper(clean(make)).isin(*GROUP_MAKES) & B.any_of(whole, GROUP_NOTICE), "discarded", "administrative"),
+        (~acts & ~shows, "discarded", "no_symptom_no_action"),
+        (F.length(about) < 12, "to_review", "thin_description"),
+        (B.any_of(whole, PREVENTIVE), "to_review", "preventive"),
+        (B.any_of(about, ACTION_FIRST) | (F.lower(about) == F.lower(fix)), "to_review", "not_separated"),
+        (bulletin_prose(about) | F.exists(symptoms, bulletin_prose), "to_review", "prose"),
+        (weak, "to_review", "weak_resolution"),
+        (F.size(symptoms) == 0, "to_review", "no_symptom"),
+        (~(B.any_of(whole, CONCRETE) | coded), "to_review", "not_concrete"),
+        ((plain == SERVICE) & acts & shows, "ready", "complete"),
     )
+    out = F
+    for holds, stage, reason in steps:
+        out = out.when(holds, F.struct(F.lit(stage).alias("stage"), F.lit(reason).alias("reason")))
+    return out.otherwise(F.struct(F.lit("to_review").alias("stage"), F.lit("not_strong").alias("reason")))
 
 
 def final_stage(stage: Column, resolved: Column) -> Column:
