@@ -89,6 +89,12 @@ def section_text(sections: DataFrame, asked: DataFrame) -> DataFrame:
     return met.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
+def token_totals(usage: DataFrame, key: str) -> DataFrame:
+    """Sums of input and output tokens, and of both."""
+    both = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    return usage.groupBy(key).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(both).alias("total_tokens"))
+
+
 def once_a_day(now: Column, last: Column, start: int = 5, end: int = 9) -> Column:
     """Whether a daily job may run: within the closed window of hours, not yet today."""
     hour = F.hour(now)

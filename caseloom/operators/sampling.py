@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bulletins as B
@@ -17,9 +17,14 @@ def even_per_stratum(rows: DataFrame, stratum: str, order: str, take: int) -> Da
     return r.where((slot < F.col("__k")) & (F.floor(slot * F.col("__n") / F.col("__k")) == F.col("__i"))).drop("__i", "__n", "__k")
 
 
+def lot(seed: int, id: str) -> Column:
+    """A keyed order: MD5 of seed and id, which any engine has."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id).cast("string")).cast("binary"))
+
+
 def seeded_per_stratum(rows: DataFrame, stratum: str, id: str, take: int, seed: int = 12345) -> DataFrame:
     """`take` rows per stratum by a keyed hash: the same rows on every run and every cluster."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), id), id)
+    w = Window.partitionBy(stratum).orderBy(lot(seed, id), id)
     return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= take).drop("__n")
 
 
@@ -49,7 +54,7 @@ def audit_sample(pool: DataFrame, imported: DataFrame, audited: DataFrame, sampl
     by_risk = [F.col("__aud"), F.desc("risk"), F.desc_nulls_last("created_at"), F.col("id")]
     risky = left.orderBy(*by_risk).limit(risk).select("id", F.lit("risk").alias("slice"))
     rest = left.join(risky, "id", "left_anti")
-    drawn = rest.orderBy("__aud", F.xxhash64(F.lit(seed), "id"), "id").limit(random).select("id", F.lit("random").alias("slice"))
+    drawn = rest.orderBy("__aud", lot(seed, "id"), "id").limit(random).select("id", F.lit("random").alias("slice"))
     spill = rest.join(drawn, "id", "left_anti").orderBy(*by_risk).limit(sample).select("id", F.lit("spill").alias("slice"))
     order = F.array_position(F.array(*map(F.lit, ("fresh", "risk", "random", "spill"))), F.col("slice"))
     return new.unionByName(risky).unionByName(drawn).unionByName(spill).orderBy(order, "id").limit(sample)

@@ -366,13 +366,13 @@ def audit_risk(spark, d):
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id AS id, {_RISK} AS risk, doc_id % 2 = 0 AS aud FROM ({_AUDIT})), f AS (SELECT id FROM p ORDER BY id DESC LIMIT 3), r AS (SELECT *, row_number() OVER (ORDER BY aud, risk DESC, id DESC) AS n FROM p WHERE id NOT IN (SELECT id FROM f))
-    SELECT id, 'fresh' AS slice FROM f UNION ALL SELECT id, CASE WHEN n <= 4 THEN 'risk' ELSE 'spill' END FROM r WHERE n <= 4 UNION ALL SELECT * FROM (SELECT id, 'spill' FROM r WHERE n > 4 AND n <= 14 ORDER BY id LIMIT 3)"""
+    f"""WITH p AS (SELECT doc_id AS id, {_RISK} AS risk, doc_id % 2 = 0 AS aud FROM ({_AUDIT})), f AS (SELECT id FROM p ORDER BY id DESC LIMIT 3), r AS (SELECT *, row_number() OVER (ORDER BY aud, risk DESC, id DESC) AS n FROM p WHERE id NOT IN (SELECT id FROM f)),
+    d AS (SELECT *, row_number() OVER (ORDER BY aud, md5(concat('1:', CAST(id AS VARCHAR))), id) AS k FROM r WHERE n > 4), s AS (SELECT id FROM (SELECT id FROM d WHERE k > 2 ORDER BY aud, risk DESC, id DESC LIMIT 12) ORDER BY id LIMIT 3)
+    SELECT id, 'fresh' AS slice FROM f UNION ALL SELECT id, 'risk' FROM r WHERE n <= 4 UNION ALL SELECT id, 'random' FROM d WHERE k <= 2 UNION ALL SELECT id, 'spill' FROM s"""
 )
 def audit_sample(spark, d):
-    """Without the random slice, which SQL has no hash for; tests hold it against a loop."""
     pool = _pool(spark, d)
-    return sampling.audit_sample(pool, pool, pool.where("id % 2 = 0"), random=0)
+    return sampling.audit_sample(pool, pool, pool.where("id % 2 = 0"), sample=12, random=2)
 
 
 @query("SELECT event_id AS seq, user_id AS id FROM events ORDER BY event_id DESC LIMIT 500")

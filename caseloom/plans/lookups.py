@@ -12,7 +12,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions import vehicles as V
-from ..operators import faults, gates, graph, linkage, review
+from ..operators import analytics, faults, gates, graph, linkage, review
 from ..sources import readers, schemas, sinks
 from ..streaming import jobs
 from .casework import _CLEAN, _none, _stamp, _strings
@@ -501,3 +501,112 @@ def metric_versions(spark, d):
     write(later, 1)
     write(later, 1)
     return sinks.read_current(spark, path)
+
+
+# ---- keys, addresses and files
+
+
+@query(cte("cases") + """SELECT id, md5(concat(lower(source_ref), '||', lower(vehicle_brand), '||', lower(vehicle_model), '||', CASE WHEN doc_id % 2 = 0 THEN 'P0101,P0301' ELSE '' END, '||', lower(trim(regexp_replace(coalesce(description, ''), '\\s+', ' ', 'g'))), '||fixed it')) AS key_md5 FROM cases""")
+def canonical_keys(spark, d):
+    c = F.col
+    codes = F.when(c("doc_id") % 2 == 0, F.array(F.lit("p0301 "), F.lit("P0101"), F.lit("P0301"), F.lit("")))
+    key = S.canonical_key(c("source_ref"), c("vehicle_brand"), c("vehicle_model"), codes, c("description"), F.lit(" Fixed  it"))
+    return view(spark, d, "cases").select("id", F.md5(key.cast("binary")).alias("key_md5"))
+
+
+_INDEXED = f"SELECT page_id AS id, CASE WHEN page_id % 4 = 0 THEN NULL ELSE concat('https://www.host', CAST(page_id % 3 AS STRING), '.example/', {_pick(('cars', 'vans'), 'page_id')}, '/t-', CAST(page_id % 20 AS STRING)) END AS thread_url, CASE WHEN page_id % 5 = 0 THEN concat('TSB / NHTSA ', CAST(page_id % 15 AS STRING)) ELSE 'TSB' END AS source_ref FROM pages"
+
+
+@query(f"SELECT host, section, count(DISTINCT thread_url) AS threads, count(DISTINCT number) AS bulletins, count(*) FILTER (thread_url IS NULL AND number IS NULL) AS unindexable FROM (SELECT *, coalesce(regexp_extract(thread_url, 'www[.]([^/]+)', 1), '') AS host, coalesce(regexp_extract(thread_url, 'example/([^/]+)', 1), '') AS section, nullif(regexp_extract(source_ref, 'NHTSA ([0-9]+)', 1), '') AS number FROM ({_INDEXED})) GROUP BY 1, 2")
+def crawled_index(spark, d):
+    return analytics.crawled_index(rows_of(spark, d, _INDEXED))
+
+
+@query("SELECT concat('c', CAST(conv_id AS VARCHAR)) AS local_id FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS t, min_by(text, turn) AS first FROM conversations GROUP BY 1) WHERE length(t) >= 200 AND conv_id % 2 = 0 AND conv_id % 3 <> 0 AND conv_id % 5 <> 0 AND length(trim(regexp_replace(substr(first, 1, 40), '\\s+', ' ', 'g'))) >= 12")
+def quoted_promotions(spark, d):
+    """Open rows of the clause, pending cases, and quotes of which one in five was never said."""
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("thread_text"), F.min_by("text", "turn").alias("first"))
+    t = t.withColumns({"local_id": F.concat(F.lit("c"), F.col("conv_id").cast("string")), "url": F.concat(F.lit("u"), F.col("conv_id").cast("string"))})
+    k = F.col("conv_id")
+    queue = t.select(F.col("local_id").alias("case_local_id"), F.when(k % 2 == 0, "d").otherwise("a").alias("clause"), _none("timestamp").alias("resolved_at"))
+    cases = t.select("local_id", F.when(k % 3 == 0, "approved").otherwise("pending").alias("status"), F.col("url").alias("thread_url"))
+    quotes = t.select("local_id", F.array(F.when(k % 5 == 0, "a passage that nobody ever wrote here").otherwise(F.substring("first", 1, 40))).alias("quotes"))
+    return gates.quoted_promotions(queue, cases, t.select("url", "thread_text"), quotes).select("local_id")
+
+
+_ROUTED = f"SELECT doc_id AS id, {_pick(('A recall of the airbag', 'rattle at idle', 'P0301 stored', 'policy on parts'), 'doc_id')} AS description, 'Replace it' AS resolution, CASE WHEN doc_id % 3 = 0 THEN 'stalls' END AS symptom FROM documents"
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(description, '(?i)recall|policy') THEN 'discard' WHEN regexp_matches(description, '(?i)P[0-9]{{4}}') OR symptom = 'stalls' THEN 'ai_review' ELSE 'to_review' END AS route FROM ({_ROUTED})")
+def refine_routes(spark, d):
+    rows = rows_of(spark, d, _ROUTED).withColumn("symptoms", _strings(F.col("symptom")))
+    return gates.refine_route(rows, (r"P[0-9]{4}", "stalls"), ("recall", "policy")).select("id", "route")
+
+
+_VERDICTS = _pick(('{"wrongly_accepted": true, "confidence": "high", "failed_condition": "b"}', "garbage", 'Answer: {"wrongly_accepted": false, "failed_condition": "z"}', "{}", '{"confidence": "low"}'), "doc_id")
+
+
+@query("SELECT doc_id, doc_id % 5 IN (1, 3) AS parse_fail, doc_id % 5 = 0 AS wrongly_accepted, CASE doc_id % 5 WHEN 0 THEN 'high' WHEN 4 THEN 'low' ELSE 'unknown' END AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'b' ELSE 'none' END AS failed_condition FROM documents")
+def precision_verdicts(spark, d):
+    return table(spark, d, "documents").select("doc_id", gates.precision_verdict(F.expr(_VERDICTS)).alias("v")).select("doc_id", "v.*")
+
+
+@query("SELECT c_custkey AS id, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20) WHERE n = 1")
+def answers_kept_once(spark, d):
+    known = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id"))
+    answers = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey")
+    return gates.kept_once(answers.unionByName(answers), known, "id", "o_orderkey")
+
+
+@query("SELECT n_nationkey AS seq, n_name AS vehicle_brand FROM nation WHERE n_nationkey % 6 <> 0")
+def seed_files(spark, d):
+    """One JSON file per seed in a folder tree, some with a byte-order mark, some damaged."""
+    path = scratch(spark)
+    k = F.col("n_nationkey")
+    body = F.to_json(F.struct(k.cast("long").alias("seq"), F.col("n_name").alias("vehicle_brand")))
+    text = F.when(k % 6 == 0, "no json").when(k % 2 == 0, F.concat(F.lit(readers.BOM), body)).otherwise(body)
+    table(spark, d, "nation").select(text.alias("value"), k.alias("folder")).repartition("folder").write.partitionBy("folder").text(path)
+    return readers.seeds(spark, path, "*.txt").where("seq is not null").select("seq", "vehicle_brand")
+
+
+_WHENS = f"SELECT event_id, {_pick(('2024-01-05T10:20:30Z', '1704450030', 'yesterday', '', '1704450030000', '2024-01-05'), 'event_id')} AS w FROM events"
+
+
+@query(f"SELECT event_id, CASE WHEN w = '2024-01-05' THEN TIMESTAMP '2024-01-05 00:00:00' WHEN w LIKE '17044%' THEN TIMESTAMP '2024-01-05 10:20:30' WHEN w LIKE '2024-%' THEN TIMESTAMP '2024-01-05 10:20:30' END AS posted FROM ({_WHENS})")
+def post_times(spark, d):
+    return rows_of(spark, d, _WHENS).select("event_id", T.post_time(F.col("w")).alias("posted"))
+
+
+_SOFT = ('<div class="postbody"></div><a href="viewtopic.php?t=1">phpBB</a>', '<div data-author="x" class="message-content"></div>', 'class="postbody" only one mark of one kind', '<div id="post_message_12" class="postcontent">', '<div class="ipsComment cPost">')
+
+
+@query("SELECT page_id, ['phpbb', 'xenforo', 'generic', 'vbulletin', 'invision'][page_id % 5 + 1] AS software FROM pages")
+def forum_software(spark, d):
+    return table(spark, d, "pages").select("page_id", T.forum_software(F.concat(F.expr(_pick(_SOFT, "page_id")), F.lit(" " * 120))).alias("software"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 4 <> 0 THEN concat('https://static.nhtsa.gov/odi/tsbs/', CASE WHEN p_size % 3 = 0 THEN '2021' ELSE '2019' END, '/MC-', CAST(p_partkey AS VARCHAR), '-0001.pdf') END AS url, CASE WHEN p_size % 3 = 0 THEN TIMESTAMP '2021-03-04 12:00:00' END AS day FROM part")
+def bulletin_urls(spark, d):
+    first = F.when(F.col("p_size") % 3 == 0, "20210304").otherwise("soon")
+    number = F.when(F.col("p_size") % 4 == 0, " ").otherwise(F.col("p_partkey").cast("string"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), B.bulletin_url(number, first, F.lit("20190101")).alias("url"), B.bulletin_day(first).alias("day"))
+
+
+@query("""SELECT p_partkey AS id, substr(sha256(concat('{"p_brand":"', p_brand, '","p_name":"', p_name, '"}')), 1, 16) AS local_id FROM part""")
+def content_ids(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), B.content_id(F.col("p_brand"), F.col("p_name")).alias("local_id"))
+
+
+@query(cte("usage") + "SELECT user_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens FROM usage GROUP BY 1")
+def token_totals(spark, d):
+    return review.token_totals(view(spark, d, "usage"), "user_id")
+
+
+@query("SELECT DISTINCT doc_id % 50 AS id, CASE doc_id % 50 % 3 WHEN 0 THEN 'Octavia II' ELSE 'Fabia' END AS label FROM documents WHERE doc_id % 50 % 3 <> 2")
+def first_contexts(spark, d):
+    """The first text that names one label clearly; one of two in a text is no answer."""
+    k = F.col("id") % 3
+    ids = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("id")).distinct()
+    texts = F.array(F.lit("nothing here"), F.when(k == 0, "octavia ii").when(k == 1, "Fabia").otherwise("unknown car"), F.lit("octavia fabia"))
+    contexts = ids.select("id", F.posexplode(texts).alias("pos", "text"))
+    return linkage.first_resolved_context(contexts, spark.createDataFrame([("Octavia II",), ("Fabia",)], "name string"), 0.6, 0.03)

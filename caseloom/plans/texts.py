@@ -245,17 +245,20 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", t.alias("t")).select("page_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").alias("n"))
 
 
-@query()
+_TITLE = "replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39))"
+
+
+@query(f"SELECT page_id, trim(array_to_string(CASE WHEN len(p) > 1 THEN p[1:len(p) - 1] ELSE p END, ' | ')) AS title FROM (SELECT page_id, string_split_regex(regexp_replace(regexp_replace({_TITLE}, '[ \\t]{{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), '\\s*\\|\\s*') AS p FROM pages)")
 def title_extract(spark, d):
     return table(spark, d, "pages").select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
-@query()
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?]utm_source=feed$', '') AS url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS domain FROM pages")
 def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", U.canonical_thread(F.col("url")).alias("url"), U.domain(F.col("url")).alias("domain"))
 
 
-@query()
+@query("SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS pos, concat(regexp_extract(url, '^https?://[^/?#]+'), replace(unnest(l), '&amp;', '&')) AS link FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1) AS l FROM pages)")
 def page_links(spark, d):
     return threads.links_of_pages(table(spark, d, "pages").select("page_id", "url", "html"))
 
@@ -362,7 +365,7 @@ def stratified_even_sample(spark, d):
     return sampling.even_per_stratum(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 3)
 
 
-@query()
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('12345:', CAST(doc_id AS VARCHAR))), doc_id) AS n FROM documents) WHERE n <= 30")
 def seeded_sample(spark, d):
     return sampling.seeded_per_stratum(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 30)
 
@@ -400,12 +403,19 @@ def defer_young(spark, d):
     return jobs.settled(rows, now).select("id", "decision")
 
 
-@query()
+_MOVES = ", ".join(f"('{a}', '{b}')" for a, to in jobs.NEXT.items() for b in to)
+
+
+@query(
+    f"""WITH RECURSIVE m(a, b) AS (VALUES {_MOVES}), e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ['verified', 'import_ready', 'imported', 'verify_rejected', 'import_failed'][event_id % 5 + 1] AS b FROM events),
+    w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, 'ai_approved' AS status FROM events UNION ALL SELECT w.user_id, e.n, coalesce(m.b, w.status) FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1 LEFT JOIN m ON m.a = w.status AND m.b = e.b)
+    SELECT user_id AS id, arg_max(status, n) AS status FROM w GROUP BY 1"""
+)
 def lifecycle(spark, d):
     e = table(spark, d, "events")
     to = F.element_at(F.array(*map(F.lit, ("verified", "import_ready", "imported", "verify_rejected", "import_failed"))), (F.col("event_id") % 5 + 1).cast("int"))
     cases = e.select(F.col("user_id").alias("id")).distinct().withColumn("status", F.lit("ai_approved"))
-    return jobs.transitions(cases, e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), to.alias("status")))
+    return jobs.transitions(cases, e.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), to.alias("status")), chunk=16)
 
 
 @query("SELECT n_nationkey AS section, count(DISTINCT o_orderkey) AS sub_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE contains(CAST(l_partkey % 100 AS VARCHAR), '7') GROUP BY 1")
@@ -416,7 +426,13 @@ def graph_hops(spark, d):
     return graph.component_sections(table(spark, d, "nation"), subs, parts, asked).select("section", "sub_count")
 
 
-@query()
+@query(
+    """WITH q(query_id, term, model, rg) AS (VALUES (1, 'machinery', 'ASIA', '2'), (2, 'nation_3', NULL, '1'), (3, 'zzz', NULL, '4'), (4, 'household', 'nowhere', NULL)), s AS (SELECT n_nationkey AS section, n_name AS title, CAST(n_regionkey AS VARCHAR) AS repair_group, r_name AS manual FROM nation JOIN region ON n_regionkey = r_regionkey),
+    p AS (SELECT query_id, c_nationkey AS section, count(DISTINCT c_custkey) AS subs FROM q JOIN customer ON contains(lower(c_mktsegment), lower(term)) GROUP BY 1, 2), o AS (SELECT DISTINCT query_id, r_name AS manual FROM q JOIN region ON contains(lower(r_name), lower(model)) OR contains(lower(model), lower(r_name))),
+    t AS (SELECT query_id, section, 1 AS tier, subs FROM p JOIN s USING (section) JOIN o USING (query_id, manual) UNION ALL SELECT query_id, section, 2, subs FROM p UNION ALL SELECT DISTINCT query_id, section, 3, 0 FROM (SELECT query_id, unnest(list_filter(string_split(lower(term), ' '), lambda w: length(w) > 2)) AS w FROM q) JOIN (SELECT section, unnest(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM s) USING (w) UNION ALL SELECT query_id, section, 4, 0 FROM q JOIN s ON rg = repair_group),
+    b AS (SELECT t.*, s.title, s.repair_group, s.manual, q.term, q.rg FROM t JOIN (SELECT query_id, min(tier) AS tier FROM t GROUP BY 1) USING (query_id, tier) JOIN s USING (section) JOIN q USING (query_id))
+    SELECT query_id, tier, rank, section, title, sub_count FROM (SELECT query_id, tier, section, title, subs AS sub_count, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(repair_group = rg, false) DESC, contains(lower(title), lower(term)) DESC, subs DESC, repair_group, section) AS rank FROM b) WHERE rank <= 15"""
+)
 def graph_lookup(spark, d):
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     sections = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("string").alias("repair_group"), F.col("n_nationkey").alias("pdf_page"), F.col("r_name").alias("manual"))
@@ -424,7 +440,7 @@ def graph_lookup(spark, d):
     parts = table(spark, d, "customer").select(F.col("c_custkey").alias("subsection"), F.col("c_mktsegment").alias("name"))
     vehicles = region.select(F.col("r_name").alias("manual"), F.col("r_name").alias("model"))
     asked = spark.createDataFrame([(1, "machinery", "ASIA", "2"), (2, "nation_3", None, "1"), (3, "zzz", None, "4"), (4, "household", "nowhere", None)], "query_id int, term string, model string, repair_group string")
-    return graph.lookup(sections, subs, parts, vehicles, asked)
+    return graph.lookup(sections, subs, parts, vehicles, asked).select("query_id", "tier", "rank", "section", "title", "sub_count")
 
 
 _ENGINE = "concat(text, CASE doc_id % 7 WHEN 0 THEN ' 2.0 TDI' WHEN 1 THEN ' 1.4 TSI PHEV' WHEN 2 THEN ' 1.0 EcoBoost' WHEN 3 THEN ' BEV' WHEN 4 THEN ' 1.6 HDI' WHEN 5 THEN ' 1.8 FSI, no TDI' ELSE ' unknown' END)"

@@ -21,9 +21,9 @@ def without_bom(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BOM}", "")
 
 
-def seeds(spark: SparkSession, path: str) -> DataFrame:
+def seeds(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
     """One JSON document per file, with or without a byte-order mark, from a folder tree."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", names).option("recursiveFileLookup", True).text(path)
     return files.select(F.from_json(without_bom(F.col("value")), SEED).alias("s"), F.col("_metadata.file_path").alias("file")).where("s is not null").select("s.*", "file")
 
 
