@@ -54,9 +54,16 @@ def blank(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def mark(*cols: Column, seed: int) -> Column:
+    """60 bits from MD5 over the seed and the columns as text (null as -), which any engine has."""
+    parts = [F.coalesce(c.cast("string"), F.lit("-")) for c in cols]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def uniform(*cols: Column, seed: int) -> Column:
     """A number in [0, 1) from a keyed hash: the same on every run and in every partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") * F.lit(2.0**-53)
+    return F.shiftright(mark(*cols, seed=seed), 8).cast("double") * F.lit(2.0**-52)
 
 
 def row_key(docs: DataFrame) -> Column:

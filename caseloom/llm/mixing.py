@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, blank, durable, uniform
+from .common import WORD, blank, durable, mark, uniform
 
 #: The weights that sources take in turn, and the cap on a target.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -63,7 +63,7 @@ def rates(docs: DataFrame, seed: int = SEED, stratum: int = STRATUM) -> DataFram
     sized = docs.withColumn("__size", words("text")).withColumn("__source", F.col("source"))
     per = durable(targets(sized.select("__source", "__size"))).withColumnRenamed("__source", "__of")
     # the same on every run and in every partitioning: it depends on the row alone
-    sized = sized.withColumn("__hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    sized = sized.withColumn("__hash", mark(F.col("doc_id"), F.col("text"), seed=seed))
     joined = sized.join(per, F.col("__source").eqNullSafe(F.col("__of")), "left")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     strata = F.ceil(F.col("__rows") / F.lit(stratum))

@@ -37,7 +37,8 @@ from .common import blank, durable
 
 CAPACITY = 4096
 END = 1
-SALTS = 256
+SALTS = 256  # at least
+SALT_ROWS = 1 << 22  # rows for which there is another
 VOCABULARY = "word_bpe_49k.json"
 #: Characters for which the vocabulary's normalizer is str.lower(), and white space str.split()'s.
 UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
@@ -271,7 +272,8 @@ def slots(recipes: list[Recipe]) -> np.ndarray:
 
 def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`cut` (pieces, durable) with sequence_id and offset."""
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    salts = max(SALTS, cut.count() // SALT_ROWS)  # a count of a table just written reads no rows
+    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     counts = durable(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")))
     histogram = counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()  # at most `capacity` rows
     table = slots(plan({r["length"]: r["n"] for r in histogram}, capacity))

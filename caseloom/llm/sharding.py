@@ -1,8 +1,9 @@
 """Operator 3, sharding [native]: a Feistel permutation with cycle walking over row numbers.
 
 Rows get global numbers 0..n-1 in the order of (bucket, doc_id, crc, size), where the bucket is a
-fixed hash of these three, so that rows without a doc_id spread too: counts per bucket are summed to offsets and rows are numbered within their
-bucket, so no task ever sorts more than a bucket and no single task numbers everything.  A keyed
+hash of these three, so that rows without a doc_id spread too: counts per bucket are summed to offsets
+and rows are numbered within their bucket, so no task ever sorts more than a bucket and no single task
+numbers everything.  There are more buckets where there are more rows.  A keyed
 Feistel network over Z_a x Z_b with a*b >= n, a = ceil(sqrt n), permutes them; numbers that land at
 or beyond n walk on along their cycle.  At most a*b-n < a numbers lie out there, so a walk ends in
 that many steps: the bound of the walk is exact, not a guess.  With p the permuted number,
@@ -22,12 +23,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank
+from .common import blank, durable, mark
 
 SHARDS = 24
 SEED = 7
 ROUNDS = 4  # double rounds
-BUCKETS = 4096
+BUCKETS = 4096  # at least
+BUCKET_ROWS = 1 << 18  # rows of a bucket to aim at
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -38,11 +40,11 @@ def sides(n: int) -> tuple[int, int]:
 
 def _step(x: Column, a: int, b: int, seed: int) -> Column:
     """One pass of the network over a number of [0, a*b)."""
-    keys = F.array(*(F.lit(seed * 1_000_003 + 2 * i) for i in range(ROUNDS)))
+    keys = F.array(*(F.lit(2 * i) for i in range(ROUNDS)))
 
     def double_round(s: Column, key: Column) -> Column:
-        left = (s["l"] + F.pmod(F.xxhash64(s["r"], key), F.lit(a))) % a
-        right = (s["r"] + F.pmod(F.xxhash64(left, key + 1), F.lit(b))) % b
+        left = (s["l"] + mark(s["r"], key, seed=seed) % a) % a
+        right = (s["r"] + mark(left, key + 1, seed=seed) % b) % b
         return F.struct(left.alias("l"), right.alias("r"))
 
     start = F.struct(F.floor(x / F.lit(b)).cast("long").alias("l"), (x % b).cast("long").alias("r"))
@@ -61,23 +63,21 @@ def permuted(number: Column, n: int, seed: int = SEED) -> Column:
     return F.transform(F.array(once), lambda x: F.when(x < n, x).otherwise(walk(x)))[0]
 
 
-def numbered(rows: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, int]:
+def numbered(rows: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
     """Rows with doc_id, size and text_crc32, plus `number`; and how many there are."""
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)).alias("bucket")
-    counts = rows.select(bucket).groupBy("bucket").count()
-    first = [0] * (buckets + 1)
-    for b, count in counts.collect():  # at most `buckets` pairs of numbers
-        first[b + 1] = count
-    for b in range(buckets):
-        first[b + 1] += first[b]
-    offsets = rows.sparkSession.createDataFrame([(b, first[b]) for b in range(buckets)], "at long, offset long")
+    n = rows.count()
+    buckets = buckets or max(BUCKETS, -(-n // BUCKET_ROWS))
+    bucket = (mark(F.col("doc_id"), F.col("text_crc32"), F.col("size"), seed=SEED) % buckets).alias("bucket")
+    counts = durable(rows.select(bucket).groupBy("bucket").count())
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    offsets = counts.select(F.col("bucket").alias("at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size")
-    numbered = rows.select("*", bucket).withColumn("rank", F.row_number().over(within) - 1)
-    joined = numbered.join(F.broadcast(offsets), F.col("bucket") == F.col("at"))  # `buckets` rows
-    return joined.withColumn("number", F.col("rank") + F.col("offset")), first[buckets]
+    ranked = rows.select("*", bucket).withColumn("rank", F.row_number().over(within) - 1)
+    joined = ranked.join(offsets, F.col("bucket") == F.col("at"))
+    return joined.withColumn("number", F.col("rank") + F.col("offset")), n
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int | None = None) -> DataFrame:
     text = blank("text")
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows, n = numbered(rows, buckets)
