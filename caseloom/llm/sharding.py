@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blank, durable, mark
+from .common import blank, mark
 
 SHARDS = 24
 SEED = 7
@@ -68,7 +68,7 @@ def numbered(rows: DataFrame, buckets: int | None = None) -> tuple[DataFrame, in
     n = rows.count()
     buckets = buckets or max(BUCKETS, -(-n // BUCKET_ROWS))
     bucket = (mark(F.col("doc_id"), F.col("text_crc32"), F.col("size"), seed=SEED) % buckets).alias("bucket")
-    counts = durable(rows.select(bucket).groupBy("bucket").count())
+    counts = rows.select(bucket).groupBy("bucket").count()
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.select(F.col("bucket").alias("at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size")
