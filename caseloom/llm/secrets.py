@@ -4,8 +4,8 @@ Every version of a text is a *blob*, addressed by the SHA-256 of its bytes.  The
 table in a shared folder, of (blob, rules, findings): a blob that this rule version has seen is never
 scanned again.  A run
 
-1. addresses every row, keeps blobs whose (blob, rules) pair the ledger lacks (anti join), one row
-   per blob (partial aggregation first, so thousands of copies shuffle once per task),
+1. addresses every row and keeps one row per blob (partial aggregation first, so thousands of copies
+   shuffle once per task) whose (blob, rules) pair the ledger lacks (anti join),
 2. scans only those, whole, and appends the outcome to the ledger,
 3. joins the ledger's findings back to every path, here every row, that holds the blob.  A table with
    every historical version of a path as a row of its own is covered version by version.
@@ -109,7 +109,8 @@ def seen_in(ledger: DataFrame) -> DataFrame:
 def scan_unseen(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """New ledger rows: one for each blob of `docs` that `ledger` lacks under the present rules."""
     seen = ledger.where(F.col("rules") == RULES).select("blob")
-    return addressed(docs).join(seen, "blob", "left_anti").dropDuplicates(["blob"]).mapInPandas(_scan, FINDINGS)
+    # copies go first, in each task by itself, so that a text that very many rows hold is shuffled once per task
+    return addressed(docs).dropDuplicates(["blob"]).join(seen, "blob", "left_anti").mapInPandas(_scan, FINDINGS)
 
 
 def extend(docs: DataFrame, path: str) -> DataFrame:
