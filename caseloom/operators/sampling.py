@@ -36,7 +36,8 @@ def with_risk(cases: DataFrame, short: int = 60) -> DataFrame:
     """`cases` with risk 0..9 from description, resolution and the cited posts."""
     none = lambda c: (F.coalesce(F.size(c), F.lit(0)) <= 0).cast("int")
     both = F.concat_ws(" ", F.lit(""), "description", "resolution")
-    makes = sum((both.rlike("(?i)" + m).cast("int") for m in MAKES), F.lit(0))
+    # most texts name no make, which one pass tells
+    makes = F.when(B.any_of(both, MAKES), sum((both.rlike("(?i)" + m).cast("int") for m in MAKES), F.lit(0))).otherwise(0)
     fix = F.trim(F.coalesce("resolution", F.lit("")))
     risk = (F.length(fix) < short).cast("int") * 3 + none("fix_posts") * 2 + none("fault_posts") + (makes >= 2).cast("int") * 2 + B.any_of(fix, (r"\b(?:clean|additiv|flush|reset|reflash|emulat)",)).cast("int")
     return cases.withColumn("risk", risk)
