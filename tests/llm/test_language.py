@@ -78,3 +78,48 @@ def test_no_language_is_left_out(spark, monkeypatch):
         assert r.score == pytest.approx(want[r.doc_id].score)
         # sums in another order may break a tie otherwise
         assert r.lang_pred == want[r.doc_id].lang_pred or r.score < 0.5
+
+
+def grams_by_hand(text, buckets=language.BUCKETS):
+    """Hashed n-grams one by one, in whole numbers."""
+    mask, plain = (1 << 64) - 1, []
+    for c in text.lower():
+        if c.isalpha():
+            plain.append(c)
+        elif plain and plain[-1] != " ":
+            plain.append(" ")
+    points = [32, *map(ord, plain)]
+    found = {}
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            h = n
+            for p in points[i : i + n]:
+                h = ((h * 0x100000001B3) & mask) ^ p
+            h ^= h >> 29
+            h = (h * 0xBF58476D1CE4E5B9) & mask
+            found[(h >> 40) % buckets] = found.get((h >> 40) % buckets, 0) + 1
+    return found
+
+
+def test_query_against_brute_force(spark, data):
+    """Naive Bayes by its definition, over every row."""
+    docs = spark.read.parquet(f"{data}/sf0.001/documents.parquet")
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.text is not None and r.lang is not None and any(map(str.isalpha, r.text)):
+            own = counts.setdefault(r.lang, {})
+            for b, n in grams_by_hand(r.text).items():
+                own[b] = own.get(b, 0) + n
+    total = {lang: sum(c.values()) + language.SMOOTHING * language.BUCKETS for lang, c in counts.items()}
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    for r in rows:
+        grams = grams_by_hand(r.text or "") if any(map(str.isalpha, r.text or "")) else {}
+        if not grams:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        logs = {lang: sum(n * np.log((c.get(b, 0) + language.SMOOTHING) / total[lang]) for b, n in grams.items()) for lang, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        root = np.sqrt(sum(grams.values()))
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx(1 / sum(np.exp((v - logs[best]) / root) for v in logs.values()), rel=1e-6)

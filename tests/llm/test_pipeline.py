@@ -46,3 +46,27 @@ def test_run_and_empty_table(spark, data, tmp_path):
 
 def test_names_are_importable():
     assert packing.CAPACITY == 4096 and simhash.RADIUS == 3
+
+
+def test_stages_on_odd_rows(spark, nasty, nothing, tmp_path):
+    """Nulls, repeated rows, very long texts, clashing names and no rows, stage after stage."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (9, None, 1), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for given in (nasty, nothing):
+        docs = given
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = corpus_pipeline.durable(stage(spark, docs, str(tmp_path)))
+            assert after.columns == docs.columns, name
+            if given is nothing:
+                assert after.count() == 0
+            docs = after
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        n, least = check_pack(docs.collect(), packed.collect()) if given is nasty and docs.count() else (0, 0)
+        assert n <= least + 1
+
+
+def test_near_dedup_stage_on_odd_rows(spark, nasty):
+    kept = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, nasty, "")
+    rows = nasty.collect()
+    groups = set(brute([r.text for r in rows]))
+    assert kept.count() == len(groups)
