@@ -3,7 +3,9 @@
 Rows get global numbers 0..n-1 in the order of (bucket, doc_id, crc, size), where the bucket is a
 hash of these three, so that rows without a doc_id spread too: counts per bucket are summed to offsets
 and rows are numbered within their bucket, so no task ever sorts more than a bucket and no single task
-numbers everything.  There are more buckets where there are more rows.  A keyed
+numbers everything.  There are more buckets where there are more rows.  Rows that are equal in all three
+are counted before any shuffle and stand as one row with its count until they have their numbers; then
+they are laid out in chunks that are dealt over all tasks, so a third of all rows may be equal.  A keyed
 Feistel network over Z_a x Z_b with a*b >= n, a = ceil(sqrt n), permutes them; numbers that land at
 or beyond n walk on along their cycle.  At most a*b-n < a numbers lie out there, so a walk ends in
 that many steps: the bound of the walk is exact, not a guess.  With p the permuted number,
@@ -30,6 +32,7 @@ SEED = 7
 ROUNDS = 4  # double rounds
 BUCKETS = 4096  # at least
 BUCKET_ROWS = 1 << 18  # rows of a bucket to aim at
+CHUNK = 1 << 16  # equal rows that one task lays out at a time
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -63,7 +66,7 @@ def permuted(number: Column, n: int, seed: int = SEED) -> Column:
     return F.transform(F.array(once), lambda x: F.when(x < n, x).otherwise(walk(x)))[0]
 
 
-def numbered(rows: DataFrame, buckets: int | None = None) -> tuple[DataFrame, int]:
+def numbered(rows: DataFrame, buckets: int | None = None, chunk: int = CHUNK) -> tuple[DataFrame, int]:
     """Rows with doc_id, size and text_crc32, plus `number`; and how many there are."""
     n = rows.count()
     buckets = buckets or max(BUCKETS, -(-n // BUCKET_ROWS))
@@ -71,10 +74,16 @@ def numbered(rows: DataFrame, buckets: int | None = None) -> tuple[DataFrame, in
     counts = rows.select(bucket).groupBy("bucket").count()
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     offsets = counts.select(F.col("bucket").alias("at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket").orderBy("doc_id", "text_crc32", "size")
-    ranked = rows.select("*", bucket).withColumn("rank", F.row_number().over(within) - 1)
+    key = ["doc_id", "text_crc32", "size"]
+    distinct = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).select("*", bucket)
+    ahead = Window.partitionBy("bucket").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = distinct.withColumn("rank", F.coalesce(F.sum("copies").over(ahead), F.lit(0)))
     joined = ranked.join(offsets, F.col("bucket") == F.col("at"))
-    return joined.withColumn("number", F.col("rank") + F.col("offset")), n
+    first, copies = F.col("rank") + F.col("offset"), F.col("copies")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), copies - 1, F.lit(chunk).cast("long"))).alias("from")
+    chunks = joined.select(*key, first.alias("first"), "copies", starts).repartition("first", "from")
+    last = F.least(F.col("from") + chunk, copies) - 1
+    return chunks.select(*key, F.explode(F.sequence(F.col("first") + F.col("from"), F.col("first") + last)).alias("number")), n
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int | None = None) -> DataFrame:

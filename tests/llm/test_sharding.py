@@ -46,3 +46,12 @@ def test_edge_cases(nasty, nothing):
 def test_no_python_in_the_plan(nasty):
     plan = sharding.shard(nasty)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_rows_that_are_all_the_same(spark):
+    docs = spark.createDataFrame([(None, "same")] * 500 + [(i, "x" * i) for i in range(100)], "doc_id long, text string").repartition(5)
+    rows = sharding.shard(docs).collect()
+    check(rows, [r.text for r in docs.collect()])
+    sized = docs.select("doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    numbers = lambda chunk: sorted((r.number, r.text_crc32) for r in sharding.numbered(sized, chunk=chunk)[0].collect())
+    assert numbers(7) == numbers(sharding.CHUNK) and [n for n, _ in numbers(7)] == list(range(600))
