@@ -10,7 +10,9 @@ A recipe is used up by running out of one of its lengths, so a plan has O(capaci
 
 Pieces are then ranked within their length: they are salted, counted per (length, salt), ranked
 within that, and offset by the counts before, so a length that a third of all pieces share never
-meets in one task.  The rank in a length gives recipe, sequence and offset by a binary search in
+meets in one task.  Pieces that are equal throughout are counted before any shuffle and stand as
+chunks of at most CHUNK with their count, each with a salt of its own, until they are ranked, so
+that neither do a third of all pieces that are the same.  The rank in a length gives recipe, sequence and offset by a binary search in
 the plan, which is broadcast (its size depends on `capacity` alone).
 
 Edge cases: null and empty texts are one END; equal rows are interchangeable; a null or repeated
@@ -39,6 +41,7 @@ CAPACITY = 4096
 END = 1
 SALTS = 256  # at least
 SALT_ROWS = 1 << 22  # rows for which there is another
+CHUNK = 1 << 12  # equal pieces that stand as one row
 VOCABULARY = "word_bpe_49k.json"
 #: Characters for which the vocabulary's normalizer is str.lower(), and white space str.split()'s.
 UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
@@ -270,19 +273,28 @@ def slots(recipes: list[Recipe]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """`cut` (pieces, durable) with sequence_id and offset."""
-    salts = max(SALTS, cut.count() // SALT_ROWS)  # a count of a table just written reads no rows
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
-    counts = durable(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")))
+def chunked(cut: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Equal pieces as rows of at most `chunk`: the columns of `cut` with __chunk and __n."""
+    same = cut.groupBy(*cut.columns).agg(F.count(F.lit(1)).alias("__all"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__all") - 1, F.lit(chunk).cast("long"))).alias("__chunk")
+    return same.select("*", starts).select(*cut.columns, "__chunk", F.least(F.col("__all") - F.col("__chunk"), F.lit(chunk)).alias("__n"))
+
+
+def placed(cut: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> DataFrame:
+    """`cut` (pieces) with sequence_id and offset."""
+    chunks = durable(chunked(cut, chunk))
+    salts = max(SALTS, chunks.count() // SALT_ROWS)  # a count of a table just written reads no rows
+    salted = chunks.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "__chunk"), F.lit(salts)))
+    counts = durable(salted.groupBy("length", "__salt").agg(F.sum("__n").alias("__n")))
     histogram = counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()  # at most `capacity` rows
     table = slots(plan({r["length"]: r["n"] for r in histogram}, capacity))
     model = cut.sparkSession.sparkContext.broadcast(table)
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("__rank", F.row_number().over(within) - 1).join(offsets, ["length", "__salt"])
-    ranked = ranked.select(*cut.columns, (F.col("__rank") + F.col("__before")).alias("__rank"))
+    within = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32", "__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = salted.withColumn("__rank", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(offsets, ["length", "__salt"])
+    first = F.col("__rank") + F.col("__before")
+    ranked = ranked.select(*cut.columns, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias("__rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = model.value
@@ -303,4 +315,4 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep: bool = False) -> DataFrame:
     """One row per piece with its place; with its ids if `keep`."""
-    return placed(durable(pieces(docs, path, capacity, keep)), capacity)
+    return placed(pieces(docs, path, capacity, keep), capacity)

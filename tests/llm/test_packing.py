@@ -94,3 +94,11 @@ def test_small_capacity_and_one_hot_length(spark):
     docs = spark.createDataFrame([(i, "word " * 30) for i in range(200)] + [(1000 + i, "a") for i in range(50)], "doc_id long, text string")
     n, least = check_pack(docs.collect(), P.pack(docs, capacity=64).collect(), 64)
     assert n <= 1.05 * least + 1
+
+
+def test_pieces_that_are_all_the_same(spark):
+    docs = spark.createDataFrame([(None, "the same words")] * 400 + [(i, "others, of many words each") for i in range(50)], "doc_id long, text string")
+    cut = P.pieces(docs, capacity=16, keep=False)
+    n, least = check_pack(docs.collect(), P.placed(cut, 16, chunk=7).collect(), 16)
+    assert n <= 1.3 * least + 1
+    assert max(r["__n"] for r in P.chunked(cut, 7).collect()) == 7
