@@ -170,3 +170,31 @@ def mileage_number(text: Column) -> Column:
 def without_identity(case: Column) -> Column:
     """A case (struct with vehicle) without what identifies the single vehicle."""
     return case.withField("vehicle", case["vehicle"].dropFields("identType", "identValue"))
+
+
+#: Words of an engine's name by technology, the urea system's, makers of electric cars only, and makers who share another's codes.
+ENGINE_TECH = {
+    "diesel": r"\b(?:TDI|HDi|CDI|dCi|CRDi|D-4D|MultiJet|BlueHDi|JTD|JTDM|Duratorq|EcoBlue|2\.0d|3\.0d|1\.5d|1\.6d|2\.2d|Duramax|Cummins|EcoDiesel|PowerStroke|Power Stroke|Diesel)\b",
+    "turbo": r"\b(?:TSI|TFSI|T-GDI|TCe|THP|PureTech|T-Jet|Turbo|EcoBoost|N[0-9]{2}[A-Z]?|B[0-9]{2}[A-Z]?|FireFly T|DIG-T|MultiAir|SkyActiv Turbo|VC-Turbo|Hurricane|Twin Turbo|TwinTurbo|Supercharged|Hellcat|Redeye|Blackwing|EcoTec Turbo)\b",
+    "electric": r"\b(?:Electric|EV|BEV|e-tron|iD|ID\.|e-208|e-C4|Niro EV|IONIQ|Model [3SXY]|e-Ducato|e-Berlingo|Electrified|Dual Motor|Single Motor|Mach-E)\b",
+    "hybrid": r"\b(?:Hybrid|PHEV|HEV|GTE|e-TSI|e-HDi|E-TECH|PlugIn|Plug-In|eTorque|4xe|i-MMD|e-Boxer|IMA|Sport Hybrid|SH-AWD Hybrid|FHEV)\b",
+}
+UREA = r"\b(?:AdBlue|DEF|SCR|BlueTEC|BlueHDi|Reductant|Urea|NOx)\b"
+ELECTRIC_ONLY = ("Tesla",)
+CODES_OF = {
+    "Ford (US)": "Ford", "Toyota (US)": "Toyota", "Nissan (US)": "Nissan", "Hyundai (US)": "Hyundai", "Kia (US)": "Kia", "Volkswagen (US)": "Volkswagen", "Pontiac": "Chevrolet", "Saturn": "Chevrolet", "SEAT": "Volkswagen", "Seat": "Volkswagen", "Cupra": "Volkswagen", "CUPRA": "Volkswagen", "Opel": "Peugeot",
+}
+
+
+def engine_tech(brand: Column, engine_power: Column) -> Column:
+    """Technologies of an engine by its name, in order; urea counts for a diesel only."""
+    power = F.coalesce(engine_power, F.lit(""))
+    named = {n: power.rlike(f"(?i){p}") for n, p in ENGINE_TECH.items()}
+    named["adblue"] = named["diesel"] & power.rlike(f"(?i){UREA}")
+    tags = F.array_compact(F.array(*(F.when(holds, n) for n, holds in named.items())))
+    return F.when(F.coalesce(brand, F.lit("")).isin(*ELECTRIC_ONLY), F.array(F.lit("electric"))).otherwise(tags)
+
+
+def codes_brand(brand: Column) -> Column:
+    """The maker in whose list a brand's codes stand."""
+    return F.coalesce(*(F.when(brand == b, o) for b, o in CODES_OF.items()), brand)

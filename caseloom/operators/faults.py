@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import model as M
+from ..functions import vehicles as V
 
 MOST_CASES = 25
 
@@ -86,3 +87,22 @@ def top_codes(cases: DataFrame, key: str, n: int = 3) -> DataFrame:
     counts = codes.groupBy(key, "code").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "code")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def codes_of_cars(cars: DataFrame, lists: DataFrame) -> DataFrame:
+    """`cars` (id, brand, tags) with sorted arrays `common`, `engine` and `brand_codes` of trouble codes.
+
+    `lists` (level, name, code) holds common codes, those of an engine's technology, and those of a
+    maker.  It is reduced to one row per name first, so nothing grows with the cars; codes that are
+    common are left out of the engine's.  Brands and tags without a list get empty arrays.
+    """
+    none = F.array().cast("array<string>")
+    per = lists.groupBy("level", "name").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    common = per.where("level = 'common'").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("common"))
+    engine = per.where("level = 'engine'").agg(F.map_from_entries(F.collect_list(F.struct("name", "codes"))).alias("__engine"))
+    maker = per.where("level = 'brand'").select(F.col("name").alias("__maker"), F.col("codes").alias("__own"))
+    row = common.crossJoin(F.broadcast(engine))  # one row each: an aggregate without keys
+    met = cars.crossJoin(F.broadcast(row)).join(maker, V.codes_brand(F.col("brand")) == F.col("__maker"), "left")
+    tags = F.flatten(F.transform("tags", lambda t: F.coalesce(F.element_at("__engine", t), none)))
+    extra = F.array_sort(F.array_except(tags, F.coalesce("common", none)))
+    return met.withColumn("engine", extra).withColumn("brand_codes", F.coalesce("__own", none)).drop("__engine", "__maker", "__own")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bulletin_text as X
 from ..functions import bulletins as B
 from ..functions import text as T
 from ..functions.scoring import bulletin_prose, clean
@@ -204,6 +205,18 @@ def bulletin_stage(kind: Column, make: Column, summary: Column, description: Col
     return out.otherwise(F.struct(F.lit("to_review").alias("stage"), F.lit("not_strong").alias("reason")))
 
 
+def either(patterns: tuple[str, ...]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
+def classified_bulletins(records: DataFrame) -> DataFrame:
+    """`records` (kind, make, summary) with what their summaries say, `stage` and `reason`; clashing columns are replaced."""
+    said = records.withColumn("__part", X.seed_parts(F.col("summary"), either(SYMPTOM), either(ACTION), either(ACTION_FIRST)))
+    part = {c: F.col(f"__part.{c}") for c in ("description", "resolution", "symptoms", "obd_codes")}
+    stage = bulletin_stage(F.col("kind"), F.col("make"), F.col("summary"), *part.values())
+    return said.withColumn("__stage", stage).withColumns({**part, "stage": F.col("__stage.stage"), "reason": F.col("__stage.reason")}).drop("__part", "__stage")
+
+
 def final_stage(stage: Column, resolved: Column) -> Column:
     """A ready record without a catalog entry goes back to review."""
     return F.when((stage == "ready") & ~F.coalesce(resolved, F.lit(False)), "to_review").otherwise(stage)

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import casework, dashboards, lookups, texts
+from . import bulletins, casework, dashboards, lookups, texts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dashboards.QUERIES | texts.QUERIES | casework.QUERIES | lookups.QUERIES
+    return dashboards.QUERIES | texts.QUERIES | casework.QUERIES | lookups.QUERIES | bulletins.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dashboards.SQL | texts.SQL | casework.SQL | lookups.SQL
+    return dashboards.SQL | texts.SQL | casework.SQL | lookups.SQL | bulletins.SQL
