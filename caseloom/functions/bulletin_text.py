@@ -79,6 +79,11 @@ def if_any(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.filter(F.array(value), lambda x: x != ""), f), F.lit(0))
 
 
+def some(text: Column) -> Column:
+    """A text, null if it is empty; unlike nullif it works the text out once."""
+    return F.get(F.filter(F.array(text), lambda x: x != ""), F.lit(0))
+
+
 def _has(text: Column, pattern: str) -> Column:
     return text.rlike(f"(?i){pattern}")
 
@@ -93,7 +98,7 @@ def _once(text: Column, pattern: str, to: str) -> Column:
 
 def _said(text: Column, *patterns: str) -> Column:
     """What the first of the patterns that is met holds, else empty."""
-    return clean(F.coalesce(*(F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")) for p in patterns), F.lit("")))
+    return clean(F.coalesce(*(some(F.regexp_extract(text, f"(?i){p}", 1)) for p in patterns), F.lit("")))
 
 
 def _led(text: Column, leads: tuple[str, ...] = TEXT_LEADS) -> Column:
@@ -205,10 +210,10 @@ def seed_parts(summary: Column, shows: str, acts: str, action_first: str) -> Col
 
     def whole(p: Column) -> Column:
         title, body = p["title"], p["body"]
-        fallback = F.coalesce(*(F.nullif(c, F.lit("")) for c in (p["complaint"], title, p["first"])), body)
+        fallback = F.coalesce(*(some(c) for c in (p["complaint"], title, p["first"])), body)
         when = if_any(sentence(_said(body, *TOLD)), ended)
-        about = F.coalesce(when, F.nullif(_described(title, body, p["complaint"], action_first), F.lit("")), clean(fallback))
-        remedy = F.coalesce(*(F.nullif(_said(body, r), F.lit("")) for r in REMEDY), p["action"])
+        about = F.coalesce(when, some(_described(title, body, p["complaint"], action_first)), clean(fallback))
+        remedy = F.coalesce(*(some(_said(body, r)) for r in REMEDY), p["action"])
         return let(about, lambda d: F.struct(
             d.alias("description"),
             let(remedy, _remedied).alias("resolution"),
@@ -273,7 +278,7 @@ def symptom_tag(text: Column) -> Column:
         holds = lambda rules: [F.when(_all(t, patterns), name) for name, patterns in rules]
         code = code_tag(t)
         return F.coalesce(
-            if_any(_said(t, QUOTED), lambda q: F.nullif(quoted(q), F.lit(""))),
+            if_any(_said(t, QUOTED), lambda q: some(quoted(q))),
             *holds(TAGS_FIRST),
             F.when(_has(t, CODE_FIRST), code),
             *holds(TAGS_NEXT),
