@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, media, mixing, negatives, oracle, packing, private, quality, secrets, sharding, simhash, whitening
+from . import embeddings, language, media, mixing, negatives, oracle, packing, private, quality, secrets, sharding, simhash, toxicity, whitening
 from .common import fresh, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(read(spark, sf_dir, "embeddings"))
 
