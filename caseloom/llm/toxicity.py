@@ -27,6 +27,7 @@ alike; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -40,9 +41,9 @@ from .common import blank, durable
 
 ROWS = 8_000
 ENTRIES = 1_000
-CANDIDATES = 8_192
+CANDIDATES = 1 << 16
 BEGINNINGS = range(3, 10)  # letters
-LEAST = 4  # toxic texts with an entry
+LEAST = 4  # toxic texts with an entry, and tokens that it follows in them
 SURE = 18.0  # likelihood ratio statistic of an entry
 RATIO = 6.0  # of its rate in toxic texts to that in others
 HELD = 1 << 17  # forms, or tokens, remembered by a task
@@ -269,23 +270,52 @@ def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out(1)
 
 
+def _followed(batches: Iterator[pd.DataFrame], places: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """place, before: which tokens each form follows."""
+    met: set[tuple[int, int]] = set()
+    for pdf in batches:
+        for text in pdf["text"]:
+            before = ""
+            for token in text.split():
+                word = token.strip(MARKS).lower()
+                for form in (word, *(word[:n] + "*" for n in BEGINNINGS if n < len(word))):
+                    if form in places:
+                        met.add((places[form], zlib.crc32(before.encode("utf-8", "surrogatepass"))))
+                before = word
+        if len(met) > HELD:
+            yield pd.DataFrame(sorted(met), columns=["place", "before"])
+            met.clear()
+    yield pd.DataFrame(sorted(met), columns=["place", "before"])
+
+
 def learn(texts: DataFrame) -> list[str]:
-    """The entries that tell toxic texts from others, strongest first."""
+    """The entries that tell toxic texts from others, strongest first.
+
+    Texts that are near copies share all their words.  So a form counts for no more toxic texts than there are tokens
+    that it follows in them: a term stands behind many, the words of copies each behind the same.
+    """
     counts = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     clean, toxic = counts.get(0, 0), counts.get(1, 0)
     if not clean or not toxic:
         return []
     forms = texts.select("toxic", "text").mapInPandas(_forms, "form string, toxic int, n long")
     forms = forms.groupBy("form").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
-    share = (F.col("t") + F.col("c")) / F.lit(float(clean + toxic))
-    gain = F.col("t") * F.log(F.col("t") / (share * toxic)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (share * clean))).otherwise(0.0)
-    ratio = (F.col("t") + 0.5) / (toxic + 1.0) / ((F.col("c") + 0.5) / (clean + 1.0))
-    strong = forms.where(F.col("t") >= LEAST).withColumn("g", F.round(2 * gain, 6)).where((F.col("g") >= SURE) & (ratio >= RATIO))
-    whole = (~F.col("form").endswith("*")).cast("int")
-    found = strong.orderBy(F.desc("g"), whole.desc(), F.length("form").desc(), "form").limit(CANDIDATES).select("form").collect()
+    ratio = lambda t, c: (t + 0.5) / (toxic + 1.0) / ((c + 0.5) / (clean + 1.0))
+    strong = forms.where((F.col("t") >= LEAST) & (ratio(F.col("t"), F.col("c")) >= RATIO))
+    # the model keeps the CANDIDATES of the highest rate at most
+    found = strong.orderBy((F.col("t") / (F.col("c") + 1)).desc(), "form").limit(CANDIDATES).toPandas()
+    places = {f: i for i, f in enumerate(found["form"])}
+    followed = texts.where("toxic = 1").select("text").mapInPandas(lambda it: _followed(it, places), "place int, before long")
+    distinct = followed.distinct().groupBy("place").agg(F.count(F.lit(1)).alias("n")).toPandas().set_index("place")["n"]
+    t = np.minimum(found["t"].to_numpy(float), distinct.reindex(range(len(found))).fillna(0).to_numpy(float))
+    c = found["c"].to_numpy(float)
+    share = np.maximum(t + c, 1) / (clean + toxic)
+    gain = 2 * (t * np.log(np.maximum(t, 1) / (share * toxic)) + c * np.log(np.maximum(c, 1) / (share * clean)))
+    sure = (t >= LEAST) & (gain >= SURE) & (ratio(t, c) >= RATIO)
+    ranked = sorted((-round(g, 6), f.endswith("*"), -len(f), f) for g, f, ok in zip(gain, found["form"], sure, strict=True) if ok)
     taken: dict[str, None] = {}
     covered: set[str] = set()  # beginnings of what is taken
-    for (form,) in found:
+    for *_, form in ranked:
         bare = form.rstrip("*")
         beginnings = {bare[:n] + "*" for n in range(1, len(bare) + 1)}
         if form not in covered and not any(b in taken for b in beginnings):
