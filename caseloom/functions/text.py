@@ -95,13 +95,27 @@ def fold_words(values: pd.Series) -> pd.Series:
     return values.map(plain_words)
 
 
-@F.pandas_udf(StringType())
-def _unescape_numbers(values: pd.Series) -> pd.Series:
-    def code(m):
-        n = int(m[2], 16) if m[1] else int(m[2])
-        return chr(n) if n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else ""
+def _unescape_numbers(text: Column) -> Column:
+    """Decimal references, then hexadecimal ones; those of no character become nothing.
+
+    Each distinct reference is replaced once, those that give an ampersand last: what they make up
+    with the text behind them is no reference of the same kind.
+    """
+
+    def one_kind(text: Column, pattern: str, base: int) -> Column:
+        def char(ref: Column) -> Column:
+            digits = F.ltrim(F.regexp_extract(ref, pattern, 1), F.lit("0"))
+            n = F.conv(F.left(digits, F.lit(7)), base, 10).cast("long")
+            valid = (F.length(digits) <= 7) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
+
+        def replaced(t: Column) -> Column:
+            refs = F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), lambda r: F.struct((char(r) == "&").alias("last"), r.alias("ref"), char(r).alias("char")))
+            return F.aggregate(F.array_sort(refs), t, lambda acc, r: F.replace(acc, r["ref"], r["char"]))
+
+        return F.get(F.transform(F.array(text), replaced), F.lit(0))
 
-    return values.map(lambda v: v and re.sub(r"(?i)&#(x)?([0-9a-f]+);", lambda m: code(m) if m[1] or m[2].isdigit() else m[0], v))
+    return one_kind(one_kind(text, r"&#(\d+);", 10), r"(?i)&#x([0-9a-f]+);", 16)
 
 
 #: The named references that are resolved, and the tags that end a line.
@@ -110,7 +124,7 @@ LINE_ENDS = "p|div|li|tr|h1|h2|h3|h4|h5|h6"
 
 
 def html_to_text(page: Column, numeric: bool = True) -> Column:
-    """Visible text of HTML; `numeric=False` leaves out numeric references and stays built-in."""
+    """Visible text of HTML; `numeric=False` leaves numeric references as they are."""
     s = F.coalesce(page, F.lit(""))
     for tag in ("script", "style", "noscript"):
         s = F.regexp_replace(s, rf"(?is)<{tag}\b.*?</{tag}>", " ")

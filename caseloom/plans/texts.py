@@ -241,7 +241,7 @@ def crosscheck_known(spark, d):
 
 @query("SELECT page_id, md5(t) AS text_md5, length(t) AS n FROM (SELECT page_id, " + "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + "replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', ' ', 'g'), '(?is)<style\\b.*?</style>', ' ', 'g'), '(?is)<noscript\\b.*?</noscript>', ' ', 'g'), '(?i)<(br|hr)\\b[^>]*>', chr(10), 'g'), '(?i)</(p|div|li|tr|h1|h2|h3|h4|h5|h6)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')" + ", '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''')" + ", '\\r\\n', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM pages)")
 def html_to_text(spark, d):
-    t = T.html_to_text(F.col("html"), numeric=False)
+    t = T.html_to_text(F.col("html"))
     return table(spark, d, "pages").select("page_id", t.alias("t")).select("page_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").alias("n"))
 
 
@@ -278,7 +278,7 @@ def page_posts(spark, d):
     posts = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", post.alias("post")))), lambda x: x["post"]), "").alias("posts"))
     html = F.concat(F.lit('<html><body data-app="xenforo"><nav>menu</nav>'), F.col("posts"), F.lit("</body></html>"))
     pages = posts.select(F.col("conv_id").alias("page_id"), F.lit("https://forum.example/").alias("url"), html.alias("html"))
-    found = threads.posts_of_pages(pages.withColumn("software", T.forum_software(F.col("html"))))
+    found = threads.posts_of_pages(pages.withColumn("software", T.forum_software(F.col("html"))), least=40)
     return found.select("page_id", "number", "author", "when", "post_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
