@@ -81,7 +81,7 @@ def has_version(spark: SparkSession, table: str) -> bool:
     return bool(_versions(spark, table))
 
 
-def write_version(rows: DataFrame, table: str) -> str:
+def write_version(rows: DataFrame, table: str, by: str | None = None) -> str:
     """Write a new version of a table and make it the current one by a single rename.
 
     A version is written under another name and renamed to the next number once it is whole; the
@@ -92,7 +92,7 @@ def write_version(rows: DataFrame, table: str) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path
     known = _versions(spark, table)
     working, version = f"{table}/.next-{uuid.uuid4().hex}", f"{table}/v-{(known[-1] if known else 0) + 1:012d}"
-    rows.write.parquet(working)
+    (rows.write.partitionBy(by) if by else rows.write).parquet(working)
     fs = path(table).getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.exists(path(version)) or not fs.rename(path(working), path(version)):
         raise OSError(f"can't make {version} current")
@@ -103,6 +103,11 @@ def read_current(spark: SparkSession, table: str) -> DataFrame:
     return spark.read.parquet(f"{table}/v-{_versions(spark, table)[-1]:012d}")
 
 
+def all_versions(spark: SparkSession, table: str) -> list[str]:
+    """The versions of a table that only grows, in order."""
+    return [f"{table}/v-{v:012d}" for v in _versions(spark, table)]
+
+
 def violations(rows: DataFrame, rules: dict[str, str], key: tuple[str, ...] = ()) -> DataFrame:
     """(rule, n): how many rows break each rule, and how many keys repeat."""
     counts = rows.agg(*(F.count_if(~F.coalesce(F.expr(c), F.lit(False))).alias(n) for n, c in rules.items()))
