@@ -5,11 +5,10 @@ documents (term null) in a folder of their own.  Every `add` writes a segment, w
 of the documents that the index lacks; a search reads the folders of its terms and no text.
 
 A score is BM25: the sum over the question's distinct words of idf * tf / (tf + K1 * (1 - B + B * length /
-mean length)), idf = ln(1 + (n - df + 1/2) / (df + 1/2)).  Words that most documents have would pair every question
-with most documents.  So the search bounds what a word can add (its idf times its greatest share), scores
-each question's rarest words first, and takes the score in place `most` as what a document must reach.  The
-words whose bounds together stay below that can lift no document alone into the answer: documents are
-found by the others only, and these are looked up for what was found.  The result is exact.
+mean length)), idf = ln(1 + (n - df + 1/2) / (df + 1/2)).  Every posting of an asked word counts: the work
+is the sum of their frequencies.  (Bounds on what a word can add, as in MaxScore, were tried: whole texts as
+questions have so many words of middling frequency that 62 % of the postings were left on 10,000
+documents, and the search took longer.)
 
 Edge cases: a null or empty text is a document of length 0 that nothing finds; a null id is passed over;
 of several texts under an id one is kept, the first in order; a question without known words has no answer; equal
@@ -29,8 +28,6 @@ WORD = r"[\p{L}\p{N}]+"
 BUCKETS = 64
 SALTS = 8  # writers of a folder
 K1, B = 1.2, 0.75
-FIRST = 40  # postings for each place of the answer that a question's first words have
-SLACK = 1e-5  # of scores that are ranked by 6 digits
 
 
 def words(text: Column) -> Column:
@@ -77,29 +74,9 @@ def search(asked: DataFrame, path: str, most: int = 20, least: float = 0.3) -> D
     post = index.where(F.col("bucket").isin(buckets)).join(q.select("term").distinct(), "term", "left_semi")
     part = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(max(mean, 1e-9))))
     post = post.select("term", "doc", part.alias("part"))
-    terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("top"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = q.join(terms.select("term", "df", idf.alias("idf"), (idf * F.col("top")).alias("bound")), "term")
-
-    # a first score from each question's rarest words: what the document in place `most` must reach
-    rarest = Window.partitionBy("query_id").orderBy("df", "term")
-    before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    some = known.withColumn("before", before).where(F.col("before") < FIRST * most)
-    partial = some.join(post, "term").groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("part")).alias("s"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
-    reach = partial.withColumn("place", place).where(F.col("place") == most).select("query_id", F.col("s").alias("reach"))
-
-    # words whose bounds together stay below it find nothing by themselves
-    asc = Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
-    split = known.join(reach, "query_id", "left").withColumn("below", F.sum("bound").over(asc))
-    weak = F.coalesce(F.col("below") < F.col("reach") - SLACK, F.lit(False))
-    split = split.select("query_id", "term", "idf", "bound", "reach", weak.alias("weak"))
-    rest = split.where("weak").groupBy("query_id").agg(F.sum("bound").alias("rest"))
-    strong = split.where("not weak").join(post, "term").groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("part")).alias("s"), F.first("reach").alias("reach"))
-    strong = strong.join(rest, "query_id", "left").where(F.col("s") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce(F.col("reach"), F.lit(0.0)) - SLACK)
-    # each word of theirs is looked up in the documents found, by (term, doc)
-    open_ = strong.select("query_id", "doc").join(split.where("weak").select("query_id", "term", "idf"), "query_id")
-    more = open_.join(post, ["term", "doc"]).select("query_id", "doc", (F.col("idf") * F.col("part")).alias("s"))
-    total = strong.select("query_id", "doc", "s").unionByName(more).groupBy("query_id", "doc").agg(F.round(F.sum("s"), 6).alias("score"))
+    df = F.col("df")
+    known = q.join(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("query_id", "term", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+    # sums are begun where the postings are: a pair of question and document is sent once from there
+    total = known.join(post, "term").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("idf") * F.col("part")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc"))
     return total.where(F.col("score") > least).withColumn("rank", rank).where(F.col("rank") <= most).select("query_id", "rank", "doc", "score")

@@ -48,7 +48,7 @@ def test_search_equals_the_definition(spark, tmp_path):
     assert got(textindex.search(questions, path, 1000, 0.0)) == by_hand(docs, asked, 1000, 0.0)
 
 
-def test_words_of_most_documents_find_none_by_themselves(spark, tmp_path):
+def test_equal_scores_rank_by_id(spark, tmp_path):
     docs = spark.range(3000).select(F.col("id").alias("doc"), F.concat(F.lit("the of and "), F.repeat(F.concat(F.lit("x"), (F.col("id") % 100).cast("string"), F.lit(" ")), 3), F.lit("y "), F.col("id").cast("string")).alias("text"))
     textindex.add(docs, f"{tmp_path}/index")
     asked = spark.createDataFrame([(1, "the of and y x7")], "query_id int, term string")
