@@ -57,15 +57,17 @@ def shard() -> str:
 
 def mix() -> str:
     """Targets by the same closed form, places in strata by windows."""
-    seed, stratum, most = mixing.SEED, mixing.STRATUM, mixing.MOST
+    seed, stratum, most, chunk = mixing.SEED, mixing.STRATUM, mixing.MOST, mixing.CHUNK
     weight = f"[{', '.join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1]"
-    return f"""WITH d AS (SELECT doc_id, text, source, CAST(len(regexp_extract_all({TEXT}, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
+    return f"""WITH d AS (SELECT doc_id, md5(text) AS t, source, CAST(len(regexp_extract_all({TEXT}, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
     p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY 1), w AS (SELECT *, CAST({weight} AS DOUBLE) AS w, {most} * source_size AS cap FROM p),
     v AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
     g AS (SELECT level AS final FROM v WHERE level * w <= cap ORDER BY cap / w, level LIMIT 1), t AS (SELECT source, source_size, n, CAST(coalesce(least(cap, (SELECT final FROM g) * w), cap) AS DOUBLE) AS target FROM v),
-    r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, {mark(seed, 'doc_id', 'text')} AS h, CAST(ceil(t.n / {stratum}.0) AS BIGINT) AS strata FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-    o AS (SELECT *, h % strata AS stratum FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY size DESC, h, doc_id) AS place, rate - floor(rate) AS f, CAST({mark(seed, 'source', 'stratum')} >> 8 AS DOUBLE) * (1.0 / 4503599627370496) AS u FROM o)
-    SELECT doc_id, size, source_size, target, size * CAST(least(floor(rate) + floor(f * place + u) - floor(f * (place - 1) + u), {int(most)}) AS BIGINT) AS taken FROM k"""
+    c AS (SELECT doc_id, t, source, size, count(*) AS n FROM d GROUP BY 1, 2, 3, 4), e AS (SELECT *, unnest(range(0, (n - 1) // {chunk} + 1)) AS j FROM c),
+    r AS (SELECT e.doc_id, e.source, e.size, least({chunk}, e.n - {chunk} * j) AS m, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate, {mark(seed, 'doc_id', 'e.t', 'j')} AS h, CAST(ceil(t.n / {stratum}.0) AS BIGINT) AS strata FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source),
+    o AS (SELECT *, h % strata AS stratum FROM r), k AS (SELECT *, sum(m) OVER (PARTITION BY source, stratum ORDER BY size DESC, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - m AS start, rate - floor(rate) AS f, CAST({mark(seed, 'source', 'stratum')} >> 8 AS DOUBLE) * (1.0 / 4503599627370496) AS u FROM o),
+    i AS (SELECT *, unnest(range(1, m + 1)) AS i FROM k)
+    SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + floor(f * (start + i) + u) - floor(f * (start + i - 1) + u) AS BIGINT) AS taken FROM i"""
 
 
 def hard_negatives() -> str:

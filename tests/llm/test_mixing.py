@@ -62,3 +62,29 @@ def test_edge_cases(nasty, nothing):
     assert out.columns == nasty.columns and out.count() == sum(r["__copies"] for r in rows)
     assert mixing.mix(nothing).count() == 0
     assert mixing.mix(nasty.where(F.col("text") == "")).count() == 0
+
+
+def test_columns_of_any_name_stay_whole(spark):
+    rows = [(k % 50, f"word {k % 7} and more", f"s{k % 3}", -7, "mine", 2.5, k % 2 == 0, "k", bytes([k % 3])) for k in range(300)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", "__size", "__copy", "a.b", "__key", "__row", "c0"])
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    mixed = [tuple(r) for r in out.collect()]
+    assert set(mixed) <= set(rows) and len(mixed) == sum(r["__copies"] for r in mixing.rates(docs).collect())
+
+
+def test_a_third_of_equal_rows_fills_all_strata_alike(spark):
+    docs = spark.range(30_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 2 == 0, F.lit("the same words")).otherwise(F.concat(F.lit("other words "), F.col("id").cast("string"))).alias("text"),
+        F.lit("a").alias("source"),
+    )
+    digest = F.md5(F.col("text").cast("binary")).alias("__digest")
+    classes = docs.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), mixing.words("text").alias("__size"), digest)
+    drawn = mixing.drawn(classes.groupBy(*classes.columns).agg(F.count(F.lit(1)).alias("__n")), stratum=1000)
+    strata = drawn.groupBy("__stratum").agg(F.sum("__m").alias("n")).toPandas()["n"]
+    assert strata.sum() == 30_000 and strata.max() < 2 * strata.median()
+    rows = mixing.rates(docs, stratum=1000).toPandas()
+    assert len(rows) == 30_000 and (rows["__size"] * rows["__copies"]).sum() == pytest.approx(90_000, rel=0.01)
+    mixed = mixing.mix(docs, stratum=1000)
+    assert abs(mixed.count() - rows["__copies"].sum()) <= 30
