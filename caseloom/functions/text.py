@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .scoring import SPACE, clean
 
@@ -95,6 +95,12 @@ def fold_words(values: pd.Series) -> pd.Series:
     return values.map(plain_words)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def fold_each(values: pd.Series) -> pd.Series:
+    """Each text of a list by `plain_words`, those that aren't empty, in order."""
+    return values.map(lambda v: sorted(w for w in map(plain_words, v) if w) if v is not None else [])
+
+
 def _unescape_numbers(text: Column) -> Column:
     """Decimal references, then hexadecimal ones; those of no character become nothing.
 

@@ -113,102 +113,9 @@ def apply_decisions(spark, d):
 
 # ---- gates
 
-_FINAL = "SELECT doc_id AS seq, CASE WHEN doc_id % 17 = 0 THEN '' ELSE concat('u', CAST(doc_id % 60 AS STRING)) END AS url, CASE WHEN doc_id % 13 = 0 THEN '' ELSE source END AS author, CASE WHEN doc_id % 3 = 0 THEN 'Golf VII' ELSE 'Polo' END AS vehicle_model, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Golf' ELSE 'Polo V' END AS resolved_model, CASE WHEN doc_id % 8 = 0 THEN NULL ELSE concat('Noise ', CAST(doc_id % 2 AS STRING)) END AS symptom, CASE WHEN doc_id % 9 = 0 THEN 'X1' WHEN doc_id % 2 = 0 THEN 'p0301' END AS code, CASE WHEN doc_id % 7 = 0 THEN 'short' ELSE text END AS description, CASE doc_id % 5 WHEN 0 THEN 'Replace the pump' WHEN 1 THEN 'Replaced the pump and bled the system' WHEN 2 THEN 'I will update you about the new pump' WHEN 3 THEN 'Replace the hose if it is necessary' ELSE 'Cleaned  the sensor and its connector' END AS resolution, doc_id % 3 AS source_priority FROM documents"
 _CLEAN = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
 
 
-def _final_sql(by_author: bool) -> str:
-    key = "url, lower(coalesce(symptom, '')), lower(fix)" + (", lower(author)" if by_author else "")
-    order = "source_priority DESC" + (", length(resolution) DESC" if by_author else "") + ", seq"
-    several = """UNION ALL SELECT seq, 'several_by_author' FROM w WHERE author <> '' AND many > 1 UNION ALL SELECT seq, 'conflicting_models' FROM w WHERE author <> '' AND models > 1""" if by_author else ""
-    return f"""WITH c AS (SELECT *, {_CLEAN.format('resolution')} AS fix, {_CLEAN.format('description')} AS about FROM ({_FINAL})), r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS n FROM c),
-    k AS (SELECT * FROM r WHERE n = 1), g AS (SELECT url, author, count(*) AS many, count(DISTINCT resolved_model) AS models FROM k GROUP BY 1, 2), w AS (SELECT * FROM k JOIN g USING (url, author))
-    SELECT seq, 'duplicate' AS issue FROM r WHERE n > 1 UNION ALL SELECT seq, 'no_url' FROM k WHERE url = '' UNION ALL SELECT seq, 'no_model' FROM k WHERE resolved_model = '' UNION ALL SELECT seq, 'no_symptoms' FROM k WHERE symptom IS NULL
-    UNION ALL SELECT seq, 'bad_code' FROM k WHERE code = 'X1' UNION ALL SELECT seq, 'short_description' FROM k WHERE length(about) < 20 UNION ALL SELECT seq, 'short_resolution' FROM k WHERE length(fix) < 20
-    UNION ALL SELECT seq, 'unresolved' FROM k WHERE regexp_matches(resolution, '(?i)\\bwill\\b.{{0,40}}\\bupdate\\b') UNION ALL SELECT seq, 'conditional' FROM k WHERE regexp_matches(fix, '(?i)\\bif\\b.{{0,40}}\\bnecessary\\b')
-    UNION ALL SELECT seq, 'family_conflict' FROM k WHERE resolved_model <> '' AND lower(split_part(vehicle_model, ' ', 1)) <> lower(split_part(resolved_model, ' ', 1)) {several}"""
-
-
-def _final(spark, d):
-    return rows_of(spark, d, _FINAL).withColumns({"symptoms": _strings(F.col("symptom")), "obd_codes": _strings(F.col("code"))})
-
-
-@query(_final_sql(False))
-def safe_final(spark, d):
-    return gates.safe_final(_final(spark, d))[2]
-
-
-@query(_final_sql(True))
-def safe_final_by_author(spark, d):
-    return gates.safe_final(_final(spark, d), True)[2]
-
-
-_CONDITIONS = ", ".join(f'"{c}": true' for c in gates.CONDITIONS)
-_RAW = f"""CASE doc_id % 6 WHEN 0 THEN '{{{_CONDITIONS}}}' WHEN 1 THEN 'Sure: {{{_CONDITIONS.replace('"fix_described": true', '"fix_described": false')}}} done' WHEN 2 THEN '{{{_CONDITIONS.split(", ", 1)[1]}}}' WHEN 3 THEN 'no json }} here {{' WHEN 4 THEN '{{{_CONDITIONS.replace('"in_scope": true', '"in_scope": false')}}}' ELSE text END"""
-
-
-@query(
-    f"""WITH j AS (SELECT doc_id, regexp_extract({_RAW}, '\\{{[\\s\\S]*\\}}') AS j FROM documents), v AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j ELSE '{{}}' END AS j FROM j)
-    SELECT doc_id, CASE WHEN """
-    + " OR ".join(f"json_extract_string(j, '$.{c}') IS NULL" for c in gates.CONDITIONS)
-    + " THEN 'parse-fail' "
-    + " ".join(f"WHEN json_extract_string(j, '$.{c}') = 'false' THEN '{c}'" for c in gates.CONDITIONS)
-    + " END AS failed FROM v"
-)
-def structured_verdict(spark, d):
-    return table(spark, d, "documents").select("doc_id", gates.structured_verdict(F.expr(_RAW))["failed"].alias("failed"))
-
-
-_DECISIONS = "SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'reject' WHEN 1 THEN NULL ELSE 'accept' END AS decision, CASE doc_id % 5 WHEN 0 THEN 'Updated the software' WHEN 1 THEN 'Reprogrammed and replaced the module' WHEN 2 THEN 'Replace it when needed' ELSE text END AS resolution, CASE WHEN doc_id % 6 = 0 THEN 'P0301' END AS code, CASE doc_id % 7 WHEN 0 THEN 'Noise' WHEN 1 THEN NULL ELSE 'rattle at idle' END AS symptom, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 3 = 1 END AS resolved FROM documents"
-
-
-@query(
-    f"""WITH d AS (SELECT *, regexp_matches(resolution, '(?i)\\bsoftware\\b|\\breprogram|\\breflash') AND NOT regexp_matches(resolution, '(?i)\\breplac|\\brepair|\\binstall') AND code IS NULL AS weak, coalesce(lower(symptom), 'noise') IN ('noise', 'malfunction', 'fault', 'issue', 'problem', 'warning light') AS vague, regexp_matches(resolution, '(?i)\\b(?:if|when|should)\\b.{{0,40}}\\b(?:necessary|needed|required|equipped|applicable)\\b') AS cond FROM ({_DECISIONS})),
-    s AS (SELECT *, CASE WHEN decision = 'accept' THEN CASE WHEN weak THEN 'software_only' WHEN vague THEN 'generic_symptom' WHEN cond THEN 'conditional' END END AS demoted FROM d)
-    SELECT id, demoted, CASE WHEN demoted IS NOT NULL THEN 'to_review' WHEN decision = 'accept' AND NOT coalesce(resolved, false) THEN 'to_review' ELSE coalesce(decision, 'to_review') END AS decision FROM s"""
-)
-def second_pass_decisions(spark, d):
-    rows = rows_of(spark, d, _DECISIONS).withColumns({"obd_codes": _strings(F.col("code")), "symptoms": _strings(F.col("symptom"))})
-    return gates.catalog_enforced(gates.second_pass(rows)).select("id", "demoted", "decision")
-
-
-@query(
-    f"""WITH c AS (SELECT *, {_CLEAN.format('description')} AS about, {_CLEAN.format('resolution')} AS fix FROM ({_FINAL})), n AS (SELECT count(*) AS "rows", count(*) FILTER (symptom IS NULL) AS no_symptoms, count(*) FILTER (symptom IS NOT NULL AND regexp_matches(upper(trim(code)), '^[PBCU][0-9A-F]{{4}}$')) AS code_as_symptom, 0 AS long_symptom, count(*) FILTER (length(fix) < 20) AS short_resolution, count(*) FILTER (regexp_matches(fix, '(?i)\\bif\\b.{{0,40}}\\bnecessary\\b')) AS conditional, count(*) FILTER (resolved_model = '') AS unmapped FROM c),
-    g AS (SELECT count(*) AS duplicate_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM c GROUP BY lower(author), lower(vehicle_model), lower(about), lower(fix) HAVING count(*) > 1)) SELECT *, no_symptoms + code_as_symptom + long_symptom + short_resolution + conditional + unmapped + duplicate_groups = 0 AS approved FROM n, g"""
-)
-def subset_summary(spark, d):
-    """A code among the symptoms counts as one violation of its own."""
-    symptoms = F.when(F.col("symptom").isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(F.array("symptom", "code")))
-    rows = _final(spark, d).withColumns({"symptoms": symptoms, "vehicle_brand": F.col("author"), "resolved": F.col("resolved_model") != ""})
-    return gates.subset_summary(rows)
-
-
-_REVIEWED = "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'discarded' ELSE 'to_review' END AS stage, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 7 <> 1 END AS has_fix, doc_id % 13 = 0 AS duplicate, doc_id % 5 <> 0 AS model_known, doc_id % 4 <> 0 AS author_confirmed, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'P0301' END AS code, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'noise' END AS symptom FROM documents"
-
-
-@query(
-    f"SELECT id, CASE WHEN stage = 'discarded' OR NOT coalesce(has_fix, false) THEN 'discarded' WHEN duplicate THEN 'duplicate' WHEN NOT model_known THEN 'model_needed' WHEN NOT author_confirmed OR (code IS NULL AND symptom IS NULL) THEN 'manual' ELSE 'safe' END AS final_status FROM ({_REVIEWED})"
-)
-def retriage_rows(spark, d):
-    rows = rows_of(spark, d, _REVIEWED).withColumns({"obd_codes": _strings(F.col("code")), "symptoms": _strings(F.col("symptom"))})
-    return gates.retriage(rows).select("id", "final_status")
-
-
-@query(
-    "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 AND doc_id % 5 <> 0 THEN 'approved' ELSE 'queued' END AS outcome, doc_id % 4 = 0 AND doc_id % 7 <> 0 AND doc_id % 9 <> 0 AS classified FROM documents"
-)
-def triage_verdicts(spark, d):
-    i = F.col("doc_id")
-    rows = table(spark, d, "documents").select(
-        i.alias("id"),
-        F.when(i % 2 == 0, "accept").otherwise(F.when(i % 4 == 1, "reject")).alias("decision"),
-        F.when(i % 3 == 0, "low").otherwise("high").alias("confidence"),
-        F.when(i % 5 == 0, F.array(F.lit("unclear"))).when(i % 10 == 2, F.array().cast("array<string>")).alias("objections"),
-        gates.classifier_approved({"in_scope": F.when(i % 9 != 0, i % 4 == 0), "solved": i % 4 == 0}, F.when(i % 7 != 0, F.array(F.lit(1)))).alias("classified"),
-    )
-    return gates.triaged(rows).select("id", "outcome", "classified")
-
-
 _POSTS = "SELECT conv_id, turn, role, text FROM conversations"
 
 

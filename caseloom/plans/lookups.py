@@ -534,23 +534,6 @@ def quoted_promotions(spark, d):
     return gates.quoted_promotions(queue, cases, t.select("url", "thread_text"), quotes).select("local_id")
 
 
-_ROUTED = f"SELECT doc_id AS id, {_pick(('A recall of the airbag', 'rattle at idle', 'P0301 stored', 'policy on parts'), 'doc_id')} AS description, 'Replace it' AS resolution, CASE WHEN doc_id % 3 = 0 THEN 'stalls' END AS symptom FROM documents"
-
-
-@query(f"SELECT id, CASE WHEN regexp_matches(description, '(?i)recall|policy') THEN 'discard' WHEN regexp_matches(description, '(?i)P[0-9]{{4}}') OR symptom = 'stalls' THEN 'ai_review' ELSE 'to_review' END AS route FROM ({_ROUTED})")
-def refine_routes(spark, d):
-    rows = rows_of(spark, d, _ROUTED).withColumn("symptoms", _strings(F.col("symptom")))
-    return gates.refine_route(rows, (r"P[0-9]{4}", "stalls"), ("recall", "policy")).select("id", "route")
-
-
-_VERDICTS = _pick(('{"wrongly_accepted": true, "confidence": "high", "failed_condition": "b"}', "garbage", 'Answer: {"wrongly_accepted": false, "failed_condition": "z"}', "{}", '{"confidence": "low"}'), "doc_id")
-
-
-@query("SELECT doc_id, doc_id % 5 IN (1, 3) AS parse_fail, doc_id % 5 = 0 AS wrongly_accepted, CASE doc_id % 5 WHEN 0 THEN 'high' WHEN 4 THEN 'low' ELSE 'unknown' END AS confidence, CASE WHEN doc_id % 5 = 0 THEN 'b' ELSE 'none' END AS failed_condition FROM documents")
-def precision_verdicts(spark, d):
-    return table(spark, d, "documents").select("doc_id", gates.precision_verdict(F.expr(_VERDICTS)).alias("v")).select("doc_id", "v.*")
-
-
 @query("SELECT c_custkey AS id, o_orderkey FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 20) WHERE n = 1")
 def answers_kept_once(spark, d):
     known = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_custkey").alias("id"))
