@@ -105,4 +105,4 @@ def out_of_scope(brand: Column, model: Column, engine: Column) -> Column:
 
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     """Whether any of a family of patterns is in a text: one alternation, one pass."""
-    return F.coalesce(text, F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    return F.coalesce(text, F.lit("")).rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))

@@ -74,7 +74,14 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(F.trim(url), F.lit("HOST"))), r"^www\.", "")
 
 
-def likely_thread(url: Column, allow: str = r"(?i)/(threads?|topic|t)[/-]|viewtopic|showthread", deny: str = r"(?i)/(members?|login|register|search|attachments?)\b", own: str | None = None) -> Column:
-    """Whether an address looks like a thread's; a forum's own pattern decides where it has one."""
-    shaped = url.rlike(own) if own else url.rlike(allow) & ~url.rlike(deny)
-    return url.isNotNull() & (F.length(url) <= 2000) & shaped
+#: What the address of a thread looks like, and what it doesn't.
+THREAD = r"(?i)/topic/|(?:/|\?)thread/|viewtopic|showthread|/threads/|(?:/|\?)t\d|/discussion/"
+NO_THREAD = r"(?i)/blogs?/|/tests?/|/news/|/articles?/|/reviews?/"
+OWN_LENGTH = 2000  # of addresses that a forum's own pattern is tried on
+
+
+def likely_thread(url: Column, own: str | None = None) -> Column:
+    """Whether an address looks like a thread's; a forum's own pattern decides alone where it has one."""
+    if own and own.strip():
+        return F.coalesce((F.length(url) <= OWN_LENGTH) & url.rlike(f"(?i){own}"), F.lit(False))
+    return F.coalesce(url.rlike(THREAD) & ~url.rlike(NO_THREAD), F.lit(False))

@@ -94,15 +94,50 @@ def crawled_index(cases: DataFrame) -> DataFrame:
     return rows.groupBy("host", "section").agg(F.countDistinct("url").alias("threads"), F.countDistinct("number").alias("bulletins"), F.count_if(F.col("url").isNull() & F.col("number").isNull()).alias("unindexable"))
 
 
-def flags(rows: DataFrame, named: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(rows per flag, one row of flagged rows and their share) for several flags per row."""
-    marks = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in named.items())))
-    tagged = rows.select(marks.alias("marks"))
-    per = tagged.select(F.explode("marks").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
-    total = tagged.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("marks") > 0).alias("flagged"))
+#: What fills a repair's place, and the brand that a forum's cases should have.
+FILLER = r"(?iu)\b(viz výše|see above|n/a|none|unknown|nevím|tbd|xxx)\b"
+FORUM_BRANDS = {"fordtransit.org": "ford", "skoda-club.net": "škoda|skoda", "kia-club.org": "kia", "club-fiat.com": "fiat"}
+
+
+def audit_flags(cases: DataFrame) -> DataFrame:
+    """`cases` (vehicle_brand, vehicle_model, symptoms, description, resolution, obd_codes, thread_url) with their flags."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    plain = lambda t: F.trim(F.regexp_replace(F.lower(t), "[^a-z0-9]+", " "))
+    about, fix, brand = text("description"), text("resolution"), text("vehicle_brand")
+    host = F.coalesce(F.regexp_replace(F.lower(F.try_parse_url(F.col("thread_url"), F.lit("HOST"))), r"^www\.", ""), F.lit(""))
+    other = F.lit(False)
+    for name, expected in FORUM_BRANDS.items():
+        other = other | ((host == name) & (F.coalesce("vehicle_brand", F.lit("")) != "") & ~brand.rlike(f"(?iu){expected}"))
+    length = F.length(fix)
+    rules = {
+        "no_brand": brand == "",
+        "no_model": text("vehicle_model") == "",
+        "no_problem_stated": (F.coalesce(F.size("symptoms"), F.lit(0)) <= 0) & (about == ""),
+        "no_resolution": fix == "",
+        "resolution_too_short": (fix != "") & (length < 10),
+        "resolution_too_long": length > 400,
+        "resolution_equals_description": (fix != "") & (about != "") & (plain(fix) == plain(about)),
+        "resolution_filler": fix.rlike(FILLER) & (length < 25),
+        "obd_malformed": F.exists(F.coalesce("obd_codes", F.array().cast("array<string>")), lambda c: (c != "") & ~F.trim(c).rlike("(?i)^[PCBU][0-9][0-9A-F]{3}$")),
+        "brand_forum_mismatch": other,
+    }
+    return cases.withColumn("flags", F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()))))
+
+
+def flags(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows per flag, one row of flagged rows and their share) of rows with `flags`."""
+    per = tagged.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
+    total = tagged.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.size("flags") > 0).alias("flagged"))
     return per, total.withColumn("percent", F.round(100 * F.col("flagged") / F.nullif("rows", F.lit(0)), 1))
 
 
+def repeated_repairs(cases: DataFrame) -> DataFrame:
+    """One row: how many cases say again what another of their thread says, by the first 60 letters of the repair."""
+    plain = F.left(F.trim(F.regexp_replace(F.lower(F.coalesce("resolution", F.lit(""))), "[^a-z0-9]+", " ")), F.lit(60))
+    keys = cases.where(F.coalesce("thread_url", F.lit("")) != "").groupBy("thread_url", plain.alias("fix")).agg(F.count(F.lit(1)).alias("n"))
+    return keys.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("repeated"))
+
+
 def top_reasons(rows: DataFrame, reason: str, n: int = 5) -> DataFrame:
     counted = rows.where(F.coalesce(reason, F.lit("")) != "").groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
     return counted.orderBy(F.desc("n"), reason).limit(n).withColumn("shown", F.format_string("%s (×%d)", F.col(reason), F.col("n")))

@@ -114,9 +114,14 @@ def precision_alert(today: DataFrame, pool: DataFrame, rate: float = 0.2, least:
     return row.withColumn("alert", F.col("cluster_hit") | F.col("pooled_hit"))
 
 
-def reject_rate(cases: DataFrame) -> DataFrame:
-    """Share of rejections among verdicts."""
-    counts = cases.agg(F.count_if(F.col("status") == "verify_rejected").alias("rejected"), F.count_if(F.col("status").isin(*PASSED)).alias("passed"))
+#: What a case that passed its verdict may be by now; a failed import is neither.
+PASS_LIKE = ("verified", "imported", "import_ready", "crosscheck_dupe")
+
+
+def reject_rate(cases: DataFrame, since: Column) -> DataFrame:
+    """Share of rejections among the verdicts on cases (status, created_at) made `since`; 0 without any."""
+    recent = cases.where(F.col("created_at") >= since)
+    counts = recent.agg(F.count_if(F.col("status") == "verify_rejected").alias("rejected"), F.count_if(F.col("status").isin(*PASS_LIKE)).alias("passed"))
     return counts.withColumn("rate", ratio(F.col("rejected"), F.col("rejected") + F.col("passed")))
 
 

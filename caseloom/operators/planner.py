@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import manifest
+
 from .metrics import FORUM_METRICS
 
 
@@ -138,10 +140,25 @@ def reverted(forums: DataFrame, journal: DataFrame) -> DataFrame:
     return met.withColumns(back).select(*forums.columns)
 
 
-def rest_rule(forums: DataFrame, hours: int = 720) -> DataFrame:
-    """status and cooldown after an archive walk: complete and nothing pending rests, else active."""
-    done = F.col("archive_complete") & (F.coalesce("pending", F.lit(0)) == 0)
-    return forums.withColumn("next_status", F.when(done, "resting").otherwise("active")).withColumn("rest_hours", F.when(done, hours))
+#: What a forum may be to be worked on; how long a mined archive rests.
+OPEN = ("discovered", "queued", "active", "exhausted")
+REST_HOURS = 720
+
+
+def rest_rule(forums: DataFrame, now: Column, hours: int = REST_HOURS) -> DataFrame:
+    """`forums` after a walk: a whole archive with nothing pending is exhausted and cools down, any other is active.
+
+    Sets status, cooldown_until, cooldown_tier_hours and cooldown_set_at.
+    """
+    done = F.coalesce("archive_complete", F.lit(False)) & (F.coalesce("pending", F.lit(0)) == 0)
+    return forums.withColumns(
+        {
+            "status": F.when(done, "exhausted").otherwise("active"),
+            "cooldown_until": F.when(done, now + F.make_dt_interval(hours=F.lit(hours))),
+            "cooldown_tier_hours": F.when(done, hours),
+            "cooldown_set_at": F.when(done, now),
+        }
+    )
 
 
 def archive_cursor(cursors: DataFrame, visits: DataFrame) -> DataFrame:
@@ -152,10 +169,20 @@ def archive_cursor(cursors: DataFrame, visits: DataFrame) -> DataFrame:
     return met.select("section", nxt.alias("next_page"), (F.col("done") | F.coalesce("ended", F.lit(False)) & F.col("failed").isNull()).alias("done"))
 
 
-def forum_queue(forums: DataFrame, now: Column) -> DataFrame:
-    """Forums that are not cooling down: never crawled first, then priority, then the longest wait."""
-    free = forums.where(F.col("cooldown_until").isNull() | (F.col("cooldown_until") < now))
-    return free.orderBy(F.col("last_crawled_at").isNotNull(), F.coalesce("priority_score", F.lit(0.0)).desc(), F.col("last_crawled_at").asc_nulls_first(), "id")
+def _free(forums: DataFrame, now: Column) -> DataFrame:
+    return forums.where(F.col("status").isin(*OPEN) & (F.col("cooldown_until").isNull() | (F.col("cooldown_until") < now)))
+
+
+def forum_queue(forums: DataFrame, now: Column, most: int = 50) -> DataFrame:
+    """Open forums that are not cooling down: never crawled first, then priority, then the longest wait; `most` of them."""
+    order = [F.col("last_crawled_at").isNotNull(), F.coalesce("priority_score", F.lit(0.0)).desc(), F.col("last_crawled_at").asc_nulls_first(), F.col("id")]
+    return _free(forums, now).orderBy(*order).limit(most)
+
+
+def calibration_queue(forums: DataFrame, now: Column, most: int = 10) -> DataFrame:
+    """Open, free forums whose calibration is pending: fewest attempts first, then the oldest; `most` of them."""
+    pending = F.coalesce("calibration_status", F.lit("pending")) == "pending"
+    return _free(forums, now).where(pending).orderBy(F.coalesce("calibration_attempts", F.lit(0)), F.col("created_at").asc_nulls_first(), "id").limit(most)
 
 
 def retry_queue(threads: DataFrame, fresh: str, failed: str, attempts: int) -> DataFrame:
@@ -164,7 +191,6 @@ def retry_queue(threads: DataFrame, fresh: str, failed: str, attempts: int) -> D
     return threads.where(due).orderBy(F.when(F.col("status") == fresh, 0).otherwise(1), "created_at", "id")
 
 
-def next_brand(manifest: DataFrame, order: tuple[str, ...] = ("running", "pending", "failed")) -> DataFrame:
-    """The brand to work on: by status, then most rows, then name."""
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("status"))
-    return manifest.where(rank > 0).orderBy(rank, F.desc("rows"), "brand").limit(1)
+def next_brand(brands: DataFrame) -> DataFrame:
+    """The brand (make, status, supported_rows) to work on, if one is left; see `manifest.queue`."""
+    return manifest.queue(brands).limit(1)

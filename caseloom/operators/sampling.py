@@ -55,7 +55,10 @@ def audit_sample(pool: DataFrame, imported: DataFrame, audited: DataFrame, sampl
     by_risk = [F.col("__aud"), F.desc("risk"), F.desc_nulls_last("created_at"), F.col("id")]
     risky = left.orderBy(*by_risk).limit(risk).select("id", F.lit("risk").alias("slice"))
     rest = left.join(risky, "id", "left_anti")
-    drawn = rest.orderBy("__aud", lot(seed, "id"), "id").limit(random).select("id", F.lit("random").alias("slice"))
+    # of unaudited rows alone, however few, if there are any: a count of at most one row
+    unaudited = rest.where("__aud = 0").limit(1).agg(F.count(F.lit(1)).alias("__some"))
+    eligible = rest.crossJoin(F.broadcast(unaudited)).where("__aud = 0 or __some = 0")
+    drawn = eligible.orderBy(lot(seed, "id"), "id").limit(random).select("id", F.lit("random").alias("slice"))
     spill = rest.join(drawn, "id", "left_anti").orderBy(*by_risk).limit(sample).select("id", F.lit("spill").alias("slice"))
     order = F.array_position(F.array(*map(F.lit, ("fresh", "risk", "random", "spill"))), F.col("slice"))
     return new.unionByName(risky).unionByName(drawn).unionByName(spill).orderBy(order, "id").limit(sample)

@@ -137,12 +137,12 @@ def cited_posts(spark, d):
 
 # ---- metrics, planning, samples
 
-_OUTCOMES = "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'imported' WHEN o_orderkey % 3 = 0 THEN 'verify_rejected' WHEN o_orderkey % 3 = 1 THEN 'verified' ELSE 'pending' END AS status FROM orders"
+_OUTCOMES = "SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'imported' WHEN 1 THEN 'verify_rejected' WHEN 2 THEN 'verified' WHEN 3 THEN 'import_failed' WHEN 4 THEN 'import_ready' WHEN 5 THEN 'crosscheck_dupe' ELSE 'pending' END AS status, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders"
 
 
-@query(f"SELECT rejected, passed, CASE WHEN rejected + passed > 0 THEN round(rejected / (rejected + passed), 3) ELSE 0.0 END AS rate FROM (SELECT count(*) FILTER (status = 'verify_rejected') AS rejected, count(*) FILTER (status IN ('imported', 'verified')) AS passed FROM ({_OUTCOMES}))")
+@query(f"SELECT rejected, passed, CASE WHEN rejected + passed > 0 THEN round(rejected / (rejected + passed), 3) ELSE 0.0 END AS rate FROM (SELECT count(*) FILTER (id % 7 = 1) AS rejected, count(*) FILTER (id % 7 IN (0, 2, 4, 5)) AS passed FROM ({_OUTCOMES}) WHERE created_at >= TIMESTAMP '1995-01-01 00:00:00')")
 def reject_rate(spark, d):
-    return metrics.reject_rate(rows_of(spark, d, _OUTCOMES))
+    return metrics.reject_rate(rows_of(spark, d, _OUTCOMES), _stamp("1995-01-01 00:00:00"))
 
 
 @query("SELECT *, parsed_rate >= 0.6 AND approved_rate >= 0.1 AND extracted_rate >= 0.05 AS passes FROM (SELECT *, round(parsed / threads, 6) AS parsed_rate, round(approved / threads, 6) AS approved_rate, round(extracted / threads, 6) AS extracted_rate FROM (SELECT count(*) AS threads, count(*) FILTER (event_type <> 'error') AS parsed, count(*) FILTER (event_type = 'purchase') AS approved, count(*) FILTER (event_type = 'purchase' AND value > 50) AS extracted FROM events))")
@@ -200,24 +200,29 @@ def night_starts(spark, d):
     return e.select("event_id", metrics.night_start(F.col("ts").cast("timestamp"), 21, "+01:00").alias("night"))
 
 
-_FORUMS = "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN TIMESTAMP '2024-03-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS cooldown_until, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2023-12-01 00:00:00' END AS last_crawled_at, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_acctbal END AS priority_score, s_suppkey % 2 = 0 AS archive_complete, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_suppkey % 6 - 2 END AS pending FROM supplier"
+_FORUMS = "SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN 'discovered' WHEN 1 THEN 'queued' WHEN 2 THEN 'active' WHEN 3 THEN 'exhausted' WHEN 4 THEN 'disqualified' WHEN 5 THEN 'calibration_failed' ELSE 'active' END AS status, CASE WHEN s_suppkey % 4 = 0 THEN NULL WHEN s_suppkey % 4 = 1 THEN TIMESTAMP '2024-03-01 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS cooldown_until, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE TIMESTAMP '2023-12-01 00:00:00' END AS last_crawled_at, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_acctbal END AS priority_score, s_suppkey % 2 = 0 AS archive_complete, CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE s_suppkey % 6 - 2 END AS pending, CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'pending' ELSE 'passed' END AS calibration_status, CASE WHEN s_suppkey % 8 = 0 THEN NULL ELSE s_suppkey % 8 END AS calibration_attempts, TIMESTAMP '2023-01-01 00:00:00' AS created_at FROM supplier"
+_OPEN = "status IN ('discovered', 'queued', 'active', 'exhausted') AND (cooldown_until IS NULL OR cooldown_until < TIMESTAMP '2024-02-01 00:00:00')"
 
 
-@query(f"SELECT id, row_number() OVER (ORDER BY last_crawled_at IS NOT NULL, coalesce(priority_score, 0) DESC, last_crawled_at NULLS FIRST, id) AS place FROM ({_FORUMS}) WHERE cooldown_until IS NULL OR cooldown_until < TIMESTAMP '2024-02-01 00:00:00'")
+@query(f"SELECT id, row_number() OVER (ORDER BY last_crawled_at IS NOT NULL, coalesce(priority_score, 0) DESC, last_crawled_at NULLS FIRST, id) AS place FROM ({_FORUMS}) WHERE {_OPEN} QUALIFY place <= 50")
 def forum_queue(spark, d):
-    """A queue is as long as there are forums; its places are numbered to be compared."""
-    rows = planner.forum_queue(rows_of(spark, d, _FORUMS), _stamp("2024-02-01 00:00:00"))
-    return _placed(rows.select("id"))
+    """The places of the fifty that are worked on next."""
+    return _placed(planner.forum_queue(rows_of(spark, d, _FORUMS), _stamp("2024-02-01 00:00:00")).select("id"))
+
+
+@query(f"SELECT id, row_number() OVER (ORDER BY coalesce(calibration_attempts, 0), created_at, id) AS place FROM ({_FORUMS}) WHERE {_OPEN} AND coalesce(calibration_status, 'pending') = 'pending' QUALIFY place <= 10")
+def calibration_queue(spark, d):
+    return _placed(planner.calibration_queue(rows_of(spark, d, _FORUMS), _stamp("2024-02-01 00:00:00")).select("id"))
 
 
 def _placed(rows):
-    """Rows with their place: sorted partitions are numbered in order by their ids."""
+    """Rows of a short queue with their place: sorted partitions are numbered in order by their ids."""
     return rows.withColumn("k", F.monotonically_increasing_id()).select("id", F.row_number().over(Window.orderBy("k")).alias("place"))
 
 
-@query(f"SELECT id, CASE WHEN archive_complete AND coalesce(pending, 0) = 0 THEN 'resting' ELSE 'active' END AS next_status, CASE WHEN archive_complete AND coalesce(pending, 0) = 0 THEN 720 END AS rest_hours FROM ({_FORUMS})")
+@query(f"SELECT id, CASE WHEN rests THEN 'exhausted' ELSE 'active' END AS status, CASE WHEN rests THEN TIMESTAMP '2024-03-02 00:00:00' END AS cooldown_until, CASE WHEN rests THEN 720 END AS cooldown_tier_hours, CASE WHEN rests THEN TIMESTAMP '2024-02-01 00:00:00' END AS cooldown_set_at FROM (SELECT id, archive_complete AND coalesce(pending, 0) = 0 AS rests FROM ({_FORUMS}))")
 def rest_rule(spark, d):
-    return planner.rest_rule(rows_of(spark, d, _FORUMS)).select("id", "next_status", "rest_hours")
+    return planner.rest_rule(rows_of(spark, d, _FORUMS), _stamp("2024-02-01 00:00:00")).select("id", "status", "cooldown_until", "cooldown_tier_hours", "cooldown_set_at")
 
 
 @query("SELECT id FROM (SELECT o_orderkey AS id, o_orderstatus AS status, o_orderkey % 5 AS attempts FROM orders) WHERE status = 'O' OR (status = 'F' AND attempts < 3)")
@@ -226,10 +231,12 @@ def retry_queue(spark, d):
     return planner.retry_queue(rows, "O", "F", 3).select("id")
 
 
-@query("SELECT brand, status, \"rows\" FROM (SELECT p_brand AS brand, CASE WHEN p_brand IN ('Brand#1', 'Brand#7', 'Brand#9') THEN 'running' WHEN p_brand LIKE '%2%' THEN 'done' ELSE 'pending' END AS status, count(*) AS \"rows\" FROM part GROUP BY 1, 2) ORDER BY CASE status WHEN 'running' THEN 1 WHEN 'pending' THEN 2 WHEN 'done' THEN 9 END, \"rows\" DESC, brand LIMIT 1")
+_BRANDS = "SELECT p_brand AS make, CASE min(p_partkey) % 6 WHEN 0 THEN 'coarse_done' WHEN 1 THEN 'live_import_done' WHEN 2 THEN 'awaiting_codex_review' WHEN 3 THEN 'rejected' WHEN 4 THEN 'refined_done' ELSE 'dry_import_done' END AS status, count(*) AS supported_rows FROM part GROUP BY 1"
+
+
+@query(f"SELECT make, status, supported_rows FROM ({_BRANDS}) WHERE status IN ('coarse_done', 'awaiting_codex_review', 'refined_done') ORDER BY CASE status WHEN 'coarse_done' THEN 1 WHEN 'refined_done' THEN 2 ELSE 5 END, supported_rows DESC, make LIMIT 1")
 def next_brand(spark, d):
-    status = F.when(F.col("p_brand").isin("Brand#1", "Brand#7", "Brand#9"), "running").when(F.col("p_brand").contains("2"), "done").otherwise("pending")
-    return planner.next_brand(table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), status.alias("status")).agg(F.count(F.lit(1)).alias("rows")))
+    return planner.next_brand(rows_of(spark, d, _BRANDS))
 
 
 @query(

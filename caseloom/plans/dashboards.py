@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import model as M
 from ..operators import analytics, faults, metrics, planner
-from .domain import cte, table, view
+from .domain import cte, rows_of, table, view
 
 SINCE = "2024-01-10 00:00:00"
 NOW = "2024-01-25 12:00:00"
@@ -112,15 +112,24 @@ def percent_of_largest(spark, d):
     return analytics.percent_of_most(analytics.histogram(table(spark, d, "part").withColumnRenamed("p_brand", "brand"), "brand"), "n")
 
 
+_AUDITED = """SELECT doc_id AS id, CASE WHEN doc_id % 10 = 0 THEN ' ' WHEN doc_id % 3 = 0 THEN 'Škoda' ELSE 'KIA Motors' END AS vehicle_brand, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE 'Rio' END AS vehicle_model, CASE WHEN doc_id % 4 = 0 THEN 'noise' END AS symptom, CASE WHEN doc_id % 6 = 0 THEN '' WHEN doc_id % 6 = 1 THEN 'Fixed: the pump!' ELSE text END AS description,
+    CASE doc_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'fixed the PUMP' WHEN 2 THEN 'see above, thanks' WHEN 3 THEN 'new pump' WHEN 4 THEN 'none of it needed more than a pump' ELSE text END AS resolution, CASE doc_id % 5 WHEN 0 THEN 'P0301' WHEN 1 THEN 'P03' WHEN 2 THEN ' u12af ' END AS code,
+    CASE doc_id % 7 WHEN 0 THEN 'https://www.kia-club.org/t/1' WHEN 1 THEN 'https://skoda-club.net/t/2' WHEN 2 THEN 'no address' ELSE concat('https://x.example/', CAST(doc_id % 50 AS STRING)) END AS thread_url FROM documents"""
+
+
 @query(
-    """WITH f AS (SELECT doc_id, text = '' OR length(trim(text)) < 200 AS short, regexp_matches(text, '[$%&*#]{3}') AS marked, contains(text, '@') AS address, quality = 0 AS low FROM documents JOIN labels USING (doc_id))
-    SELECT flag, n FROM (SELECT 'short' AS flag, count(*) FILTER (short) AS n FROM f UNION ALL SELECT 'marked', count(*) FILTER (marked) FROM f UNION ALL SELECT 'address', count(*) FILTER (address) FROM f UNION ALL SELECT 'low', count(*) FILTER (low) FROM f) WHERE n > 0"""
+    f"""WITH c AS (SELECT *, trim(coalesce(description, '')) AS about, trim(coalesce(resolution, '')) AS fix, trim(vehicle_brand) AS b FROM ({_AUDITED})), n AS (SELECT *, trim(regexp_replace(lower(fix), '[^a-z0-9]+', ' ', 'g')) AS fw, trim(regexp_replace(lower(about), '[^a-z0-9]+', ' ', 'g')) AS aw FROM c)
+    SELECT flag, n FROM (SELECT 'no_brand' AS flag, count(*) FILTER (b = '') AS n FROM n UNION ALL SELECT 'no_model', count(*) FILTER (vehicle_model IS NULL) FROM n UNION ALL SELECT 'no_problem_stated', count(*) FILTER (symptom IS NULL AND about = '') FROM n UNION ALL SELECT 'no_resolution', count(*) FILTER (fix = '') FROM n
+    UNION ALL SELECT 'resolution_too_short', count(*) FILTER (fix <> '' AND length(fix) < 10) FROM n UNION ALL SELECT 'resolution_too_long', count(*) FILTER (length(fix) > 400) FROM n UNION ALL SELECT 'resolution_equals_description', count(*) FILTER (fix <> '' AND about <> '' AND fw = aw) FROM n
+    UNION ALL SELECT 'resolution_filler', count(*) FILTER (length(fix) < 25 AND regexp_matches(fix, '(?i)\\b(viz výše|see above|n/a|none|unknown|nevím|tbd|xxx)\\b')) FROM n UNION ALL SELECT 'obd_malformed', count(*) FILTER (code = 'P03') FROM n
+    UNION ALL SELECT 'brand_forum_mismatch', count(*) FILTER ((thread_url LIKE '%kia-club%' AND NOT contains(lower(vehicle_brand), 'kia')) OR (thread_url LIKE '%skoda-club%' AND NOT contains(lower(vehicle_brand), 'škoda'))) FROM n
+    UNION ALL SELECT 'repeated', (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM n GROUP BY thread_url, substr(fw, 1, 60)))) WHERE n > 0"""
 )
 def audit_flags(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    t = F.col("text")
-    per, _ = analytics.flags(rows, {"short": (t == "") | (F.length(F.trim(t)) < 200), "marked": t.rlike("[$%&*#]{3}"), "address": F.contains(t, F.lit("@")), "low": F.col("quality") == 0})
-    return per
+    code = F.array_compact(F.array("code"))
+    cases = rows_of(spark, d, _AUDITED).withColumns({"symptoms": F.array_compact(F.array("symptom")), "obd_codes": code})
+    per, _ = analytics.flags(analytics.audit_flags(cases))
+    return per.unionByName(analytics.repeated_repairs(cases).select(F.lit("repeated").alias("flag"), F.col("repeated").alias("n")))
 
 
 @query(

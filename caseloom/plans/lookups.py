@@ -308,12 +308,13 @@ def resolution_signals(spark, d):
     return rows.select("doc_id", T.resolution_signal(T.fold_words(F.col("title")), F.col("lang")).alias("n"))
 
 
-_LINKS = f"SELECT page_id, concat('https://www.f{{0}}.example/', {_pick(('threads/x-1', 'members/thread/2', 'viewtopic.php?t=1', 'about', 'topic/9', 't-1/login/'), 'page_id')}) AS url FROM pages".replace("f{0}", "f")
+_PATHS = ("threads/x-1", "blog/topic/2", "viewtopic.php?t=1", "about", "topic/9", "index.php?thread/5-x", "t55-a", "tests/", "discussion/7", "news/showthread.php", "reviews", "t-1/")
+_LINKS = f"SELECT page_id, concat('https://www.f.example/', {_pick(_PATHS, 'page_id')}) AS url FROM pages"
 
 
-@query(f"SELECT page_id, regexp_matches(url, '(?i)/(threads?|topic|t)[/-]|viewtopic|showthread') AND NOT regexp_matches(url, '(?i)/(members?|login|register|search|attachments?)\\b') AS thread, 'f.example' AS domain FROM ({_LINKS})")
+@query("SELECT page_id, page_id % 12 IN (0, 2, 4, 5, 6, 8) AS thread, page_id % 12 IN (6, 7, 11) AS own, 'f.example' AS domain FROM pages")
 def likely_threads(spark, d):
-    return rows_of(spark, d, _LINKS).select("page_id", U.likely_thread(F.col("url")).alias("thread"), U.domain(F.col("url")).alias("domain"))
+    return rows_of(spark, d, _LINKS).select("page_id", U.likely_thread(F.col("url")).alias("thread"), U.likely_thread(F.col("url"), r"example/t(\d|ests|-)").alias("own"), U.domain(F.col("url")).alias("domain"))
 
 
 _OWNERS = f"SELECT p_partkey AS id, {_pick(('BMW', 'Škoda', 'Honda', 'Yamaha'), 'p_partkey')} AS brand, {_pick(('R1200 GS', 'Octavia', 'Civic tractor', 'CBR 600', '320d'), 'p_size')} AS model, CASE WHEN p_partkey % 7 = 0 THEN 'Motorcycle' ELSE '2.0' END AS engine FROM part"
