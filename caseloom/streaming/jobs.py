@@ -1,13 +1,11 @@
-"""Streams: deferral with revival, nightly windows, rate limits, idempotent metric writes, lifecycles."""
+"""Streams by windows, idempotent metric writes, lifecycles; those with state and timers are in `stateful`."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import sinks
 
@@ -39,29 +37,6 @@ def revived(threads: DataFrame, now: Column) -> DataFrame:
     return threads.withColumn("status", F.when(due, "pending").otherwise(F.col("status")))
 
 
-def defer_stream(threads: DataFrame, days: int = 365, delay: str = "1 day") -> DataFrame:
-    """Stream form: each thread (id, last_activity) comes out once it has been quiet for `days`.
-
-    New activity before that moves the event-time timer.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "last_activity": [pd.Timestamp(last, unit="us")]})
-            return
-        newest = max((int(pdf["at"].max()) for pdf in batches if len(pdf)), default=None)
-        if newest is None:
-            return
-        last = max(newest, state.get[0]) if state.exists else newest
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-
-    marked = threads.withWatermark("last_activity", delay).select("id", "last_activity", F.unix_micros("last_activity").alias("at"))
-    return marked.groupBy("id").applyInPandasWithState(step, "id string, last_activity timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def nightly(events: DataFrame, at: str, keys: list[str], values: dict[str, Column], hour: int = 21, late: str = "1 day") -> DataFrame:
     """Sums per night that begins at `hour` UTC; works on batches and, by watermark, on streams."""
     night = F.window(at, "1 day", "1 day", f"{hour} hours")
