@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import textindex
+from ..operators import symptoms, textindex
 from ..sources import sinks
 from .domain import table
 from .lookups import scratch
@@ -38,3 +38,25 @@ def ranked_search(spark, d):
         textindex.add(docs, path)
     asked = docs.where("doc % 50 = 0").select(F.col("doc").alias("query_id"), F.col("text").alias("term"))
     return textindex.search(asked, path)
+
+
+_TOKENS = "list_distinct(flatten([CASE WHEN regexp_matches(w, '^([0-9]+[a-z]+|[a-z]+[0-9]+)$') THEN [w, regexp_extract(w, '^([0-9]+|[a-z]+)', 1), regexp_extract(w, '([0-9]+|[a-z]+)$', 1)] ELSE [w] END FOR w IN regexp_extract_all(lower(strip_accents({0})), '[a-z0-9]+')]))"
+_SENTENCES = "list_filter([trim(s) FOR s IN string_split_regex(coalesce(text, ''), '[.\\n]')], lambda s: s <> '')"
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, list_concat([concat('K', CAST(doc_id - doc_id % 50 AS VARCHAR))], {_SENTENCES}) AS s FROM documents), u AS (SELECT doc_id, unnest(s) AS text, generate_subscripts(s, 1) AS pos FROM d),
+    l AS (SELECT concat('k', CAST(doc_id AS VARCHAR)) AS key, s[2] AS label, doc_id AS place FROM d WHERE doc_id % 50 = 0 AND len(s) > 1), o AS (SELECT label, min(place) AS place, {_TOKENS.format('label')} AS lw FROM l GROUP BY 1),
+    t AS (SELECT text, {_TOKENS.format('text')} AS tw FROM (SELECT DISTINCT text FROM u)), p AS (SELECT text, label, place, len(list_intersect(tw, lw)) / len(list_distinct(list_concat(tw, lw))) AS score FROM t JOIN o ON len(tw) > 0 AND len(lw) > 0),
+    b AS (SELECT text, label FROM p WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY text ORDER BY score DESC, place) = 1),
+    n AS (SELECT doc_id, pos, coalesce(l.label, b.label, u.text) AS name FROM u LEFT JOIN l ON lower(u.text) = l.key LEFT JOIN b ON u.text = b.text), f AS (SELECT doc_id, name, min(pos) AS pos FROM n GROUP BY 1, 2)
+    SELECT doc_id AS id, count(*) AS n, md5(string_agg(name, '|' ORDER BY pos)) AS names_md5 FROM f GROUP BY 1"""
+)
+def canonical_symptoms(spark, d):
+    """Every sentence of the documents as a symptom; the first ones of those divisible by 50 are the taxonomy."""
+    docs = table(spark, d, "documents").select("doc_id", symptoms.sentences(F.col("text")).alias("s"))
+    key = F.concat(F.lit("K"), (F.col("doc_id") - F.col("doc_id") % 50).cast("string"))
+    cases = docs.select(F.col("doc_id").alias("id"), F.concat(F.array(key), F.col("s")).alias("symptoms"))
+    taxonomy = docs.where("doc_id % 50 = 0 and size(s) > 0").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), F.col("s")[0].alias("label"), F.col("doc_id").alias("place"))
+    found = symptoms.canonical_symptoms(cases, taxonomy)
+    return found.select("id", F.size("symptoms").cast("long").alias("n"), F.md5(F.array_join("symptoms", "|").cast("binary")).alias("names_md5"))
