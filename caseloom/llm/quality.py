@@ -200,13 +200,19 @@ def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     featured = durable(sample(docs, labels, rows).mapInPandas(_featured, "__doc long, __grade int, ids array<int>"))
-    data = featured.toArrow().sort_by("__doc")  # at most `rows` rows
+    data = featured.orderBy("__doc").toArrow()  # at most `rows` rows
     if not data.num_rows:
         return Model(np.zeros(PLACES), np.full(GRADES - 1, -40.0))
-    ids = data["ids"].combine_chunks()
+    ids, grades = data["ids"].combine_chunks(), data["__grade"].to_numpy()
+    del data
     starts = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
-    places, columns = np.unique(ids.flatten().to_numpy(), return_inverse=True)  # the others' weights stay 0
-    found, thresholds = fit_ordinal(starts, columns.astype(np.int32), data["__grade"].to_numpy(), len(places))
+    flat = ids.flatten().to_numpy()
+    met = np.zeros(PLACES, bool)
+    met[flat] = True
+    places = np.flatnonzero(met)  # the others' weights stay 0
+    columns = (np.cumsum(met, dtype=np.int32) - 1)[flat]
+    del ids, flat
+    found, thresholds = fit_ordinal(starts, columns, grades, len(places))
     weights = np.zeros(PLACES)
     weights[places] = found
     return Model(weights, thresholds)
