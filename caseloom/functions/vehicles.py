@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .bulletins import comparable
 from .scoring import clean
@@ -149,11 +154,29 @@ def part_name(term: Column) -> Column:
     return F.coalesce(F.try_element_at(_table(PARTS), F.trim(F.lower(term))), term)
 
 
+@functools.cache
+def _part_names() -> ahocorasick.Automaton:
+    """A trie of all names of parts, which finds those in a text in one walk."""
+    found: dict[str, set[str]] = {}
+    for key, names in PARTS.items():
+        for name in (*names, key):
+            found.setdefault(name.lower(), set()).add(key)
+    trie = ahocorasick.Automaton()
+    for name, keys in found.items():
+        trie.add_word(name, tuple(keys))
+    trie.make_automaton()
+    return trie
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _parts_in(texts: pd.Series) -> pd.Series:
+    trie = _part_names()
+    return texts.map(lambda t: sorted({k for _, keys in trie.iter(t) for k in keys}) if t else [])
+
+
 def parts_named(fault: Column) -> Column:
     """Names in manuals of the parts a fault's name mentions, sorted."""
-    plain = F.lower(F.coalesce(fault, F.lit("")))
-    found = [F.when(sum((F.contains(plain, F.lit(n.lower())).cast("int") for n in (*names, key)), F.lit(0)) > 0, F.lit(key)) for key, names in PARTS.items()]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    return _parts_in(F.lower(F.coalesce(fault, F.lit(""))))
 
 
 def repair_group(part: Column) -> Column:

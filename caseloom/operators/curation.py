@@ -345,3 +345,25 @@ def retriaged(reviews: DataFrame) -> DataFrame:
     classifier = F.when(weak_fields, "manual_review_classifier").when(no("has_confirmed_resolution"), "reject_no_confirmed_resolution").otherwise("manual_review_classifier")
     status = F.when(F.col("stage") == "record", record).when(F.col("stage") == "extractor", "manual_extraction_needed").when(F.col("stage") == "classifier", classifier)
     return reviews.withColumn("final_status", status.otherwise("unclassified_review_item"))
+
+
+# ---- a review that is resumed
+
+
+def logged(lines: DataFrame) -> DataFrame:
+    """(path, decision, symptoms, description, resolution, reason) of a decision log's `lines` (value), normalized anew.
+
+    Lines that are blank or no JSON object are passed over; a line without a path counts but finishes nothing.
+    """
+    v = F.try_parse_json(F.trim("value"))
+    rows = lines.select(v.alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    said = F.to_json(F.try_variant_get(F.col("v"), "$.decision", "variant"))
+    return rows.select(F.nullif(field(F.col("v"), "source_path", "string"), F.lit("")).alias("path"), normalized_decision(said).alias("d")).select("path", "d.*")
+
+
+def resumed(work: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(`work` (path, ...) that the log lacks, the accepted decisions, one row of counts)."""
+    log = logged(lines)
+    left = work.join(log.where("path is not null").select("path").distinct(), "path", "left_anti")
+    counts = log.agg(F.count(F.lit(1)).alias("reviewed"), *(F.count_if(F.col("decision") == d).alias(n) for d, n in (("accept", "accepted"), ("review", "review"), ("reject", "rejected"))))
+    return left, log.where("decision = 'accept'"), counts

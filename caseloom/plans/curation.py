@@ -188,3 +188,20 @@ _REVIEWS = (
 def reviewed_decisions(spark, d):
     rows = rows_of(spark, d, f"SELECT doc_id AS id, {_dealt(_REVIEWS)} AS raw FROM documents")
     return rows.select("id", curation.normalized_decision(F.col("raw")).alias("v")).select("id", "v.decision", "v.reason")
+
+
+_LOG = f"SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 11 = 1 THEN 'damaged {{' ELSE concat('{{\"source_path\": \"p', CAST(doc_id AS STRING), '\", \"decision\": ', coalesce(nullif({_dealt(_REVIEWS)}, 'none'), 'null'), '}}') END AS value FROM documents WHERE doc_id % 4 <> 0"
+
+
+@query(
+    """WITH l AS (SELECT doc_id, doc_id % 4 <> 0 AND doc_id % 11 > 1 AS done FROM documents) SELECT doc_id AS id, CASE WHEN NOT done THEN 'left' ELSE 'accepted' END AS state, CASE WHEN done THEN 'Replace the latch of the door.' END AS resolution FROM l WHERE NOT done OR doc_id % 6 = 0
+    UNION ALL SELECT CASE k WHEN 'reviewed' THEN -1 WHEN 'accepted' THEN -2 WHEN 'review' THEN -3 ELSE -4 END, k, CAST(n AS VARCHAR) FROM (SELECT 'reviewed' AS k, count(*) FILTER (done) AS n FROM l UNION ALL SELECT 'accepted', count(*) FILTER (done AND doc_id % 6 = 0) FROM l UNION ALL SELECT 'review', count(*) FILTER (done AND doc_id % 6 IN (1, 2, 4, 5)) FROM l UNION ALL SELECT 'rejected', count(*) FILTER (done AND doc_id % 6 = 3) FROM l)"""
+)
+def resumed_reviews(spark, d):
+    """What a resumed review has left to do, what it had accepted, and its counts."""
+    work = rows_of(spark, d, "SELECT concat('p', CAST(doc_id AS STRING)) AS path, doc_id AS id FROM documents")
+    left, accepted, counts = curation.resumed(work, rows_of(spark, d, _LOG))
+    of = F.expr("CAST(substring(path, 2) AS BIGINT)").alias("id")
+    place = F.create_map(*(F.lit(x) for kv in (("reviewed", -1), ("accepted", -2), ("review", -3), ("rejected", -4)) for x in kv))
+    shown = counts.unpivot([], ["reviewed", "accepted", "review", "rejected"], "state", "n").select(place[F.col("state")].cast("long").alias("id"), "state", F.col("n").cast("string").alias("resolution"))
+    return left.select("id", F.lit("left").alias("state"), F.lit(None).cast("string").alias("resolution")).unionByName(accepted.select(of, F.lit("accepted").alias("state"), "resolution")).unionByName(shown)
