@@ -6,6 +6,9 @@ language, Spark sums those by (language, bucket), and the model, a matrix of log
 numpy: per text a sparse count vector times the matrix.  Every language takes part: beyond LANGS of
 them the counts stay a durable table, and the texts meet one matrix of LANGS languages after another.
 
+No language is likelier than another before its text is seen: there is no class prior, so a language with few training
+rows is not held back.
+
 The training rows are those whose crc32(doc_id as text) mod 4 is not 2, with text and lang not null;
 lang, source and doc_id never enter a prediction.
 
