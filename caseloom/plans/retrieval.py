@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import symptoms, textindex
+from ..operators import manifest, symptoms, textindex
 from ..sources import sinks
 from .domain import table
 from .lookups import scratch
@@ -60,3 +60,21 @@ def canonical_symptoms(spark, d):
     taxonomy = docs.where("doc_id % 50 = 0 and size(s) > 0").select(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"), F.col("s")[0].alias("label"), F.col("doc_id").alias("place"))
     found = symptoms.canonical_symptoms(cases, taxonomy)
     return found.select("id", F.size("symptoms").cast("long").alias("n"), F.md5(F.array_join("symptoms", "|").cast("binary")).alias("names_md5"))
+
+
+@query(
+    """WITH b AS (SELECT c_mktsegment AS make, count(*) AS n, count(*) FILTER (c_acctbal > 0 AND c_nationkey < 20) AS kept FROM customer GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, make) <= 3 AS run FROM b)
+    SELECT lower(make) AS brand, CASE WHEN run THEN 'refined_done' ELSE 'discovered' END AS status, CAST(CASE WHEN run THEN 5 ELSE 1 END AS BIGINT) AS version, CASE WHEN run THEN kept END AS kept FROM p"""
+)
+def brand_runs(spark, d):
+    """Three runs, each of which claims the next brand and takes it through two stages of a durable manifest."""
+    root = scratch(spark)
+    customers = table(spark, d, "customer")
+    manifest.discover(spark, root, customers.groupBy(F.col("c_mktsegment").alias("make")).agg(F.count(F.lit(1)).alias("supported_rows")))
+    stages = {"discovered": lambda spark, state, rows: rows.where("c_acctbal > 0"), "coarse_done": lambda spark, state, rows: rows.where("c_nationkey < 20")}
+    for run in ("a", "b", "c"):
+        manifest.advance(spark, root, manifest.claim(spark, root, run), stages, lambda state: customers.where(F.col("c_mktsegment") == state["make"]))
+    states = manifest.states(spark, root)
+    outputs = [r["output"] for r in states.where("output is not null").select("output").collect()]  # of three brands
+    kept = spark.read.parquet(*outputs).groupBy(F.lower("c_mktsegment").alias("of")).agg(F.count(F.lit(1)).alias("kept"))
+    return states.join(kept, F.col("brand") == F.col("of"), "left").select("brand", "status", "version", "kept")
