@@ -230,7 +230,7 @@ class Model:
 
     def score(self, text: str) -> tuple[float, int, float]:
         """(score, places of terms, places that read as quoted)."""
-        tokens, found = found_in(text, self.lexicon) if self.lexicon.entries else (0, {})
+        tokens, found = found_in(text, self.lexicon) if len(self.slope) else (0, {})
         odds = self.bias + float(np.dot(self.slope, evidence(tokens, found, self.weights))) if len(self.slope) else self.bias
         n = sum(c for c, _ in found.values())
         return float(1 / (1 + np.exp(-np.clip(odds, -500, 500)))), n, (n - sum(kept for _, kept in found.values())) / QUOTED

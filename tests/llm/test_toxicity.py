@@ -129,3 +129,12 @@ def test_edge_cases(spark, nasty, nothing):
     assert len(empty) == 1
     assert toxicity.detect(nothing, labels).count() == 0
     assert {r.score for r in toxicity.detect(nasty, labels.limit(0)).collect()} <= {toxicity.Model(Lexicon([]), np.zeros((0, 3)), np.zeros(0), -500.0).score("")[0]}
+
+
+def test_without_terms_length_alone_is_seen_alike(spark):
+    docs = spark.createDataFrame([(k, "plain words " * (1 + k % 3)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert not model.lexicon.entries and len(model.slope) == toxicity.FEATURES
+    z = model.bias + float(np.dot(model.slope, toxicity.evidence(4, {}, model.weights)))
+    assert model.score("plain words plain words")[0] == pytest.approx(1 / (1 + np.exp(-z)))
