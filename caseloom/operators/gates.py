@@ -96,8 +96,9 @@ def checked_posts(cases: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def classifier_approved(row: dict[str, Column], evidence: Column) -> Column:
-    """Strictly true flags and at least one post as evidence."""
-    out = F.coalesce(F.size(evidence), F.lit(0)) > 0
+    """Strictly true flags and, as evidence, the number of at least one post: a whole number above 0."""
+    number = lambda n: F.coalesce((n > 0) & (n.cast("double") == F.floor(n.cast("double"))), F.lit(False))
+    out = F.coalesce(F.exists(evidence, number), F.lit(False))
     for c in row.values():
         out = out & F.coalesce(c, F.lit(False))
     return out

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.operators import curation as C
+from caseloom.operators import gates
 
 ALL = {"in_scope": True, "vehicle_matches_cited_posts": True, "is_genuine_fault": True, "repair_performed": True, "repair_confirmed": True, "actionable": True}
 
@@ -253,3 +254,10 @@ def test_retriaged(spark):
     ]
     df = spark.createDataFrame(rows, "stage string, model string, ready boolean, should_seed boolean, has_confirmed_resolution boolean, has_required_fields boolean, want string")
     assert all(r.final_status == r.want for r in C.retriaged(df).collect())
+
+
+def test_classifier_needs_real_post_numbers(spark):
+    rows = [(True, [3.0]), (True, [0.0, -2.0]), (True, [1.5]), (True, [1.5, 2.0]), (True, []), (True, None), (None, [1.0]), (False, [1.0]), (True, [None])]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, flag boolean, posts array<double>")
+    got = [r.ok for r in df.select("i", gates.classifier_approved({"flag": F.col("flag")}, F.col("posts")).alias("ok")).orderBy("i").collect()]
+    assert got == [True, False, False, True, False, False, False, False, False]
