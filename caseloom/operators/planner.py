@@ -173,10 +173,24 @@ def _free(forums: DataFrame, now: Column) -> DataFrame:
     return forums.where(F.col("status").isin(*OPEN) & (F.col("cooldown_until").isNull() | (F.col("cooldown_until") < now)))
 
 
-def forum_queue(forums: DataFrame, now: Column, most: int = 50) -> DataFrame:
-    """Open forums that are not cooling down: never crawled first, then priority, then the longest wait; `most` of them."""
+def forum_queue(forums: DataFrame, now: Column, most: int | None = 50) -> DataFrame:
+    """Open forums that are not cooling down: never crawled first, then priority, then the longest wait; `most` of them, or all."""
     order = [F.col("last_crawled_at").isNotNull(), F.coalesce("priority_score", F.lit(0.0)).desc(), F.col("last_crawled_at").asc_nulls_first(), F.col("id")]
-    return _free(forums, now).orderBy(*order).limit(most)
+    queue = _free(forums, now).orderBy(*order)
+    return queue if most is None else queue.limit(most)
+
+
+def placed(queue: DataFrame, path: str) -> DataFrame:
+    """A sorted `queue` of any length with the place of each row; it is kept at `path`.
+
+    Sorted partitions are numbered on their own and written; each then starts behind the rows of those before it, so that
+    only one row per partition meets in one task.
+    """
+    queue.withColumn("__k", F.monotonically_increasing_id()).write.parquet(path)
+    rows = queue.sparkSession.read.parquet(path).withColumn("__part", F.shiftright("__k", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), "__part").withColumn("place", F.col("__start") + F.col("__k").bitwiseAND((1 << 33) - 1) + 1).drop("__part", "__start", "__k")
 
 
 def calibration_queue(forums: DataFrame, now: Column, most: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, gates, metrics, planner, sampling
 from ..sources import readers, sinks
-from .domain import rows_of, table
+from .domain import rows_of, scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -204,10 +204,11 @@ _FORUMS = "SELECT s_suppkey AS id, CASE s_suppkey % 7 WHEN 0 THEN 'discovered' W
 _OPEN = "status IN ('discovered', 'queued', 'active', 'exhausted') AND (cooldown_until IS NULL OR cooldown_until < TIMESTAMP '2024-02-01 00:00:00')"
 
 
-@query(f"SELECT id, row_number() OVER (ORDER BY last_crawled_at IS NOT NULL, coalesce(priority_score, 0) DESC, last_crawled_at NULLS FIRST, id) AS place FROM ({_FORUMS}) WHERE {_OPEN} QUALIFY place <= 50")
+@query(f"SELECT id, row_number() OVER (ORDER BY last_crawled_at IS NOT NULL, coalesce(priority_score, 0) DESC, last_crawled_at NULLS FIRST, id) AS place FROM ({_FORUMS}) WHERE {_OPEN}")
 def forum_queue(spark, d):
-    """The places of the fifty that are worked on next."""
-    return _placed(planner.forum_queue(rows_of(spark, d, _FORUMS), _stamp("2024-02-01 00:00:00")).select("id"))
+    """The place of every forum that may be worked on."""
+    queue = planner.forum_queue(rows_of(spark, d, _FORUMS), _stamp("2024-02-01 00:00:00"), None)
+    return planner.placed(queue.select("id"), scratch(spark))
 
 
 @query(f"SELECT id, row_number() OVER (ORDER BY coalesce(calibration_attempts, 0), created_at, id) AS place FROM ({_FORUMS}) WHERE {_OPEN} AND coalesce(calibration_status, 'pending') = 'pending' QUALIFY place <= 10")

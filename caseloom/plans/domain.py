@@ -6,6 +6,8 @@ Each entry is the text of a SELECT; queries and the SQL that checks them start f
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,13 @@ def rows_of(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def cte(*names: str) -> str:
     """The same views for the checking SQL: WITH usage AS (...), ..."""
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " "
+
+
+def scratch(spark) -> str:
+    """A new path in the folder all machines share; a temporary one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        named = tempfile.gettempdir()
+    return f"{named.rstrip('/')}/caseloom-{uuid.uuid4().hex}"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import bulletins as B
@@ -16,7 +13,7 @@ from ..operators import analytics, faults, gates, graph, linkage, review
 from ..sources import readers, schemas, sinks
 from ..streaming import jobs
 from .casework import _CLEAN, _none, _stamp, _strings
-from .domain import cte, rows_of, table, view
+from .domain import cte, rows_of, scratch, table, view
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,16 +29,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark) -> str:
-    """A new path in the folder all machines share; a temporary one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        named = tempfile.gettempdir()
-    return f"{named.rstrip('/')}/caseloom-{uuid.uuid4().hex}"
-
-
 def _any(patterns) -> str:
     """The patterns that SQL's engine knows, as one."""
     return "(?i)" + "|".join(f"(?:{p})" for p in patterns if "(?!" not in p).replace("'", "''")

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import manifest, symptoms, textindex
 from ..sources import sinks
-from .domain import table
-from .lookups import scratch
+from .domain import scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
