@@ -183,30 +183,42 @@ def normalized_decision(raw: Column) -> Column:
     """struct<decision, symptoms, description, resolution, reason> of a reviewer's answer.
 
     An accept stays one only if all four findings are true and what is left is a case: tags of four words at most, a
-    description and an own, actionable repair, neither of them a bulletin's text.
+    description and an own, actionable repair, neither of them a bulletin's text.  The answer is parsed and its fields
+    are read once, and every later step is bound.
     """
-    v = answer(raw)
-    text = lambda name: clean(field(v, name, "string"))
-    said = F.lower(text("decision"))
-    given = F.coalesce(F.try_variant_get(v, "$.cleaned_symptoms", "array<string>"), F.array().cast("array<string>"))
-    tags = _tags(given)
-    fix, why = text("cleaned_resolution"), text("reason")
-    about = F.when(text("cleaned_description") != "", text("cleaned_description")).otherwise(F.coalesce(F.get(tags, F.lit(0)), F.lit("")))
-    final = X.let(about, lambda a: X.beside_codes(X.without_generic(X.symptom_tags(tags, a), a, a), a, a))
+    text = lambda v, name: clean(field(v, name, "string"))
+
+    def read(v: Column) -> Column:
+        found = F.lit(True)
+        for name in ("is_relevant", "has_clear_symptoms", "has_clear_resolution", "matches_case_structure"):
+            found = found & F.coalesce(field(v, name, "boolean"), F.lit(False))
+        given = F.coalesce(F.try_variant_get(v, "$.cleaned_symptoms", "array<string>"), F.array().cast("array<string>"))
+        said = F.lower(text(v, "decision"))
+        parts = {"said": said, "tags": _tags(given), "about": text(v, "cleaned_description"), "fix": text(v, "cleaned_resolution"), "why": text(v, "reason"), "found": found}
+        return F.struct(*(c.alias(n) for n, c in parts.items()))
+
     raw_text = lambda t: (t == "") | (F.length(t) > 240) | B.any_of(t, RAW_BULLETIN)
-    found = F.lit(True)
-    for name in ("is_relevant", "has_clear_symptoms", "has_clear_resolution", "matches_case_structure"):
-        found = found & F.coalesce(field(v, name, "boolean"), F.lit(False))
 
-    def judged(a: Column, t: Column) -> Column:
-        sound = found & (F.size(t) > 0) & F.forall(t, lambda s: _words(s) <= 4) & (F.length(a) >= 12) & (F.length(fix) >= 10)
+    def judged(p: Column, a: Column, t: Column) -> Column:
+        fix = p["fix"]
+        sound = p["found"] & (F.size(t) > 0) & F.forall(t, lambda s: _words(s) <= 4) & (F.length(a) >= 12) & (F.length(fix) >= 10)
         sound = sound & ~raw_text(a) & ~raw_text(fix) & (F.lower(a) != F.lower(fix)) & ~B.any_of(fix, GENERIC_REVIEWED) & B.any_of(fix, ACTIONABLE)
-        known = F.when(said.isin("accept", "reject", "review"), said).otherwise("review")
-        unsound = (known == "accept") & ~sound
-        reason = F.when(unsound & (why == ""), "AI marked accept, but normalized output still failed structural validation.").otherwise(why)
-        return F.struct(F.when(unsound, "review").otherwise(known).alias("decision"), t.alias("symptoms"), a.alias("description"), fix.alias("resolution"), reason.alias("reason"))
+        known = F.when(p["said"].isin("accept", "reject", "review"), p["said"]).otherwise("review")
+
+        def decided(unsound: Column) -> Column:
+            reason = F.when(unsound & (p["why"] == ""), "AI marked accept, but normalized output still failed structural validation.").otherwise(p["why"])
+            return F.struct(F.when(unsound, "review").otherwise(known).alias("decision"), t.alias("symptoms"), a.alias("description"), fix.alias("resolution"), reason.alias("reason"))
+
+        return X.let((known == "accept") & ~sound, decided)
+
+    def whole(p: Column) -> Column:
+        about = F.when(p["about"] != "", p["about"]).otherwise(F.coalesce(F.get(p["tags"], F.lit(0)), F.lit("")))
+        # each step is bound: a tag that several rules look at is worked out once
+        first = lambda a: X.symptom_tags(p["tags"], a)
+        final = lambda a: X.let(first(a), lambda t: X.let(X.without_generic(t, a, a), lambda u: X.beside_codes(u, a, a)))
+        return X.let(about, lambda a: X.let(final(a), lambda t: judged(p, a, t)))
 
-    return X.let(about, lambda a: X.let(final, lambda t: judged(a, t)))
+    return X.let(X.let(answer(raw), read), whole)
 
 
 def catalog_enforced(decisions: DataFrame) -> DataFrame:

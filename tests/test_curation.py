@@ -261,3 +261,10 @@ def test_classifier_needs_real_post_numbers(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, flag boolean, posts array<double>")
     got = [r.ok for r in df.select("i", gates.classifier_approved({"flag": F.col("flag")}, F.col("posts")).alias("ok")).orderBy("i").collect()]
     assert got == [True, False, False, True, False, False, False, False, False]
+
+
+def test_an_answer_is_parsed_once(spark):
+    """Each look at a field parsed the answer anew: 3 ms a row."""
+    rows = spark.createDataFrame([('{"decision": "reject", "reason": "no"}',)], "raw string").repartition(1)
+    plan = rows.select(C.normalized_decision(F.col("raw")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json") == 1
