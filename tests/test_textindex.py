@@ -64,3 +64,15 @@ def test_nothing(spark, tmp_path):
     textindex.add(spark.createDataFrame([(1, "b a"), (2, "c"), (3, "d")], "doc long, text string"), f"{tmp_path}/index")
     assert [r.doc for r in textindex.search(asked, f"{tmp_path}/index", least=0.1).collect()] == [1]
     assert textindex.search(asked.limit(0), f"{tmp_path}/index").count() == 0
+
+
+def test_no_pair_of_question_and_document_is_sent(spark, tmp_path, monkeypatch):
+    """Many blocks, questions that meet every document, and groups of equal texts larger than the answers asked for."""
+    monkeypatch.setattr(textindex, "BLOCK", 64)
+    rng = random.Random(5)
+    docs = [(k, " ".join(rng.choices(["the", "of", "a", *(f"w{i}" for i in range(30))], k=12)) if k % 3 else "the same text of w1") for k in range(600)]
+    textindex.add(spark.createDataFrame(docs, "doc long, text string"), f"{tmp_path}/index")
+    asked = [(f"q{k}", docs[k * 7][1]) for k in range(30)]
+    found = textindex.search(spark.createDataFrame(asked, "query_id string, term string"), f"{tmp_path}/index", 10, 0.0)
+    assert got(found) == sorted(by_hand(docs, asked, 10, 0.0))
+    assert "sum(" not in found._jdf.queryExecution().optimizedPlan().toString()
