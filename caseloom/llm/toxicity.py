@@ -47,6 +47,7 @@ LEAST = 4  # toxic texts with an entry, and tokens that it follows in them
 SURE = 18.0  # likelihood ratio statistic of an entry
 RATIO = 6.0  # of its rate in toxic texts to that in others
 HELD = 1 << 17  # forms, or tokens, remembered by a task
+SHORT = 64  # characters of a token that is remembered
 SHRINK = 4.0  # texts with a variant at which half its weight is its own
 LESS = 0.85  # of the weight for each error, before any variant is seen
 DAMPING = 0.05
@@ -80,11 +81,13 @@ class Lexicon:
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[int, bool, int]]] = [[]]  # entry, beginning, errors allowed
         self.most = [0]  # errors that some entry below a node allows
+        self.longest = 0  # characters of a token that decide: one more than any entry with its errors has
         self.pieces = ahocorasick.Automaton()
         pieces: dict[str, set[tuple[int, int, int, int]]] = defaultdict(set)
         for e, entry in enumerate(entries):
             beginning, bare = entry.endswith("*"), entry.rstrip("*")
             k = errors_allowed(bare, beginning)
+            self.longest = max(self.longest, len(bare) + k + 1)
             at = 0
             for c in bare:
                 self.most[at] = max(self.most[at], k)
@@ -117,6 +120,7 @@ class Lexicon:
 
     def nearest(self, word: str) -> tuple[int, int] | None:
         """(errors, entry) of the nearest entry within its own allowance; the first of equally near ones."""
+        word = word[: self.longest]
         n = len(word)
         if not self._may_match(word, n):
             return None
@@ -162,7 +166,7 @@ class Lexicon:
             other = self.nearest(plain) if plain != word else None
             if other is not None and (found is None or other[0] + 1 < found[0]):
                 found = (min(other[0] + 1, 2), other[1])
-        if len(self.known) < HELD:
+        if len(token) <= SHORT and len(self.known) < HELD:
             self.known[token] = found
         return found
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -45,6 +46,17 @@ def test_automaton_equals_edit_distance():
     assert Lexicon([]).nearest("idiot") is None
 
 
+def test_long_tokens_cost_no_more_than_their_beginning():
+    lexicon = Lexicon(ENTRIES)
+    tail = "".join(chr(0x4E00 + k % 5000) for k in range(3_000_000))
+    for head, found in (("réeux", (0, 4)), ("réeax", None), ("vequma", (1, 5)), ("trashcan", None), ("idiot", None)):
+        assert by_hand(head + tail[:30]) == found
+        began = time.process_time()
+        assert lexicon.look(head + tail) == lexicon.look(head + tail[:30]) == found
+        assert time.process_time() - began < 10
+    assert all(len(t) <= toxicity.SHORT for t in lexicon.known) and lexicon.known["idiot" + tail[:30]] is None
+
+
 def test_signs_and_drawn_out_letters():
     lexicon = Lexicon(ENTRIES)
     for token, errors in (("IDIOT!!", 0), ('"idiot,"', 0), ("1d10t", 1), ("idiiiiiot", 1), ("$cum", 1), ("w0rthl3$$", 1), ("id*ot", 1)):
