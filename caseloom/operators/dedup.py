@@ -17,6 +17,8 @@ from ..functions.scoring import clean
 CASE_STATUS = {"imported": 90, "import_ready": 80, "verified": 70, "ai_approved": 60, "crosscheck_error": 50, "import_failed": 40, "verify_error": 30, "verify_skipped": 20, "verify_rejected": 10, "crosscheck_dupe": 5, "quarantined": 4}
 THREAD_STATUS = {"extracted": 50, "deferred": 40, "pending": 30, "error": 20, "discarded": 10}
 
+ROWS_A_TASK = 250_000  # of threads, that a task sorts
+
 
 def priority(status: Column, table: dict[str, int]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), status), F.lit(0))
@@ -95,22 +97,37 @@ def richness(symptoms: Column, description: Column, resolution: Column, fault_po
     return F.struct((posts(fault_posts) + posts(fix_posts)).alias("posts"), length(resolution).alias("resolution"), length(description).alias("description"), posts(symptoms).alias("symptoms"))
 
 
+def tasks_for(rows: int, least: int) -> int:
+    """How many tasks hold `rows` rows of threads, at most ROWS_A_TASK each on average."""
+    return max(least, -(-rows // ROWS_A_TASK))
+
+
+def by_thread(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows dealt by thread: what follows within threads needs no other exchange, and a task's memory goes with its rows."""
+    return rows.repartition(tasks, "thread_id")
+
+
 def cluster_members(clusters: DataFrame) -> DataFrame:
     """(thread_id, idx, cluster) from judged clusters (thread_id, size, clusters: array<array<int>>).
 
     Places out of range go, a place belongs to the first cluster that names it, clusters of one go.
     """
-    flat = clusters.select("thread_id", "size", F.posexplode("clusters").alias("cluster", "idxs")).select("thread_id", "size", "cluster", F.explode("idxs").alias("idx")).where("idx >= 0 and idx < size")
+    flat = clusters.where("thread_id is not null").select("thread_id", "size", F.posexplode("clusters").alias("cluster", "idxs")).select("thread_id", "size", "cluster", F.explode("idxs").alias("idx")).where("idx >= 0 and idx < size")
     first = flat.groupBy("thread_id", "idx").agg(F.min("cluster").alias("cluster"))
-    big = first.groupBy("thread_id", "cluster").count().where("count >= 2").drop("count")
-    return first.join(big, ["thread_id", "cluster"]).select("thread_id", "idx", "cluster")
+    counted = first.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("thread_id", "cluster")))
+    return counted.where("__n >= 2").drop("__n")
 
 
 def keep_richest(cases: DataFrame, members: DataFrame) -> DataFrame:
-    """Cases (thread_id, idx, richness, ...) less those that a richer member of their cluster covers."""
-    met = cases.join(members, ["thread_id", "idx"], "left")
-    best = met.where("cluster is not null").groupBy("thread_id", "cluster").agg(F.max_by("idx", F.struct("richness", (-F.col("idx")).alias("i"))).alias("best"))
-    return met.join(best, ["thread_id", "cluster"], "left").where("cluster is null or idx = best").drop("cluster", "best")
+    """Cases (thread_id, idx, richness, ...) less those that a richer member of their cluster covers.
+
+    Large tables are dealt with `by_thread` before, both alike.  They meet by thread alone, a thread's members as a map:
+    a join by place as well would deal both again.
+    """
+    of = members.groupBy("thread_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "cluster"))).alias("__of"))
+    met = cases.join(of, "thread_id", "left").withColumn("cluster", F.try_element_at("__of", F.col("idx"))).drop("__of")
+    best = F.max(F.struct("richness", (-F.col("idx")).alias("i"), "idx")).over(Window.partitionBy("thread_id", "cluster"))
+    return met.withColumn("__best", best).where("cluster is null or idx = __best.idx").drop("cluster", "__best")
 
 
 def against_known(candidates: DataFrame, known: DataFrame, newest: int = 200) -> DataFrame:

@@ -83,9 +83,11 @@ def moved_threads(spark, d):
 def keep_richest(spark, d):
     """Judged clusters with a repeated place, places out of range, and clusters of one."""
     line = table(spark, d, "lineitem")
-    cases = line.groupBy(F.col("l_orderkey").alias("thread_id"), (F.col("l_linenumber") - 1).alias("idx")).agg(F.struct(F.max("l_quantity").cast("int").alias("q")).alias("richness"))
+    tasks = dedup.tasks_for(line.count(), spark.sparkContext.defaultParallelism)  # counted in the footers
+    line = dedup.by_thread(line.select(F.col("l_orderkey").alias("thread_id"), "l_linenumber", "l_quantity"), tasks)
+    cases = line.groupBy("thread_id", (F.col("l_linenumber") - 1).alias("idx")).agg(F.struct(F.max("l_quantity").cast("int").alias("q")).alias("richness"))
     judged = F.array(*(F.array(*map(F.lit, c)) for c in ((0, 1, 2), (2, 4, 5, 9), (3,), (-1, 3))))
-    clusters = line.select(F.col("l_orderkey").alias("thread_id")).distinct().select("thread_id", F.lit(7).alias("size"), judged.alias("clusters"))
+    clusters = line.select("thread_id").distinct().select("thread_id", F.lit(7).alias("size"), judged.alias("clusters"))
     return dedup.keep_richest(cases, dedup.cluster_members(clusters)).select("thread_id", "idx")
 
 
