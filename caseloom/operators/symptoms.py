@@ -16,30 +16,35 @@ from .linkage import overlap_tokens
 LEAST = 0.45
 
 
-def _ordered(texts: DataFrame, ranks: DataFrame, name: str) -> DataFrame:
-    """`texts` (name, words) with their words, the rarest among the labels first."""
-    each = texts.select(name, F.explode("words").alias("word")).join(ranks, "word", "left")
-    return each.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("labels", F.lit(0)).alias("labels"), "word"))).alias("sorted"))  # the words of one text
+def _keyed(rows: DataFrame, ranks: DataFrame, kept: list[str], least: float) -> DataFrame:
+    """`rows` (kept, words) once for each word of their prefix: w, at (its place), known (their words that labels have, the rarest first), n (of all words).
+
+    Words that no label has come first in the order and meet nothing, so they count but don't travel.
+    """
+    each = rows.select(*kept, F.size("words").alias("n"), F.explode("words").alias("word")).join(ranks, "word")
+    known = each.groupBy(*kept, "n").agg(F.array_sort(F.collect_list(F.struct("labels", "word")))["word"].alias("known"))  # the words of one text
+    # of the prefix's n - ceil(least * n) + 1 words, n - size(known) are words that no label has
+    left = F.size("known") - F.ceil(F.lit(least) * F.col("n")).cast("int") + 1
+    return known.where(left > 0).select(*kept, "n", "known", F.posexplode(F.slice("known", F.lit(1), left)).alias("at", "w"))
 
 
 def similar_labels(texts: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
     """(text, label, score) of the most similar label for each of `texts` (text, distinct), the first by `place` of equal ones.
 
-    `labels`: label (distinct), place.  Texts without a label of `least` or more are left out.
+    `labels`: label (distinct), place.  Texts without a label of `least` or more are left out.  At its first common word a
+    similar pair has enough words left on either side; where too few are left the words are not compared.
     """
     words = lambda c: overlap_tokens(T.fold_words(F.coalesce(F.col(c), F.lit("")))).alias("words")
-    t, e = texts.select("text", words("text")), labels.select("label", words("label"))
+    t, e = texts.select("text", words("text")), labels.select("label", "place", words("label"))
     ranks = e.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("labels"))
-
-    def keyed(rows: DataFrame, name: str, own: str) -> DataFrame:
-        n = F.size("sorted")
-        prefix = F.slice("sorted", 1, n - F.ceil(F.lit(least) * n).cast("int") + 1)
-        return _ordered(rows, ranks, name).select(name, F.col("sorted.word").alias(own), F.explode(prefix).alias("w"))
-
-    left, right = keyed(t, "text", "tw"), keyed(e, "label", "lw")
-    near = (F.size("lw") >= least * F.size("tw")) & (F.size("tw") >= least * F.size("lw"))
-    met = left.join(right, left["w"] == right["w"]).where(near).select("text", "label", T.jaccard(F.col("tw"), F.col("lw")).alias("score")).where(F.col("score") >= least)
-    best = met.join(labels, "label").groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "label")).alias("b"))
+    left = _keyed(t, ranks, ["text"], least)
+    right = _keyed(e, ranks, ["label", "place"], least).select("label", "place", "w", F.col("n").alias("m"), F.col("known").alias("lw"), F.col("at").alias("lat"))
+    near = (F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m"))
+    rest = F.least(F.size("known") - F.col("at"), F.col("m") - F.col("lat"))
+    enough = rest * (1 + least) >= least * (F.col("n") + F.col("m")) - 1e-6
+    both = F.size(F.array_intersect("known", "lw"))
+    met = left.join(right, "w").where(near & enough).select("text", "label", "place", (both / (F.col("n") + F.col("m") - both)).alias("score")).where(F.col("score") >= least)
+    best = met.groupBy("text").agg(F.min(F.struct((-F.col("score")).alias("s"), "place", "label")).alias("b"))
     return best.select("text", F.col("b.label").alias("label"), (-F.col("b.s")).alias("score"))
 
 

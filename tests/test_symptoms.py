@@ -38,3 +38,10 @@ def test_canonical_symptoms(spark):
     ]
     got = {r.id: r.symptoms for r in symptoms.canonical_symptoms(spark.createDataFrame(rows, "id int, symptoms array<string>"), taxonomy).collect()}
     assert got == {1: ["Engine does not start", "Rough idle", "a tail that no label has"], 2: ["Oil leak"], 3: [], 4: [], 5: ["Oil leak"]}
+
+
+def test_words_that_no_label_has_do_not_travel(spark):
+    rows = spark.createDataFrame([("a", ["wa", "wb", "x1"]), ("b", ["wa", "x1", "x2", "x3"]), ("c", ["x1"])], "text string, words array<string>")
+    ranks = spark.createDataFrame([("wa", 3), ("wb", 1)], "word string, labels long")
+    got = {(r.text, r.n, tuple(r.known), r.at, r.w) for r in symptoms._keyed(rows, ranks, ["text"], 0.45).collect()}
+    assert got == {("a", 3, ("wb", "wa"), 0, "wb")}
