@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from caseloom.operators import textindex
@@ -76,3 +77,34 @@ def test_no_pair_of_question_and_document_is_sent(spark, tmp_path, monkeypatch):
     found = textindex.search(spark.createDataFrame(asked, "query_id string, term string"), f"{tmp_path}/index", 10, 0.0)
     assert got(found) == sorted(by_hand(docs, asked, 10, 0.0))
     assert "sum(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_sent_to_python_hold_no_list_and_blocks_share_no_task(spark, tmp_path, monkeypatch):
+    """Spark measures a batch again for each row, and a list by walking over all of its rows."""
+    monkeypatch.setattr(textindex, "BLOCK", 64)
+    textindex.add(spark.createDataFrame([(k, f"a b{k % 7} c{k}") for k in range(600)], "doc long, text string"), f"{tmp_path}/index")
+    found = textindex.search(spark.createDataFrame([(1, "a b1 c5")], "query_id int, term string"), f"{tmp_path}/index", 3)
+    node = found._jdf.queryExecution().analyzed()
+    while node.nodeName() != "MapInArrow":
+        node = node.children().head()
+    assert "array" not in node.children().head().schema().catalogString()
+    while node.nodeName() != "RepartitionByExpression":
+        node = node.children().head()
+    assert "partition_id(block" in node.simpleString(100)
+
+
+def test_a_block_of_frequent_and_rare_words(monkeypatch):
+    monkeypatch.setattr(textindex, "OFTEN", 5)
+    monkeypatch.setattr(textindex, "DENSE", 3)
+    rng = random.Random(6)
+    posts = [(w, d * 10, rng.random()) for w in range(40) for d in range(90) if rng.random() < (0.5 if w % 8 == 0 else 0.1)]
+    posts += [(w, 905, x) for w, d, x in posts if d == 300]  # a copy, of equal score
+    block = textindex._Block(*(np.array(c) for c in zip(*posts, strict=True)))
+    assert len(block.matrix) == 3
+    asked = [rng.sample(range(-2, 45), 12) for _ in range(20)] + [[], [77]]
+    for words, (docs, scores) in zip(asked, block.best([np.array(a, np.int32) for a in asked], 7, 0.2), strict=True):
+        total = Counter()
+        for w, d, x in posts:
+            total[d] += x * (w in words)
+        want = sorted((-round(x, 6), d) for d, x in total.items() if round(x, 6) > 0.2)[:7]
+        assert [(-s, d) for d, s in zip(docs.tolist(), scores.tolist(), strict=True)] == want
