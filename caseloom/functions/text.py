@@ -86,7 +86,9 @@ def likely_duplicate(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 def plain_words(text: str | None) -> str:
     """Compatibility-decomposed, without marks, lower-case ASCII words."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text or "") if not unicodedata.combining(c))
+    plain = text or ""
+    if not plain.isascii():
+        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
     return re.sub("[^a-z0-9]+", " ", plain.lower()).strip()
 
 

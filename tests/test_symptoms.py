@@ -2,7 +2,10 @@
 
 import random
 
-from caseloom.operators import symptoms
+from pyspark.sql import functions as F
+
+from caseloom.functions import text as T
+from caseloom.operators import linkage, symptoms
 
 
 def jaccard(a, b):
@@ -45,3 +48,36 @@ def test_words_that_no_label_has_do_not_travel(spark):
     ranks = spark.createDataFrame([("wa", 3), ("wb", 1)], "word string, labels long")
     got = {(r.text, r.n, tuple(r.known), r.at, r.w) for r in symptoms._keyed(rows, ranks, ["text"], 0.45).collect()}
     assert got == {("a", 3, ("wb", "wa"), 0, "wb")}
+
+
+def test_texts_are_sent_once_and_joined_with_nothing(spark):
+    cases = spark.createDataFrame([(k, [f"K{k % 3}", f"oil leak of {k}", str(k)]) for k in range(12)], "id int, symptoms array<string>")
+    taxonomy = spark.createDataFrame([(f"k{k}", f"leak of oil {'abc'[k]}", k) for k in range(3)], "key string, label string, place int")
+    found = symptoms.canonical_symptoms(cases, taxonomy)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # a label's words and how many labels have them
+    got = {r.id: r.symptoms for r in found.collect()}
+    assert got == {k: list(dict.fromkeys([f"leak of oil {'abc'[k % 3]}", "leak of oil a", str(k)])) for k in range(12)}
+
+
+def test_texts_have_the_words_that_labels_have(spark):
+    odd = ["", " ", "Öl 20TDI tdi20 a1b2 1.4-TSI", "ﬁlter №5 ½", "x1x 12 12ab", "K\u0307 İstanbul ẞ", "🚗 motor", "A\tb\nC"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string").select("text", linkage.overlap_tokens(T.fold_words(F.col("text"))).alias("words")).collect()
+    assert {r.text: set(r.words) for r in rows} == {t: symptoms._tokens(t) for t in odd}
+
+
+def test_few_pairs_at_once_lose_none(monkeypatch):
+    monkeypatch.setattr(symptoms, "PAIRS", 5)
+    rng = random.Random(9)
+    words = [f"w{chr(97 + k)}" for k in range(20)]
+    sets = [sorted(set(rng.choices(words, k=rng.randrange(1, 14)))) for _ in range(80)]
+    count = {w: sum(w in s for s in sets) for w in words}
+    labels = [(f"l{k}", sorted(s, key=lambda w: (count[w], w))) for k, s in enumerate(sets)]
+    texts = sorted({" ".join(rng.choices([*words, "unknown", "other"], k=rng.randrange(1, 16))) for _ in range(300)} | {""})
+    for least in (0.45, 0.5, 1.0):
+        want = {}
+        for t in texts:
+            score, place = max((jaccard(t, " ".join(s)), -k) for k, s in enumerate(sets))
+            if score >= least:
+                want[t] = (f"l{-place}", score)
+        assert symptoms._Labels(labels, least).best(texts) == want and len(want) > 3
+    assert symptoms._Labels([], 0.45).best(texts) == {}
