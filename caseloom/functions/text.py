@@ -84,11 +84,22 @@ def likely_duplicate(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return ((key != "") & (key == dedupe_key(b["resolution"]))) | (alike >= 0.95) | ((same("thread_url") | same("source_ref")) & (alike >= 0.45))
 
 
+class _Marks(dict):
+    """What `str.translate` makes of characters: marks go."""
+
+    def __missing__(self, char: int) -> int | None:
+        self[char] = None if unicodedata.combining(chr(char)) else char
+        return self[char]
+
+
+_marks = _Marks()
+
+
 def plain_words(text: str | None) -> str:
     """Compatibility-decomposed, without marks, lower-case ASCII words."""
     plain = text or ""
     if not plain.isascii():
-        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+        plain = unicodedata.normalize("NFKD", plain).translate(_marks)
     return re.sub("[^a-z0-9]+", " ", plain.lower()).strip()
 
 

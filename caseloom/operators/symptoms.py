@@ -27,6 +27,7 @@ from .linkage import overlap_tokens
 LEAST = 0.45
 GROUP = 256  # rows of texts that meet the labels at once
 PAIRS = 1 << 20  # pairs compared at once
+DIGIT = re.compile("[0-9]")
 PARTS = re.compile("[0-9]+[a-z]+|[a-z]+[0-9]+")
 
 
@@ -91,9 +92,11 @@ def _names(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 
 def _tokens(text: str) -> set[str]:
     """`overlap_tokens` of `fold_words`, of one text."""
-    words = set(T.plain_words(text).split())
-    for w in [w for w in words if PARTS.fullmatch(w)]:
-        words |= {re.match("[0-9]+|[a-z]+", w)[0], re.search("(?:[0-9]+|[a-z]+)$", w)[0]}
+    plain = T.plain_words(text)
+    words = set(plain.split())
+    if DIGIT.search(plain):
+        for w in [w for w in words if PARTS.fullmatch(w)]:
+            words |= {re.match("[0-9]+|[a-z]+", w)[0], re.search("(?:[0-9]+|[a-z]+)$", w)[0]}
     return words
 
 
@@ -109,16 +112,20 @@ class _Labels:
         """`labels`: (.., label, its words, the rarest first), in order of place."""
         self.least, self.names, words = least, [x[-2] for x in labels], [x[-1] for x in labels]
         count = Counter(w for ws in words for w in ws)
-        self.rank = {w: k for k, w in enumerate(sorted(count, key=lambda w: (count[w], w)))}
+        self.rank = {w: k for k, w in enumerate(w for _, w in sorted((n, w) for w, n in count.items()))}
         self.bit = [1 << (k * 0x9E3779B97F4A7C15 >> 58 & 63) for k in range(len(count))]
         ids = [[self.rank[w] for w in ws] for ws in words]
         self.sets = [frozenset(i) for i in ids]
         self.size = np.array([len(i) for i in ids], np.int64)
         self.sign = np.array([self._sign(i) for i in ids], np.uint64)
         self.longest = int(self.size.max(initial=0)) + 1
-        posts = [(w, len(i), k, at) for k, i in enumerate(ids) for at, w in enumerate(i[: _prefix(len(i), least)])]
-        word, size, self.label, self.at = np.array(sorted(posts), np.int64).reshape(-1, 4).T.copy()
-        self.key = word * self.longest + size
+        heads = [i[: _prefix(len(i), least)] for i in ids]
+        many = np.array([len(h) for h in heads], np.int64)
+        label = np.repeat(np.arange(len(heads)), many)
+        key = np.array([w for h in heads for w in h], np.int64) * self.longest + self.size[label]
+        order = np.argsort(key, kind="stable")
+        self.key, self.label = key[order], label[order]
+        self.at = (np.arange(len(label)) - np.repeat(np.cumsum(many) - many, many))[order]
 
     def _sign(self, ids: list[int]) -> int:
         """A bit for each word, of 64."""
@@ -132,7 +139,7 @@ class _Labels:
         n, sets, sign, known, word, text, at = [], [], [], [], [], [], []
         for k, t in enumerate(texts):
             tokens = _tokens(t)
-            ids = sorted(self.rank[w] for w in tokens if w in self.rank)
+            ids = sorted(map(self.rank.__getitem__, tokens & self.rank.keys()))
             n.append(len(tokens))
             known.append(len(ids))
             sets.append(ids)
