@@ -91,7 +91,7 @@ def search(asked: DataFrame, path: str, most: int = 20, least: float = 0.3) -> D
     blocks = max(1, -(-n // BLOCK), min(spark.sparkContext.defaultParallelism, -(-n // SMALL)))
     kind = q.schema["query_id"].dataType.simpleString()
     block = F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int").alias("block")
-    # a list in a row sent to Python is measured again for each row of its batch, so words travel as bytes
+    # words travel as bytes: with a list among the columns a row sent to Python took many times as long
     held = post.join(known, "term").select(block, F.lit(False).alias("asks"), "word", "doc", (F.col("idf") * part).alias("weight"), F.lit(None).cast(kind).alias("query_id"), F.lit(None).cast("binary").alias("words"))
     four_bytes = F.transform(F.collect_list("word"), lambda w: F.lpad(F.hex(w), 8, "0"))  # the words of one question
     passed = q.join(known, "term").groupBy("query_id").agg(F.unhex(F.array_join(four_bytes, "")).alias("words"))

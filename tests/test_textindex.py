@@ -80,7 +80,7 @@ def test_no_pair_of_question_and_document_is_sent(spark, tmp_path, monkeypatch):
 
 
 def test_rows_sent_to_python_hold_no_list_and_blocks_share_no_task(spark, tmp_path, monkeypatch):
-    """Spark measures a batch again for each row, and a list by walking over all of its rows."""
+    """With a list among the columns a row sent to Python took many times as long."""
     monkeypatch.setattr(textindex, "BLOCK", 64)
     textindex.add(spark.createDataFrame([(k, f"a b{k % 7} c{k}") for k in range(600)], "doc long, text string"), f"{tmp_path}/index")
     found = textindex.search(spark.createDataFrame([(1, "a b1 c5")], "query_id int, term string"), f"{tmp_path}/index", 3)
